@@ -111,7 +111,7 @@ def event_records(
         raise ValueError("give either routes or primary")
     if routes is not None:
         carried = [c for c in ("target_name", "table_name", "duration_ms", "error") if c in routes.columns]
-        wanted = routes.where("enabled").select(*carried).distinct()
+        wanted = routes.where("enabled").select(*carried)
         events = positioned.join(wanted, "table_name")
     else:
         events = positioned.withColumn("target_name", F.lit(primary.qualified_name))

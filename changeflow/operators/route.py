@@ -16,8 +16,11 @@ def included_changes(changes: DataFrame, targets: Sequence[TargetConfig]) -> Dat
 
 
 def route_changes(changes: DataFrame, target_tables: DataFrame) -> DataFrame:
-    """One row per change and enabled target that lists its table (exact name)."""
-    routes = target_tables.where("enabled").select("target", "target_name", "table_name").distinct()
+    """One row per change and enabled target that lists its table (exact name).
+
+    ``target_tables`` has one row per target and table.
+    """
+    routes = target_tables.where("enabled").select("target", "target_name", "table_name")
     return changes.join(routes, "table_name")
 
 

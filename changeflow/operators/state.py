@@ -48,21 +48,31 @@ def state_by_anti_join(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
 
 
 def merge_onto(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Snapshot with a change log applied, tombstones included.
+    """Snapshot (one row per key) with a change log applied, tombstones included.
 
-    ``snapshot`` has one row per key. The wide snapshot is joined once with the
-    newest change of each key: when those changes are small enough to broadcast,
-    it is not shuffled at all. Keys the snapshot lacks are found from its key
-    columns alone.
+    Both sides hold one row per key before they meet, and each is read and shuffled once.
+    """
+    columns = snapshot.columns
+    old = snapshot.select(*keys, F.struct(*columns).alias("_old"))
+    new = latest_per_key(changes, keys).select(*keys, F.struct(*columns).alias("_new"))
+    newer = F.col("_old").isNull() | (F.col(f"_new.{VERSION}") > F.col(f"_old.{VERSION}"))
+    winner = F.when(newer, F.col("_new")).otherwise(F.col("_old"))
+    return old.join(new, list(keys), "full_outer").select(winner.alias("_row")).select("_row.*")
+
+
+def patch_onto(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``merge_onto`` for a change log the caller has checked to be small.
+
+    The newest changes are broadcast, so the snapshot is not shuffled: it is read
+    once to replace rows, and its key columns once more to find the keys it lacks.
     """
     columns = snapshot.columns
     newest = latest_per_key(changes, keys).select(*columns)
-    packed = newest.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*columns).alias("_new"))
-    same_key = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    new = newest.select(*keys, F.struct(*columns).alias("_new"))
     newer = F.col(f"_new.{VERSION}") > F.col(VERSION)
-    kept = snapshot.join(packed, same_key, "left_outer").select(
+    kept = snapshot.join(F.broadcast(new), list(keys), "left_outer").select(
         *[F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
     )
-    present = snapshot.select(*keys).join(newest.select(*keys), list(keys), "left_semi")
+    present = snapshot.select(*keys).join(F.broadcast(newest.select(*keys)), list(keys), "left_semi")
     added = newest.join(present, list(keys), "left_anti")
     return kept.unionByName(added)

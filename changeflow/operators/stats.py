@@ -72,17 +72,21 @@ def event_type_share(events: DataFrame, rng: TimeRange) -> DataFrame:
 
 
 def _delay_ranks(delays: DataFrame) -> DataFrame:
-    """Distinct delays with their count, and with the number of rows up to each delay."""
+    """Distinct delays with their count ``c``, the rows up to each delay and all rows ``n``."""
     bucket = F.floor(F.col("delay_seconds") / DELAY_BUCKET).cast("bigint")
     counted = delays.groupBy(bucket.alias("bucket"), "delay_seconds").agg(_count().alias("c"))
     buckets = counted.groupBy("bucket").agg(F.sum("c").alias("in_bucket"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    starts = buckets.select("bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("before"))
+    starts = buckets.select(
+        F.col("bucket").alias("_bucket"),
+        F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("before"),
+        F.sum("in_bucket").over(Window.partitionBy()).alias("n"),
+    )
     inside = F.sum("c").over(Window.partitionBy("bucket").orderBy("delay_seconds"))
     return (
         counted.withColumn("inside", inside)
-        .join(starts, "bucket")
-        .select("delay_seconds", "c", (F.col("before") + F.col("inside")).alias("upto"))
+        .join(starts, F.col("bucket").eqNullSafe(F.col("_bucket")))  # no null filter, so one scan serves both sides
+        .select("delay_seconds", "c", (F.col("before") + F.col("inside")).alias("upto"), "n")
     )
 
 
@@ -96,14 +100,13 @@ def latency_stats(positions: DataFrame, rng: TimeRange, target: str = "") -> Dat
     if target:
         rows = rows.where(F.col("target_name") == target)
     ranks = _delay_ranks(rows.select("delay_seconds"))
-    n = ranks.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).scalar()
     rank = {p: F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(p))) for p in (P95, P99)}
 
     def at(p: float) -> Column:
         return _long(F.min(F.when(F.col("upto") >= rank[p], F.col("delay_seconds"))))
 
     current = rows.agg(F.max_by("delay_seconds", F.struct("timestamp", "seq")).alias("current")).scalar()
-    figures = ranks.withColumn("n", n).agg(
+    figures = ranks.agg(
         F.coalesce(F.sum(F.col("c") * F.col("delay_seconds")) / F.sum("c"), F.lit(0.0)).alias("avg_delay"),
         _long(F.max("delay_seconds")).alias("max_delay"),
         _long(F.min("delay_seconds")).alias("min_delay"),
@@ -154,7 +157,8 @@ def alias_pairs(names: DataFrame) -> DataFrame:
 
 
 def target_stats(events: DataFrame, errors: DataFrame, names: DataFrame, rng: TimeRange) -> DataFrame:
-    """Events and errors in the range and the time of the last event ever, per target ``name``.
+    """Events and errors in the range and the time of the last event ever, per target ``name``
+    (one row each in ``names``).
 
     Events and errors are counted per recorded name first; only those few rows meet the aliases.
     """
@@ -164,7 +168,7 @@ def target_stats(events: DataFrame, errors: DataFrame, names: DataFrame, rng: Ti
     )
     failed = rng.apply(errors).groupBy(F.col("target_name").alias("alias")).agg(_count().alias("errors"))
     return (
-        alias_pairs(names.select("name").distinct())
+        alias_pairs(names)
         .join(seen, "alias", "left")
         .join(failed, "alias", "left")
         .groupBy("name")

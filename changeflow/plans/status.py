@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.functions.ranges import LAST_5_MINUTES, LAST_7_DAYS, LAST_DAY, Moment, TimeRange, moment, timestamp
-from changeflow.operators.stats import event_stats, known_targets, recent_throughput, target_stats
+from changeflow.functions.ranges import LAST_5_MINUTES, LAST_7_DAYS, LAST_DAY, Moment, TimeRange, moment
+from changeflow.operators.stats import event_stats, recent_throughput, target_stats
 
 # Delay limits in seconds, states and messages of the health report.
 DELAY_WARNING = 60
 DELAY_ERROR = 300
 RUNNING = "running"
 CONNECTED = "connected"
+DEFAULT_KIND = "clickhouse"
 BAD_TARGET = ("error", "disconnected")
 MESSAGE_LATENCY = "延迟正常"
 MESSAGE_TARGETS = "所有目标正常"
@@ -122,11 +123,14 @@ def target_listing(registered: DataFrame, events: DataFrame, errors: DataFrame,
 
 def target_listing_from_events(events: DataFrame, errors: DataFrame, as_of: Moment) -> DataFrame:
     """The same list for names found in events, when no target is registered."""
-    names = known_targets(events).select(
-        F.col("target_name").alias("name"), F.lit("clickhouse").alias("type"), F.lit(True).alias("is_enabled")
+    names = events.where("target_name != ''").select(F.col("target_name").alias("name")).distinct()
+    figures = target_stats(events, errors, names, TimeRange.resolve(as_of, LAST_7_DAYS))
+    return figures.select(
+        "name",
+        F.lit(DEFAULT_KIND).alias("type"),
+        F.lit(CONNECTED).alias("status"),
+        F.lit(True).alias("is_enabled"),
+        "total_events",
+        "total_errors",
+        "last_sync_time",
     )
-    return target_listing(names, events, errors, as_of)
-
-
-def as_of_column(as_of: Moment) -> Column:
-    return timestamp(moment(as_of))

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow import storage
-from changeflow.operators.state import latest_per_key, merge_onto, without_deleted
+from changeflow.operators.state import latest_per_key, merge_onto, patch_onto, without_deleted
 from changeflow.schemas import BATCH, DELETED, VERSION
 
 UPTO = "upto"
 
+# Bytes of Parquet log up to which its newest rows are broadcast to the snapshot.
+PATCH_BYTES = 32 << 20
+
 
 class CurrentTable:
     def __init__(self, spark: SparkSession, path: str, columns: T.StructType, keys: Sequence[str] = ("id",)):
@@ -70,9 +73,12 @@ class CurrentTable:
         if upto is None:
             return latest_per_key(self.log(), self.keys), None
         snapshot = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot/{UPTO}={upto}")
-        if not any(b > upto for b in self.batches()):
+        pending = [b for b in self.batches() if b > upto]
+        if not pending:
             return snapshot, upto
-        return merge_onto(snapshot, self.log(after=upto), self.keys), upto
+        size = sum(storage.size(self.spark, f"{self.path}/log/{BATCH}={b}") for b in pending)
+        merge = patch_onto if size <= PATCH_BYTES else merge_onto
+        return merge(snapshot, self.log(after=upto), self.keys), upto
 
     def current(self) -> DataFrame:
         """The visible rows: newest version of each key, without deleted keys."""

@@ -35,6 +35,12 @@ def finished(spark: SparkSession, path: str, column: str) -> list[int]:
     return sorted(v for v in values if exists(spark, f"{path}/{column}={v}/_SUCCESS"))
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    fs, jpath = _fs(spark, path)
+    return fs.getContentSummary(jpath).getLength()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, jpath = _fs(spark, path)
     return fs.delete(jpath, True)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,12 +62,20 @@ class ApplyJob:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            outcomes = [self._write_target(batch, batch_id, t) for t in self.active]
+            outcomes = self._write_targets(batch, batch_id)
             if self.monitor_enabled and self.monitor_root:
                 self._write_monitor(batch, batch_id, outcomes)
         finally:
             batch.unpersist()
 
+    def _write_targets(self, batch: DataFrame, batch_id: int) -> list[Outcome]:
+        """Write to all targets at once, so that a slow one delays no other."""
+        if len(self.active) == 1:
+            return [self._write_target(batch, batch_id, self.active[0])]
+        write = inheritable_thread_target(batch.sparkSession)(self._write_target)
+        with ThreadPoolExecutor(len(self.active)) as pool:
+            return list(pool.map(lambda t: write(batch, batch_id, t), self.active))
+
     def _changes(self, batch: DataFrame, target: TargetConfig) -> DataFrame:
         wanted = F.col("table_name").isin(list(target.tables)) & F.col("action").isin(*ACTIONS)
         return batch.where((F.col("kind") == "row") & wanted)

@@ -55,12 +55,15 @@ _TARGET_ROW = pa.schema(
 
 
 def target_tables(spark: SparkSession, targets: Iterable[TargetConfig]) -> DataFrame:
-    """One row per target and table.
+    """One row per target and table, however often a target lists a table.
 
     Built from Arrow, so Spark holds it as a local relation of known size. Joins
     with it carry no hint: below ``spark.sql.autoBroadcastJoinThreshold`` Spark
     broadcasts it, above it shuffles.
     """
+    targets = list(targets)
+    if len({t.name for t in targets}) < len(targets):
+        raise ValueError("target names must differ")
     rows = [
         {
             "target": t.name,

@@ -186,6 +186,7 @@ ORACLES: dict[str, str] = {
     "compacted_state": _sql("change_log", body=_STATE),
     "orders_current_state": _sql("order_base", "order_changes", body=_ORDERS_STATE),
     "orders_merged_state": _sql("order_base", "order_changes", body=_ORDERS_STATE),
+    "orders_patched_state": _sql("order_base", "order_changes", body=_ORDERS_STATE),
     "applied_images": _sql(
         "change_log", body=f"SELECT table_name, id, payload, k, _version, _deleted FROM ({_VERSIONED})"
     ),

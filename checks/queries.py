@@ -235,6 +235,13 @@ def orders_merged_state(spark, sf_dir):
     return state.without_deleted(state.merge_onto(v.order_base, v.order_changes, ["id"]))
 
 
+@query
+def orders_patched_state(spark, sf_dir):
+    """The same with the newest changes broadcast, for a small log."""
+    v = Views(spark, sf_dir)
+    return state.without_deleted(state.patch_onto(v.order_base, v.order_changes, ["id"]))
+
+
 def _image_table(spark: SparkSession, label: str) -> CurrentTable:
     columns = T.StructType([T.StructField("table_name", T.StringType()), *IMAGE.fields])
     return CurrentTable(spark, scratch_dir(spark, label), columns, ("table_name", "id"))
