@@ -96,14 +96,17 @@ class ApplyJob:
             changes.write.mode("overwrite").parquet(f"{self._retry_path(target)}/{BATCH}={batch_id}")
         return Outcome(target.qualified_name, int((time.monotonic() - started) * 1000), error)
 
+    def pending(self, spark: SparkSession, target: TargetConfig) -> list[int]:
+        """Batches a target has not taken yet."""
+        return storage.finished(spark, self._retry_path(target), BATCH)
+
     def retry(self, spark: SparkSession, target: TargetConfig, before: int | None = None) -> None:
         """Write the batches an earlier failure of this target left behind."""
-        path = self._retry_path(target)
-        for pending in storage.finished(spark, path, BATCH):
-            if before is not None and pending >= before:
+        for batch_id in self.pending(spark, target):
+            if before is not None and batch_id >= before:
                 continue
-            folder = f"{path}/{BATCH}={pending}"
-            self.sinks[target.qualified_name](spark.read.parquet(folder), pending)
+            folder = f"{self._retry_path(target)}/{BATCH}={batch_id}"
+            self.sinks[target.qualified_name](spark.read.parquet(folder), batch_id)
             storage.delete(spark, folder)
 
     def _write_monitor(self, batch: DataFrame, batch_id: int, outcomes: list[Outcome]) -> None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from changeflow import storage
 from changeflow.operators.series import is_row_change
@@ -39,6 +40,11 @@ def deduplicated_stream(events: DataFrame, lateness: str = LATENESS) -> DataFram
     return _event_time(events, lateness).dropDuplicatesWithinWatermark(["seq", "target_name"])
 
 
+def late_rows(progress: Iterable[StreamingQueryProgress]) -> int:
+    """Rows that came after their second was closed, over the given progress reports."""
+    return sum(state.numRowsDroppedByWatermark for report in progress for state in report.stateOperators)
+
+
 def write_latest(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that keeps the newest complete result below ``path``.
 
