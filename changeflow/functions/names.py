@@ -34,18 +34,22 @@ def file_number(file: Column | str) -> Column:
     return F.regexp_extract(file, r"\.([0-9]+)$", 1).try_cast(T.LongType())
 
 
-def log_version(columns: Sequence[str]) -> Column:
-    """Version of a change: its ``seq``, else its place in the log as one number."""
-    if "seq" in columns:
+# A version made of (file number, position, row) needs more digits than a long holds.
+POSITION_VERSION = T.DecimalType(38, 0)
+
+
+def log_version(columns: Sequence[str], by_position: bool = False) -> Column:
+    """Version of a change: its ``seq``, which numbers the rows of the log, else (or
+    with ``by_position``) its file number, position and row as one number."""
+    if "seq" in columns and not by_position:
         return F.col("seq").cast(T.LongType())
-    number = T.DecimalType(38, 0)
-    scale = [F.lit("1" + "0" * 19).cast(T.DecimalType(20, 0)), F.lit("1" + "0" * 9).cast(T.DecimalType(10, 0))]
     row_idx = F.col("row_idx") if "row_idx" in columns else F.lit(0)
-    return (
-        file_number("binlog_file").cast(T.DecimalType(9, 0)) * scale[0]
-        + F.col("binlog_pos").cast(T.DecimalType(10, 0)) * scale[1]
-        + row_idx.cast(T.DecimalType(9, 0))
-    ).cast(number)
+    digits = [(file_number("binlog_file"), 9, 19), (F.col("binlog_pos"), 10, 9), (row_idx, 9, 0)]
+    parts = [
+        number.cast(T.DecimalType(size, 0)) * F.lit(f"1{'0' * zeros}").cast(T.DecimalType(zeros + 1, 0))
+        for number, size, zeros in digits
+    ]
+    return (parts[0] + parts[1] + parts[2]).cast(POSITION_VERSION)
 
 
 def key_column(df: DataFrame, key: str = "id") -> str:

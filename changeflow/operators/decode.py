@@ -46,13 +46,14 @@ def malformed_events(events: DataFrame) -> DataFrame:
 
 
 def parse_images(
-    changes: DataFrame, image: T.StructType, bad_rows: Observation | None = None
+    changes: DataFrame, image: T.StructType, bad_rows: Observation | None = None, keep_before: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Split changes with JSON images into typed rows and rows that do not fit the schema.
 
     A change without ``after`` (a delete) is read from ``before``. ``bad_rows``
     receives the number of rows that do not fit, as ``bad``, once the typed rows are
-    written, so the second frame is only needed when there are any.
+    written, so the second frame is only needed when there are any. ``keep_before``
+    adds the before-image as the struct ``before``.
     """
     schema = T.StructType([*image.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.coalesce("after", "before")
@@ -62,13 +63,15 @@ def parse_images(
         parsed = parsed.observe(bad_rows, F.count_if(broken).alias("bad"))
     replaced = {"before", "after", "ddl_query", *image.names}
     kept = [c for c in changes.columns if c not in replaced]
-    good = parsed.where(~broken).select(*kept, *[F.col(f"_image.{n}").alias(n) for n in image.names])
+    before = [F.from_json("before", image).alias("before")] if keep_before else []
+    good = parsed.where(~broken).select(*kept, *before, *[F.col(f"_image.{n}").alias(n) for n in image.names])
     return good, parsed.where(broken).select(*changes.columns)
 
 
-def versioned(changes: DataFrame) -> DataFrame:
+def versioned(changes: DataFrame, by_position: bool = False) -> DataFrame:
     """Add ``_version`` (place in the log) and ``_deleted``."""
-    return changes.withColumns({VERSION: log_version(changes.columns), DELETED: F.col("action") == "delete"})
+    version = log_version(changes.columns, by_position)
+    return changes.withColumns({VERSION: version, DELETED: F.col("action") == "delete"})
 
 
 def keyed(changes: DataFrame, key: str = "id") -> DataFrame:
@@ -77,12 +80,12 @@ def keyed(changes: DataFrame, key: str = "id") -> DataFrame:
 
 
 def key_moves(changes: DataFrame, key: str = "id") -> DataFrame:
-    """Tombstones for the old key of updates that change the key.
+    """Deletes of the old key for updates that change the key.
 
-    Needs the ``before`` struct. By default such updates leave the old key behind;
-    adding these rows to the versioned changes removes it.
+    Needs the before-image as the struct ``before``. By default such updates leave
+    the old key behind; adding these rows to the changes removes it.
     """
+    key = key if key in changes.schema["before"].dataType.names else changes.schema["before"].dataType.names[0]
     moved = changes.where((F.col("action") == "update") & (F.col(f"before.{key}") != F.col(key)))
-    image = changes.schema["before"].dataType.names
-    old = {name: F.col(f"before.{name}") for name in image}
+    old = {name: F.col(f"before.{name}") for name in changes.schema["before"].dataType.names}
     return moved.withColumns({**old, "action": F.lit("delete")})

@@ -210,15 +210,31 @@ HOURLY_EVENTS_KEYS = ("hour", "target_name", "table_name", "event_type")
 HOURLY_LATENCY_KEYS = ("hour", "target_name")
 
 
-def events_hourly(events: DataFrame) -> DataFrame:
-    """Hourly event rollup. It keeps sums and counts, so partial rollups can be merged."""
-    return events.groupBy(F.date_trunc("hour", "timestamp").alias("hour"), *HOURLY_EVENTS_KEYS[1:]).agg(
+def event_sums() -> list[Column]:
+    """Figures of the hourly event rollup: sums and counts, so partial rollups can be merged."""
+    return [
         _count().alias("event_count"),
         F.sum("rows_count").alias("total_rows"),
         F.sum("duration_ms").alias("sum_duration"),
         F.max("duration_ms").alias("max_duration"),
         F.sum("success").cast("bigint").alias("success_count"),
-    )
+    ]
+
+
+def delay_sums() -> list[Column]:
+    """Figures of the hourly delay rollup."""
+    return [
+        _count().alias("samples"),
+        F.sum("delay_seconds").alias("sum_delay"),
+        F.max("delay_seconds").alias("max_delay"),
+        F.min("delay_seconds").alias("min_delay"),
+    ]
+
+
+def events_hourly(events: DataFrame) -> DataFrame:
+    """Hourly event rollup."""
+    hour = F.date_trunc("hour", "timestamp").alias("hour")
+    return events.groupBy(hour, *HOURLY_EVENTS_KEYS[1:]).agg(*event_sums())
 
 
 def merge_events_hourly(partial: DataFrame) -> DataFrame:
@@ -232,13 +248,9 @@ def read_events_hourly(rollup: DataFrame) -> DataFrame:
 
 
 def latency_hourly(positions: DataFrame) -> DataFrame:
-    """Hourly delay rollup, mergeable like the event rollup."""
-    return positions.groupBy(F.date_trunc("hour", "timestamp").alias("hour"), "target_name").agg(
-        _count().alias("samples"),
-        F.sum("delay_seconds").alias("sum_delay"),
-        F.max("delay_seconds").alias("max_delay"),
-        F.min("delay_seconds").alias("min_delay"),
-    )
+    """Hourly delay rollup."""
+    hour = F.date_trunc("hour", "timestamp").alias("hour")
+    return positions.groupBy(hour, *HOURLY_LATENCY_KEYS[1:]).agg(*delay_sums())
 
 
 def merge_latency_hourly(partial: DataFrame) -> DataFrame:

@@ -59,6 +59,15 @@ def target_status(registered: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def status_changes(events: DataFrame, switches: DataFrame | None = None) -> DataFrame:
+    """Status changes: every successful event connects its target, and ``switches``
+    (``seq``, ``timestamp``, ``target_name``, ``status``) adds those made by hand."""
+    connected = events.where("success = 1").select(
+        "seq", "timestamp", "target_name", F.lit(CONNECTED).alias("status")
+    )
+    return connected if switches is None else connected.unionByName(switches)
+
+
 def service_status(live: DataFrame, events: DataFrame, targets: DataFrame, as_of: Moment) -> DataFrame:
     """Status page: one row per target, the service columns repeated.
 

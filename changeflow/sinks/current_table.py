@@ -27,15 +27,24 @@ PATCH_BYTES = 32 << 20
 
 
 class CurrentTable:
-    def __init__(self, spark: SparkSession, path: str, columns: T.StructType, keys: Sequence[str] = ("id",)):
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        columns: T.StructType,
+        keys: Sequence[str] = ("id",),
+        version: T.DataType = T.LongType(),
+        files_per_batch: int | None = None,
+    ):
         """``columns`` are the table's own columns; ``keys`` its key, by default ``id``
-        or else the first column."""
+        or else the first column. ``files_per_batch`` keeps the files of small batches few."""
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = [k for k in keys if k in columns.names] or columns.names[:1]
         self.schema = T.StructType(
-            [*columns.fields, T.StructField(VERSION, T.LongType()), T.StructField(DELETED, T.BooleanType())]
+            [*columns.fields, T.StructField(VERSION, version), T.StructField(DELETED, T.BooleanType())]
         )
+        self.files_per_batch = files_per_batch
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         """Write the row images of a batch; the same batch again replaces it."""
@@ -43,6 +52,8 @@ class CurrentTable:
         if missing:
             raise ValueError(f"{self.path}: rows lack {missing}")
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        if self.files_per_batch:
+            typed = typed.coalesce(self.files_per_batch)
         typed.write.mode("overwrite").parquet(f"{self.path}/log/{BATCH}={batch_id}")
 
     def quarantine(self, rows: DataFrame, batch_id: int) -> None:
@@ -61,28 +72,28 @@ class CurrentTable:
 
     def log(self, after: int | None = None) -> DataFrame:
         """Row images of the batches after ``after``, all by default."""
-        wanted = [b for b in self.batches() if after is None or b > after]
-        if not wanted:
+        return self._read_batches([b for b in self.batches() if after is None or b > after])
+
+    def _read_batches(self, batches: Sequence[int]) -> DataFrame:
+        if not batches:
             return self._empty()
-        base = f"{self.path}/log"
-        return self.spark.read.schema(self.schema).parquet(*[f"{base}/{BATCH}={b}" for b in wanted])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/log/{BATCH}={b}" for b in batches])
 
-    def _newest(self) -> tuple[DataFrame, int | None]:
-        """Newest row of each key, tombstones included, and the snapshot it builds on."""
-        upto = self.snapshot_upto()
+    def _newest(self, batches: Sequence[int], upto: int | None) -> DataFrame:
+        """Newest row of each key, tombstones included: the snapshot with the later batches applied."""
         if upto is None:
-            return latest_per_key(self.log(), self.keys), None
+            return latest_per_key(self._read_batches(batches), self.keys)
         snapshot = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot/{UPTO}={upto}")
-        pending = [b for b in self.batches() if b > upto]
+        pending = [b for b in batches if b > upto]
         if not pending:
-            return snapshot, upto
+            return snapshot
         size = sum(storage.size(self.spark, f"{self.path}/log/{BATCH}={b}") for b in pending)
         merge = patch_onto if size <= PATCH_BYTES else merge_onto
-        return merge(snapshot, self.log(after=upto), self.keys), upto
+        return merge(snapshot, self._read_batches(pending), self.keys)
 
     def current(self) -> DataFrame:
         """The visible rows: newest version of each key, without deleted keys."""
-        return without_deleted(self._newest()[0])
+        return without_deleted(self._newest(self.batches(), self.snapshot_upto()))
 
     def compact(self, forget_before: int | None = None) -> int | None:
         """Write a snapshot of everything applied so far and return its last batch.
@@ -91,10 +102,10 @@ class CurrentTable:
         stay, so that an older image arriving late cannot bring a key back;
         ``forget_before`` drops those with a smaller version.
         """
-        batches = self.batches()
-        rows, upto = self._newest()
-        if not batches or batches[-1] == upto:
+        batches, upto = self.batches(), self.snapshot_upto()
+        if not batches or (upto is not None and batches[-1] <= upto):
             return upto
+        rows = self._newest(batches, upto)
         if forget_before is not None:
             rows = rows.where(~F.col(DELETED) | (F.col(VERSION) >= forget_before))
         rows.write.mode("overwrite").parquet(f"{self.path}/snapshot/{UPTO}={batches[-1]}")

@@ -22,6 +22,7 @@ from changeflow.sources.monitor_tables import table_schema
 HISTORY_DAYS = 30
 
 DIRECT = "direct"
+MERGED = "merged"
 
 
 def monitor_rows(df: DataFrame, table: str, batch: str = DIRECT) -> DataFrame:
@@ -83,34 +84,64 @@ def within_ttl(df: DataFrame, as_of: Moment, days: int = HISTORY_DAYS) -> DataFr
     return df.where(F.col("timestamp") > timestamp(moment(as_of) - timedelta(days=days)))
 
 
+def _staging(root: str, table: str, month: str) -> str:
+    return f"{root}/_staging/{table}/{MONTH}={month}"
+
+
+def _recover(spark: SparkSession, root: str, table: str, month: str) -> None:
+    """Finish an exchange that stopped after the old folder was removed."""
+    staging, folder = _staging(root, table, month), f"{root}/{table}/{MONTH}={month}"
+    if storage.exists(spark, f"{staging}/_SUCCESS") and not storage.exists(spark, folder):
+        storage.move(spark, staging, folder)
+
+
+def _exchange_month(rows: DataFrame, root: str, table: str, month: str) -> None:
+    """Write the rows of a month beside it, then exchange the folders."""
+    spark, staging, folder = rows.sparkSession, _staging(root, table, month), f"{root}/{table}/{MONTH}={month}"
+    writer = rows.drop(MONTH).write.mode("overwrite").partitionBy(BATCH)
+    for column in MONITOR_BLOOM[table]:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(staging)
+    storage.delete(spark, folder)
+    storage.move(spark, staging, folder)
+
+
+def _month_rows(spark: SparkSession, root: str, table: str, month: str) -> DataFrame:
+    return spark.read.schema(table_schema(table)).parquet(f"{root}/{table}").where(F.col(MONTH) == int(month))
+
+
 def cleanup_table(spark: SparkSession, root: str, table: str, before: Moment) -> None:
     """Delete rows older than ``before``.
 
-    Whole months go as folders. Only the month ``before`` lies in is rewritten: its
-    remaining rows are written beside it, then the folders are exchanged. A run
-    that stopped in between is finished by the next one.
+    Whole months go as folders; only the month ``before`` lies in is rewritten. A run
+    that stopped half-way is finished by the next one.
     """
     before = moment(before)
-    path = f"{root}/{table}"
-    boundary = before.strftime("%Y%m")
-    staging = f"{root}/_cleanup/{table}/{MONTH}={boundary}"
-    month = f"{path}/{MONTH}={boundary}"
-    if storage.exists(spark, f"{staging}/_SUCCESS") and not storage.exists(spark, month):
-        storage.move(spark, staging, month)
-    for value in storage.partition_values(spark, path, MONTH):
-        if value < boundary:
-            storage.delete(spark, f"{path}/{MONTH}={value}")
-    if not storage.exists(spark, month):
+    month = before.strftime("%Y%m")
+    _recover(spark, root, table, month)
+    months = storage.partition_values(spark, f"{root}/{table}", MONTH)
+    for old in months:
+        if old < month:
+            storage.delete(spark, f"{root}/{table}/{MONTH}={old}")
+    if month not in months:
         return
-    rows = spark.read.schema(table_schema(table)).parquet(path).where(F.col(MONTH) == int(boundary))
-    expired = rows.where(F.col("timestamp") < timestamp(before))
-    if expired.isEmpty():
+    rows = _month_rows(spark, root, table, month)
+    if rows.where(F.col("timestamp") < timestamp(before)).isEmpty():
         return
-    kept = rows.where(F.col("timestamp") >= timestamp(before)).drop(MONTH)
-    ordered = kept.sortWithinPartitions(BATCH, *MONITOR_SORT[table])
-    ordered.write.mode("overwrite").partitionBy(BATCH).parquet(staging)
-    storage.delete(spark, month)
-    storage.move(spark, staging, month)
+    kept = rows.where(F.col("timestamp") >= timestamp(before))
+    _exchange_month(kept.sortWithinPartitions(BATCH, *MONITOR_SORT[table]), root, table, month)
+
+
+def merge_month(spark: SparkSession, root: str, table: str, month: str) -> None:
+    """Replace the many small batch folders of a month by one, ordered by time.
+
+    For a month no stream writes to any more, since a repeated batch would not find its label.
+    """
+    _recover(spark, root, table, month)
+    if month in storage.partition_values(spark, f"{root}/{table}", MONTH):
+        rows = _month_rows(spark, root, table, month).withColumn(BATCH, F.lit(MERGED))
+        ordered = rows.repartitionByRange(F.col("timestamp"), F.col("seq"))
+        _exchange_month(ordered.sortWithinPartitions(BATCH, *MONITOR_SORT[table]), root, table, month)
 
 
 def cleanup(spark: SparkSession, root: str, before: Moment) -> None:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
-from changeflow.operators.decode import parse_images, versioned
+from changeflow.functions.names import POSITION_VERSION
+from changeflow.operators.decode import key_moves, parse_images, versioned
 from changeflow.sinks.current_table import CurrentTable
 from changeflow.targets import TargetConfig
 
@@ -49,11 +50,25 @@ def table_path(root: str, target: TargetConfig, table: str) -> str:
 def current_tables(
     spark: SparkSession, target: TargetConfig, schemas: dict[str, T.StructType], root: str
 ) -> dict[str, CurrentTable]:
-    """The replicated tables of a target."""
-    root = (target.options or {}).get("path", root)
-    key = (target.options or {}).get("key", "id")
+    """The replicated tables of a target. Its options:
+
+    ``path``             folder instead of the common root
+    ``key``              key column, default ``id``, else the first column
+    ``version``          ``position`` for a log whose rows have no ``seq``
+    ``key_change``       ``move``: an update of the key deletes the old key
+    ``files_per_batch``  most files a batch writes per table
+    """
+    options = target.options or {}
+    files = options.get("files_per_batch")
     return {
-        table: CurrentTable(spark, table_path(root, target, table), schemas[table], (key,))
+        table: CurrentTable(
+            spark,
+            table_path(options.get("path", root), target, table),
+            schemas[table],
+            (options.get("key", "id"),),
+            POSITION_VERSION if options.get("version") == "position" else T.LongType(),
+            int(files) if files else None,
+        )
         for table in dict.fromkeys(target.tables)
     }
 
@@ -63,13 +78,17 @@ def table_sink(target: TargetConfig, schemas: dict[str, T.StructType], root: str
     missing = [t for t in target.tables if t not in schemas]
     if missing:
         raise ValueError(f"target {target.name}: no schema for tables {missing}")
+    options = target.options or {}
+    by_position, move = options.get("version") == "position", options.get("key_change") == "move"
 
     def write(changes: DataFrame, batch_id: int) -> None:
         for name, table in current_tables(changes.sparkSession, target, schemas, root).items():
-            rows = versioned(changes.where(changes["table_name"] == name))
             counted = Observation()
-            good, bad = parse_images(rows, schemas[name], counted)
-            table.append(good, batch_id)
+            rows = changes.where(changes["table_name"] == name)
+            good, bad = parse_images(rows, schemas[name], counted, keep_before=move)
+            if move:
+                good = good.unionByName(key_moves(good, table.keys[0]))
+            table.append(versioned(good, by_position), batch_id)
             if counted.get["bad"]:
                 table.quarantine(bad, batch_id)
 

@@ -31,8 +31,9 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
 
 def finished(spark: SparkSession, path: str, column: str) -> list[int]:
     """Numbers of the folders ``column=<n>`` whose write was committed."""
-    values = [int(v) for v in partition_values(spark, path, column)]
-    return sorted(v for v in values if exists(spark, f"{path}/{column}={v}/_SUCCESS"))
+    fs, jpath = _fs(spark, f"{path}/{column}=*/_SUCCESS")
+    markers = fs.globStatus(jpath) or []
+    return sorted(int(m.getPath().getParent().getName().split("=", 1)[1]) for m in markers)
 
 
 def size(spark: SparkSession, path: str) -> int:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from changeflow import storage
 from changeflow.operators.series import is_row_change
-from changeflow.operators.stats import current_position
+from changeflow.operators.stats import (
+    HOURLY_EVENTS_KEYS,
+    HOURLY_LATENCY_KEYS,
+    current_position,
+    delay_sums,
+    event_sums,
+)
 from changeflow.schemas import BATCH
 
 # Late records up to this much behind the newest one still count.
@@ -30,6 +36,21 @@ def throughput_stream(events: DataFrame, lateness: str | None = LATENESS) -> Dat
     return rates.select(F.col("w.start").alias("second"), "qps", "tps")
 
 
+def _hourly(df: DataFrame, keys: Sequence[str], figures: list[Column], lateness: str | None) -> DataFrame:
+    hours = _event_time(df, lateness).groupBy(F.window("timestamp", "1 hour").alias("w"), *keys).agg(*figures)
+    return hours.select(F.col("w.start").alias("hour"), *[c for c in hours.columns if c != "w"])
+
+
+def events_hourly_stream(events: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
+    """The hourly event rollup, kept up to date from a stream."""
+    return _hourly(events, HOURLY_EVENTS_KEYS[1:], event_sums(), lateness)
+
+
+def latency_hourly_stream(positions: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
+    """The hourly delay rollup, kept up to date from a stream."""
+    return _hourly(positions, HOURLY_LATENCY_KEYS[1:], delay_sums(), lateness)
+
+
 def position_stream(positions: DataFrame) -> DataFrame:
     """Newest position of each target, for complete or update mode."""
     return current_position(positions)

@@ -134,6 +134,18 @@ _STATE_PER_TARGET = """
         FROM log_ops o JOIN targets t ON t.table_name = o.table_name WHERE o.kind = 'row')
     WHERE r = 1 AND action != 'delete'"""
 
+_EVENTS_HOURLY = """
+    SELECT date_trunc('hour', timestamp) AS hour, target_name, table_name, event_type,
+           count(*) AS event_count, cast(sum(rows_count) AS bigint) AS total_rows,
+           cast(sum(duration_ms) AS bigint) AS sum_duration, max(duration_ms) AS max_duration,
+           cast(sum(success) AS bigint) AS success_count, avg(duration_ms) AS avg_duration
+    FROM sync_events GROUP BY 1, 2, 3, 4"""
+_LATENCY_HOURLY = """
+    SELECT date_trunc('hour', timestamp) AS hour, target_name, count(*) AS samples,
+           cast(sum(delay_seconds) AS bigint) AS sum_delay, max(delay_seconds) AS max_delay,
+           min(delay_seconds) AS min_delay, avg(delay_seconds) AS avg_delay
+    FROM sync_positions GROUP BY 1, 2"""
+
 ORACLES: dict[str, str] = {
     "change_log_scan": _sql(
         "log_ops", body="SELECT seq, binlog_file, binlog_pos, kind, table_name, action, ddl_query FROM log_ops"
@@ -235,6 +247,10 @@ ORACLES: dict[str, str] = {
         body="""SELECT cast(strftime(timestamp, '%Y%m') AS int) AS yyyymm, count(*) AS events,
             cast(sum(rows_count) AS bigint) AS total_rows FROM sync_events GROUP BY 1""",
     ),
+    "merged_months": _sql(
+        "sync_events",
+        body=f"SELECT {_EVENT}, cast(strftime(timestamp, '%Y%m') AS int) AS yyyymm, 'merged' AS batch FROM sync_events",
+    ),
     "events_after_cleanup": _sql(
         "sync_events",
         "sync_errors",
@@ -359,20 +375,10 @@ ORACLES: dict[str, str] = {
         body="""SELECT target_name, timestamp, binlog_file, binlog_pos, gtid, delay_seconds FROM sync_positions
             QUALIFY row_number() OVER (PARTITION BY target_name ORDER BY timestamp DESC, seq DESC) = 1""",
     ),
-    "events_hourly": _sql(
-        "sync_events",
-        body="""SELECT date_trunc('hour', timestamp) AS hour, target_name, table_name, event_type,
-            count(*) AS event_count, cast(sum(rows_count) AS bigint) AS total_rows,
-            cast(sum(duration_ms) AS bigint) AS sum_duration, max(duration_ms) AS max_duration,
-            cast(sum(success) AS bigint) AS success_count, avg(duration_ms) AS avg_duration
-            FROM sync_events GROUP BY 1, 2, 3, 4""",
-    ),
-    "latency_hourly": _sql(
-        "sync_positions",
-        body="""SELECT date_trunc('hour', timestamp) AS hour, target_name, count(*) AS samples,
-            cast(sum(delay_seconds) AS bigint) AS sum_delay, max(delay_seconds) AS max_delay,
-            min(delay_seconds) AS min_delay, avg(delay_seconds) AS avg_delay FROM sync_positions GROUP BY 1, 2""",
-    ),
+    "events_hourly": _sql("sync_events", body=_EVENTS_HOURLY),
+    "latency_hourly": _sql("sync_positions", body=_LATENCY_HOURLY),
+    "streamed_events_hourly": _sql("sync_events", body=_EVENTS_HOURLY),
+    "streamed_latency_hourly": _sql("sync_positions", body=_LATENCY_HOURLY),
     "throughput_per_second": _sql(
         "sync_events",
         body="""SELECT timestamp AS second, count(*) AS qps,
@@ -403,6 +409,13 @@ ORACLES: dict[str, str] = {
     ),
     "live_status": _sql("sync_positions", body=_LIVE_STATUS),
     "target_status": _sql("status_changes", "targets", body=_TARGET_STATUS),
+    "target_status_from_events": _sql(
+        "sync_events",
+        "targets",
+        body=f"""SELECT name, type, 'connected' AS status, is_enabled,
+            (SELECT arg_max(timestamp, seq) FROM sync_events WHERE success = 1 AND target_name = name) AS last_sync_time
+            FROM ({_REGISTERED})""",
+    ),
     "service_status": _sql("status_changes", "targets", "sync_positions", "sync_events", body=_SERVICE),
     "health": _sql(
         "status_changes",

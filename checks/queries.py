@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeflow import storage
 from changeflow.functions.labels import error_labels, event_labels
 from changeflow.functions.names import file_number, target_aliases
 from changeflow.functions.ranges import TimeRange, moment, timestamp
@@ -16,12 +17,19 @@ from changeflow.operators import decode, filters, listing, records, route, serie
 from changeflow.plans import status
 from changeflow.session import scratch_dir
 from changeflow.sinks.current_table import CurrentTable
-from changeflow.sinks.monitor_tables import append_monitor, cleanup, within_ttl
+from changeflow.sinks.monitor_tables import append_monitor, cleanup, merge_month, within_ttl
 from changeflow.sinks.registry import current_tables, table_sink
 from changeflow.sources.change_log import Position, from_position, read_changes
 from changeflow.sources.monitor_tables import read_monitor
 from changeflow.streaming.apply import ApplyJob, start_apply
-from changeflow.streaming.rates import deduplicated_stream, read_latest, start_push, throughput_stream
+from changeflow.streaming.rates import (
+    deduplicated_stream,
+    events_hourly_stream,
+    latency_hourly_stream,
+    read_latest,
+    start_push,
+    throughput_stream,
+)
 from changeflow.targets import registered_targets, target_tables
 from checks import views
 from checks.views import AS_OF, LIVE_AS_OF, STARTED, TARGETS
@@ -359,6 +367,17 @@ def events_by_month(spark, sf_dir):
     return saved.groupBy("yyyymm").agg(F.count(F.lit(1)).alias("events"), F.sum("rows_count").alias("total_rows"))
 
 
+@query
+def merged_months(spark, sf_dir):
+    """Events written under several labels, then merged month by month."""
+    root, events = scratch_dir(spark, "monitor"), Views(spark, sf_dir).events
+    for n, kind in enumerate(("insert", "update", "delete")):
+        append_monitor(events.where(F.col("event_type") == kind), root, "sync_events", f"part-{n}")
+    for month in storage.partition_values(spark, f"{root}/sync_events", "yyyymm"):
+        merge_month(spark, root, "sync_events", month)
+    return read_monitor(spark, root, "sync_events")
+
+
 @query
 def events_after_cleanup(spark, sf_dir):
     tables = ("sync_events", "sync_errors", "sync_positions", "sync_metrics")
@@ -566,6 +585,12 @@ def target_status(spark, sf_dir):
     return Views(spark, sf_dir).target_status()
 
 
+@query
+def target_status_from_events(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return status.target_status(v.registered, status.status_changes(v.events))
+
+
 @query
 def service_status(spark, sf_dir):
     v = Views(spark, sf_dir)
@@ -676,6 +701,24 @@ def streamed_throughput(spark, sf_dir):
     return read_latest(spark, f"{root}/out")
 
 
+@query
+def streamed_events_hourly(spark, sf_dir):
+    events = _event_files(spark, Views(spark, sf_dir).events, "hourly-events")
+    root = scratch_dir(spark, "hourly")
+    rollup = events_hourly_stream(events, lateness=None)
+    _run(start_push(rollup, f"{root}/out", f"{root}/checkpoint", available_now=True))
+    return stats.read_events_hourly(read_latest(spark, f"{root}/out"))
+
+
+@query
+def streamed_latency_hourly(spark, sf_dir):
+    positions = _event_files(spark, Views(spark, sf_dir).positions, "hourly-positions")
+    root = scratch_dir(spark, "hourly")
+    rollup = latency_hourly_stream(positions, lateness=None)
+    _run(start_push(rollup, f"{root}/out", f"{root}/checkpoint", available_now=True))
+    return stats.read_latency_hourly(read_latest(spark, f"{root}/out"))
+
+
 @query
 def streamed_deduplicated_events(spark, sf_dir):
     events = _event_files(spark, _with_copies(Views(spark, sf_dir).events), "copies")

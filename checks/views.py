@@ -99,7 +99,16 @@ READS = {
     "order_base": ("orders",),
     "order_changes": ("lineitem",),
 }
-TABLES = ("events", "orders", "lineitem")
+
+# Schemas of the given tables, so reading them needs no inference.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+                 o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+                   l_extendedprice double, l_discount double, l_tax double, l_returnflag string,
+                   l_linestatus string, l_shipdate timestamp_ntz""",
+}
 
 
 def needed(names: tuple[str, ...]) -> list[str]:
@@ -112,17 +121,22 @@ def needed(names: tuple[str, ...]) -> list[str]:
     return order
 
 
-def with_views(*names: str, sf_dir: str | None = None) -> str:
-    """``WITH`` clause defining the views. Given ``sf_dir``, the tables are read from
-    its Parquet files (Spark); else they exist already (DuckDB)."""
+def with_views(*names: str, tables: bool = False) -> str:
+    """``WITH`` clause defining the views. With ``tables``, the tables they read are
+    defined too, as ``{name}`` to be filled in; else they exist already."""
     parts = []
     for name in needed(names):
         if name in VIEWS:
             parts.append(f"{name} AS ({VIEWS[name]})")
-        elif sf_dir is not None:
-            parts.append(f"{name} AS (SELECT * FROM parquet.`{sf_dir}/{name}.parquet`)")
+        elif tables:
+            parts.append(f"{name} AS (SELECT * FROM {{{name}}})")
     return "WITH " + ",\n".join(parts)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(f"{with_views(name, sf_dir=sf_dir)}\nSELECT * FROM {name}")
+    read = {
+        table: spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+        for table in needed((name,))
+        if table in TABLES
+    }
+    return spark.sql(f"{with_views(name, tables=True)}\nSELECT * FROM {name}", **read)
