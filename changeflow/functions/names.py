@@ -34,6 +34,13 @@ def file_number(file: Column | str) -> Column:
     return F.regexp_extract(file, r"\.([0-9]+)$", 1).try_cast(T.LongType())
 
 
+def event_sequence() -> Column:
+    """``seq``, or where the producer gave none a number that orders events as their
+    place in the log does: positions take 32 bits, file numbers the bits above."""
+    place = F.shiftleft(file_number("binlog_file"), 32) + F.col("binlog_pos")
+    return F.coalesce(F.col("seq"), place)
+
+
 # A version made of (file number, position, row) needs more digits than a long holds.
 POSITION_VERSION = T.DecimalType(38, 0)
 

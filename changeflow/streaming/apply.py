@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from changeflow import storage
+from changeflow.functions.names import event_sequence
 from changeflow.operators.records import (
     collapse_rows,
     error_records,
@@ -113,6 +114,7 @@ class ApplyJob:
         spark = batch.sparkSession
         now = self.recorded_at if self.recorded_at is not None else F.current_timestamp()
         label = f"apply-{batch_id:09d}"
+        batch = batch.withColumn("seq", event_sequence())
 
         append_monitor(position_records(batch, now), self.monitor_root, "sync_positions", label)
 

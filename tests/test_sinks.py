@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,3 +188,52 @@ def test_a_sink_of_your_own(spark, folder):
     sinks = registry.resolve_sinks([TargetConfig("mine", ("t",), kind="collecting")], {}, folder)
     sinks["ClickHouse:mine"](spark.range(3), 7)
     assert seen == [("mine", 3, 7)]
+
+
+def test_merging_a_month_keeps_its_rows(spark, folder, monkeypatch):
+    for n in range(3):
+        mt.append_monitor(_events(spark, *TIMES), folder, "sync_events", f"b-{n}")
+    before = sorted(map(tuple, read_monitor(spark, folder, "sync_events").drop("batch").collect()))
+    monkeypatch.setattr("changeflow.storage.move", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        mt.merge_month(spark, folder, "sync_events", "202401")
+    monkeypatch.undo()
+    mt.merge_month(spark, folder, "sync_events", "202401")
+    after = read_monitor(spark, folder, "sync_events")
+    assert sorted(map(tuple, after.drop("batch").collect())) == before
+    assert {r.batch for r in after.where("yyyymm = 202401").select("batch").collect()} == {"merged"}
+
+
+LOG = "seq bigint, binlog_file string, binlog_pos bigint, row_idx int, kind string, table_name string, action string, before string, after string, ddl_query string"
+
+
+def _change(seq, pos, action, after, before=None, row=0):
+    text = [i and f'{{"id": {i[0]}, "v": "{i[1]}"}}' for i in (before, after)]
+    return (seq, "f.000001", pos, row, "row", "t", action, *text, None)
+
+
+def _sink_state(spark, folder, options, *rows):
+    target = TargetConfig("a", ("t",), options=options)
+    registry.table_sink(target, {"t": COLUMNS}, folder)(spark.createDataFrame(list(rows), LOG), 0)
+    table = registry.current_tables(spark, target, {"t": COLUMNS}, folder)["t"]
+    return sorted((r.id, r.v) for r in table.current().collect()), table
+
+
+def test_a_changed_key_moves_only_when_asked(spark, folder):
+    rows = _change(1, 4, "insert", (1, "a")), _change(2, 8, "update", (2, "a"), (1, "a")), _change(3, 9, "update", (2, "b"), (2, "a"))
+    assert _sink_state(spark, f"{folder}/keep", {}, *rows)[0] == [(1, "a"), (2, "b")]
+    assert _sink_state(spark, f"{folder}/move", {"key_change": "move"}, *rows)[0] == [(2, "b")]
+
+
+def test_a_log_without_seq_is_ordered_by_position(spark, folder):
+    rows = (
+        _change(None, 4, "insert", (1, "first")),
+        _change(None, 100, "update", (1, "last"), row=3),
+        _change(None, 100, "update", (1, "middle"), row=1),
+    )
+    state, table = _sink_state(spark, folder, {"version": "position", "files_per_batch": "1"}, *rows)
+    assert state == [(1, "last")]
+    table.compact()
+    assert [(r.id, r.v) for r in table.current().collect()] == [(1, "last")]
+    files = list((Path(folder) / "a/t/log/batch=0").glob("*.parquet"))
+    assert len(files) == 1

@@ -113,6 +113,14 @@ def test_a_repeated_batch_changes_nothing(spark, folder):
     assert read_monitor(spark, job.monitor_root, "sync_positions").count() == 3
 
 
+def test_a_log_without_seq_is_monitored_by_position(spark, folder):
+    job = _job(folder)
+    for n, rows in enumerate(BATCHES):
+        job(spark.createDataFrame([(None, *r[1:]) for r in rows], CHANGE_LOG), n)
+    events = read_monitor(spark, job.monitor_root, "sync_events").where("target_name = 'ClickHouse:copy'")
+    assert [r.binlog_pos for r in events.orderBy("seq").collect()] == [10, 40, 40, 80, 80]
+
+
 def test_monitoring_can_be_switched_off(spark, folder):
     job = _job(folder, monitor_enabled=False)
     job(spark.createDataFrame(BATCHES[0], CHANGE_LOG), 0)
