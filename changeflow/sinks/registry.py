@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.functions.names import POSITION_VERSION
@@ -20,6 +21,8 @@ SinkFactory = Callable[[TargetConfig, dict[str, T.StructType], str], Sink]
 # Kinds that are known but have no writer.
 NOT_IMPLEMENTED = ("elasticsearch", "mysql")
 
+NO_SEQ = "a change has no seq: set the target option version=position"
+
 _factories: dict[str, SinkFactory] = {}
 
 
@@ -85,6 +88,8 @@ def table_sink(target: TargetConfig, schemas: dict[str, T.StructType], root: str
         for name, table in current_tables(changes.sparkSession, target, schemas, root).items():
             counted = Observation()
             rows = changes.where(changes["table_name"] == name)
+            if not by_position:
+                rows = rows.withColumn("seq", F.coalesce("seq", F.raise_error(F.lit(NO_SEQ))))
             good, bad = parse_images(rows, schemas[name], counted, keep_before=move)
             if move:
                 good = good.unionByName(key_moves(good, table.keys[0]))

@@ -225,6 +225,11 @@ def test_a_changed_key_moves_only_when_asked(spark, folder):
     assert _sink_state(spark, f"{folder}/move", {"key_change": "move"}, *rows)[0] == [(2, "b")]
 
 
+def test_a_change_without_seq_is_refused_by_default(spark, folder):
+    with pytest.raises(Exception, match="version=position"):
+        _sink_state(spark, folder, {}, _change(None, 4, "insert", (1, "a")))
+
+
 def test_a_log_without_seq_is_ordered_by_position(spark, folder):
     rows = (
         _change(None, 4, "insert", (1, "first")),
