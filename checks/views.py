@@ -81,7 +81,8 @@ VIEWS = {
         FROM orders""",
     "order_changes": """
         SELECT l_orderkey AS id, l_extendedprice AS payload, l_linestatus AS status,
-               cast(l_linenumber AS bigint) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS _version,
+               cast(l_linenumber AS bigint) * 1000000000000000000 + l_partkey * 1000000000000
+                   + cast(floor(l_extendedprice * 100) AS bigint) * 10000 + l_suppkey AS _version,
                l_returnflag = 'R' AS _deleted
         FROM lineitem""",
 }
