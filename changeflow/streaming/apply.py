@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
@@ -27,7 +27,7 @@ from changeflow.operators.records import (
 from changeflow.schemas import ACTIONS, BATCH
 from changeflow.sinks.monitor_tables import append_monitor, discard_batch
 from changeflow.sinks.registry import Sink, resolve_sinks
-from changeflow.targets import TargetConfig, target_tables
+from changeflow.targets import TargetConfig
 
 
 @dataclass(frozen=True)
@@ -62,20 +62,33 @@ class ApplyJob:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        in_thread = inheritable_thread_target(batch.sparkSession)
         try:
-            outcomes = self._write_targets(batch, batch_id)
-            if self.monitor_enabled and self.monitor_root:
-                self._write_monitor(batch, batch_id, outcomes)
+            # every target at once, so that a slow one delays no other
+            with ThreadPoolExecutor(len(self.active) + 2) as pool:
+                writes = [pool.submit(in_thread(self._write_target), batch, batch_id, t) for t in self.active]
+                if self._monitored:
+                    log = batch.withColumn("seq", event_sequence())
+                    carry = self._carry(batch.sparkSession, batch_id)
+                    steps = [
+                        pool.submit(in_thread(step), log, batch_id, carry)
+                        for step in (self._write_positions, self._save_carry)
+                    ]
+                outcomes = [w.result() for w in writes]
+                if self._monitored:
+                    self._write_events(log, batch_id, carry, outcomes)
+                    for step in steps:
+                        step.result()
         finally:
             batch.unpersist()
 
-    def _write_targets(self, batch: DataFrame, batch_id: int) -> list[Outcome]:
-        """Write to all targets at once, so that a slow one delays no other."""
-        if len(self.active) == 1:
-            return [self._write_target(batch, batch_id, self.active[0])]
-        write = inheritable_thread_target(batch.sparkSession)(self._write_target)
-        with ThreadPoolExecutor(len(self.active)) as pool:
-            return list(pool.map(lambda t: write(batch, batch_id, t), self.active))
+    @property
+    def _monitored(self) -> bool:
+        return self.monitor_enabled and self.monitor_root is not None
+
+    @property
+    def _now(self) -> Column:
+        return self.recorded_at if self.recorded_at is not None else F.current_timestamp()
 
     def _changes(self, batch: DataFrame, target: TargetConfig) -> DataFrame:
         wanted = F.col("table_name").isin(list(target.tables)) & F.col("action").isin(*ACTIONS)
@@ -110,26 +123,21 @@ class ApplyJob:
             self.sinks[target.qualified_name](spark.read.parquet(folder), batch_id)
             storage.delete(spark, folder)
 
-    def _write_monitor(self, batch: DataFrame, batch_id: int, outcomes: list[Outcome]) -> None:
-        spark = batch.sparkSession
-        now = self.recorded_at if self.recorded_at is not None else F.current_timestamp()
-        label = f"apply-{batch_id:09d}"
-        batch = batch.withColumn("seq", event_sequence())
-
-        append_monitor(position_records(batch, now), self.monitor_root, "sync_positions", label)
+    def _write_positions(self, log: DataFrame, batch_id: int, carry: DataFrame | None) -> None:
+        append_monitor(position_records(log, self._now), self.monitor_root, "sync_positions", _label(batch_id))
 
-        carry = self._carry(spark, batch_id)
-        positioned = event_positions(batch, carry=carry)
+    def _write_events(self, log: DataFrame, batch_id: int, carry: DataFrame | None, outcomes: list[Outcome]) -> None:
+        """Event records with the real outcome of every target, and one error record per table a target refused."""
+        positioned = event_positions(log, carry=carry)
         events = collapse_rows(positioned.where(F.col("action").isin(*ACTIONS)), extra=["last_pos"])
-        routes = target_tables(spark, self.active).join(_outcome_frame(spark, outcomes), "target_name")
-        records = event_records(events, now, routes=routes, duration_ms=F.col("duration_ms"), error=F.col("error"))
-        append_monitor(records, self.monitor_root, "sync_events", label)
+        routes = _outcome_routes(log.sparkSession, self.active, outcomes)
+        records = event_records(events, self._now, routes=routes, duration_ms=F.col("duration_ms"), error=F.col("error"))
+        append_monitor(records, self.monitor_root, "sync_events", _label(batch_id))
 
-        discard_batch(spark, self.monitor_root, "sync_errors", label)
+        discard_batch(log.sparkSession, self.monitor_root, "sync_errors", _label(batch_id))
         if any(o.error for o in outcomes):
             failed = routes.where(F.col("error").isNotNull()).withColumn("message", F.col("error"))
-            append_monitor(error_records(failed, now), self.monitor_root, "sync_errors", label)
-        self._save_carry(batch, batch_id, carry)
+            append_monitor(error_records(failed, self._now), self.monitor_root, "sync_errors", _label(batch_id))
 
     def _carry(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         """The last control row of the earlier batches."""
@@ -138,21 +146,41 @@ class ApplyJob:
             return None
         return spark.read.parquet(f"{self.monitor_root}/_carry/{BATCH}={earlier[-1]}")
 
-    def _save_carry(self, batch: DataFrame, batch_id: int, carry: DataFrame | None) -> None:
-        control = last_control(batch)
+    def _save_carry(self, log: DataFrame, batch_id: int, carry: DataFrame | None) -> None:
+        control = last_control(log)
         if carry is not None:
             control = control.unionByName(carry)
         newest = control.orderBy(F.col("seq").desc()).limit(1)  # only the newest file can go on
         path = f"{self.monitor_root}/_carry"
         newest.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-        for old in storage.finished(batch.sparkSession, path, BATCH):
+        for old in storage.finished(log.sparkSession, path, BATCH):
             if old < batch_id - 1:
-                storage.delete(batch.sparkSession, f"{path}/{BATCH}={old}")
+                storage.delete(log.sparkSession, f"{path}/{BATCH}={old}")
+
+
+def _label(batch_id: int) -> str:
+    return f"apply-{batch_id:09d}"
+
+
+_ROUTE = pa.schema(
+    [
+        ("target_name", pa.string()),
+        ("table_name", pa.string()),
+        ("enabled", pa.bool_()),
+        ("duration_ms", pa.int64()),
+        ("error", pa.string()),
+    ]
+)
 
 
-def _outcome_frame(spark: SparkSession, outcomes: Sequence[Outcome]) -> DataFrame:
-    schema = pa.schema([("target_name", pa.string()), ("duration_ms", pa.int64()), ("error", pa.string())])
-    return spark.createDataFrame(pa.Table.from_pylist([asdict(o) for o in outcomes], schema=schema))
+def _outcome_routes(spark: SparkSession, targets: Sequence[TargetConfig], outcomes: Sequence[Outcome]) -> DataFrame:
+    """One row per target and table with the outcome of the target, as a local relation."""
+    rows = [
+        {"target_name": t.qualified_name, "table_name": table, "enabled": True, "duration_ms": o.duration_ms, "error": o.error}
+        for t, o in zip(targets, outcomes, strict=True)
+        for table in dict.fromkeys(t.tables)
+    ]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_ROUTE))
 
 
 def start_apply(changes: DataFrame, job: ApplyJob, checkpoint: str, *, available_now: bool = False, interval: str = "10 seconds") -> StreamingQuery:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from changeflow import storage
 from changeflow.functions.labels import error_labels, event_labels
-from changeflow.functions.names import file_number, target_aliases
+from changeflow.functions.names import target_aliases
 from changeflow.functions.ranges import TimeRange, moment, timestamp
 from changeflow.operators import decode, filters, listing, records, route, series, state, stats
 from changeflow.plans import status
@@ -125,13 +125,16 @@ class Views:
 # --- sources -------------------------------------------------------------------------------
 
 
-def write_in_order(df: DataFrame, label: str, slices: int = 4, fmt: str = "parquet") -> str:
+def slices(df: DataFrame, n: int) -> list[DataFrame]:
+    """All rows in ``n`` parts, each a range of the log."""
+    step = df.agg(F.max("seq")).first()[0] // n + 1
+    return [df.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)) for i in range(n)]
+
+
+def write_in_order(df: DataFrame, label: str, fmt: str = "parquet") -> str:
     """Rows as files that appear in log order, the order in which a file stream reads them."""
     path = scratch_dir(df.sparkSession, label)
-    newest = df.agg(F.max("seq")).first()[0]
-    step = newest // slices + 1
-    for n in range(slices):
-        part = df.where((F.col("seq") >= n * step) & (F.col("seq") < (n + 1) * step))
+    for part in slices(df, 4):
         part.write.mode("append").format(fmt).save(path)
     return path
 
@@ -255,16 +258,9 @@ def _image_table(spark: SparkSession, label: str) -> CurrentTable:
     return CurrentTable(spark, scratch_dir(spark, label), columns, ("table_name", "id"))
 
 
-def _in_batches(spark: SparkSession, sf_dir: str, label: str, batches: int = 3) -> tuple[CurrentTable, list[DataFrame]]:
-    """An empty table and the log cut into batches by log file."""
-    changes = Views(spark, sf_dir).versioned
-    number = file_number("binlog_file")
-    return _image_table(spark, label), [changes.where(number % batches == b) for b in range(batches)]
-
-
 @query
 def applied_images(spark, sf_dir):
-    table, parts = _in_batches(spark, sf_dir, "applied")
+    table, parts = _image_table(spark, "applied"), slices(Views(spark, sf_dir).versioned, 3)
     for batch, rows in enumerate(parts):
         table.append(rows, batch)
     table.append(parts[-1], len(parts) - 1)  # a repeated batch must not add rows
@@ -274,11 +270,12 @@ def applied_images(spark, sf_dir):
 @query
 def compacted_state(spark, sf_dir):
     """Batches arrive out of log order, with a compaction after each but the last."""
-    table, parts = _in_batches(spark, sf_dir, "compacted")
-    for batch, rows in enumerate(parts):
-        table.append(rows, batch)
-        if batch < len(parts) - 1:
-            table.compact()
+    table, (first, second, third) = _image_table(spark, "compacted"), slices(Views(spark, sf_dir).versioned, 3)
+    table.append(second, 0)
+    table.compact()
+    table.append(third, 1)
+    table.compact()
+    table.append(first, 2)
     return table.current().select(*STATE_COLUMNS)
 
 
