@@ -1,17 +1,20 @@
 """A replicated table on shared storage: an append-only log of row images and a compacted snapshot.
 
     <path>/log/batch=<n>/         row images of micro-batch n, with _version and _deleted
-    <path>/snapshot/upto=<n>/     newest row of each key over batches 0..n
+    <path>/snapshot/v=<k>/        newest row of each key over the batches listed in
+    <path>/included/v=<k>/
     <path>/quarantine/batch=<n>/  rows that do not fit the table
 
-A folder counts once its ``_SUCCESS`` marker is there, so the newest finished snapshot names the
-batches still to be read, and writing a batch again replaces it.
+A folder counts once its ``_SUCCESS`` marker is there, and writing a batch again replaces it. The
+list says which batches a snapshot holds, so a batch that a failed target takes late, after a
+compaction, is still seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +23,7 @@ from changeflow import storage
 from changeflow.operators.state import latest_per_key, merge_onto, patch_onto, without_deleted
 from changeflow.schemas import BATCH, DELETED, VERSION
 
-UPTO = "upto"
+SNAPSHOT = "v"
 
 # Bytes of Parquet log up to which its newest rows are broadcast to the snapshot.
 PATCH_BYTES = 32 << 20
@@ -62,29 +65,32 @@ class CurrentTable:
     def batches(self) -> list[int]:
         return storage.finished(self.spark, f"{self.path}/log", BATCH)
 
-    def snapshot_upto(self) -> int | None:
-        """Last batch in the newest snapshot, if there is one."""
-        done = storage.finished(self.spark, f"{self.path}/snapshot", UPTO)
+    def snapshot_version(self) -> int | None:
+        """Number of the newest snapshot, if there is one."""
+        done = storage.finished(self.spark, f"{self.path}/snapshot", SNAPSHOT)
         return done[-1] if done else None
 
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.schema)
+    def _included(self, version: int | None) -> set[int]:
+        """Batches a snapshot holds: one number per batch since the last ``vacuum``."""
+        if version is None:
+            return set()
+        listed = self.spark.read.schema(f"{BATCH} bigint").parquet(f"{self.path}/included/{SNAPSHOT}={version}")
+        return {row[0] for row in listed.collect()}
 
-    def log(self, after: int | None = None) -> DataFrame:
-        """Row images of the batches after ``after``, all by default."""
-        return self._read_batches([b for b in self.batches() if after is None or b > after])
+    def log(self) -> DataFrame:
+        """Row images of all batches."""
+        return self._read_batches(self.batches())
 
     def _read_batches(self, batches: Sequence[int]) -> DataFrame:
         if not batches:
-            return self._empty()
+            return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/log/{BATCH}={b}" for b in batches])
 
-    def _newest(self, batches: Sequence[int], upto: int | None) -> DataFrame:
-        """Newest row of each key, tombstones included: the snapshot with the later batches applied."""
-        if upto is None:
-            return latest_per_key(self._read_batches(batches), self.keys)
-        snapshot = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot/{UPTO}={upto}")
-        pending = [b for b in batches if b > upto]
+    def _newest(self, version: int | None, pending: Sequence[int]) -> DataFrame:
+        """Newest row of each key, tombstones included: the snapshot with the pending batches applied."""
+        if version is None:
+            return latest_per_key(self._read_batches(pending), self.keys)
+        snapshot = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot/{SNAPSHOT}={version}")
         if not pending:
             return snapshot
         size = sum(storage.size(self.spark, f"{self.path}/log/{BATCH}={b}") for b in pending)
@@ -93,36 +99,43 @@ class CurrentTable:
 
     def current(self) -> DataFrame:
         """The visible rows: newest version of each key, without deleted keys."""
-        return without_deleted(self._newest(self.batches(), self.snapshot_upto()))
+        version = self.snapshot_version()
+        included = self._included(version)
+        return without_deleted(self._newest(version, [b for b in self.batches() if b not in included]))
 
     def compact(self, forget_before: int | None = None) -> int | None:
-        """Write a snapshot of everything applied so far and return its last batch.
+        """Write a snapshot of everything applied so far and return its number.
 
         Readers go on with the old snapshot until the new one is finished. Tombstones
         stay, so that an older image arriving late cannot bring a key back;
         ``forget_before`` drops those with a smaller version.
         """
-        batches, upto = self.batches(), self.snapshot_upto()
-        if not batches or (upto is not None and batches[-1] <= upto):
-            return upto
-        rows = self._newest(batches, upto)
+        version, batches = self.snapshot_version(), self.batches()
+        included = self._included(version)
+        pending = [b for b in batches if b not in included]
+        if not pending:
+            return version
+        rows = self._newest(version, pending)
         if forget_before is not None:
             rows = rows.where(~F.col(DELETED) | (F.col(VERSION) >= forget_before))
-        rows.write.mode("overwrite").parquet(f"{self.path}/snapshot/{UPTO}={batches[-1]}")
-        return batches[-1]
+        new = 0 if version is None else version + 1
+        listed = self.spark.createDataFrame(pa.table({BATCH: pa.array(batches, pa.int64())}))
+        listed.write.mode("overwrite").parquet(f"{self.path}/included/{SNAPSHOT}={new}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/snapshot/{SNAPSHOT}={new}")
+        return new
 
     def vacuum(self) -> None:
-        """Delete batches and snapshots the newest snapshot replaces. Run it when no
-        reader still uses them."""
-        upto = self.snapshot_upto()
-        if upto is None:
-            return
+        """Delete the batches the newest snapshot holds, and older snapshots. Run it
+        when no reader still uses them."""
+        version = self.snapshot_version()
+        included = self._included(version)
         for batch in self.batches():
-            if batch <= upto:
+            if batch in included:
                 storage.delete(self.spark, f"{self.path}/log/{BATCH}={batch}")
-        for old in storage.finished(self.spark, f"{self.path}/snapshot", UPTO):
-            if old < upto:
-                storage.delete(self.spark, f"{self.path}/snapshot/{UPTO}={old}")
+        for old in storage.finished(self.spark, f"{self.path}/snapshot", SNAPSHOT):
+            if old < version:
+                storage.delete(self.spark, f"{self.path}/snapshot/{SNAPSHOT}={old}")
+                storage.delete(self.spark, f"{self.path}/included/{SNAPSHOT}={old}")
 
 
 def compact_tables(tables: dict[str, CurrentTable]) -> dict[str, str]:

@@ -25,7 +25,7 @@ from changeflow.operators.records import (
     position_records,
 )
 from changeflow.schemas import ACTIONS, BATCH
-from changeflow.sinks.monitor_tables import append_monitor, discard_batch
+from changeflow.sinks.monitor_tables import append_monitor, create_monitor_tables, discard_batch
 from changeflow.sinks.registry import Sink, resolve_sinks
 from changeflow.targets import TargetConfig
 
@@ -183,8 +183,12 @@ def _outcome_routes(spark: SparkSession, targets: Sequence[TargetConfig], outcom
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_ROUTE))
 
 
-def start_apply(changes: DataFrame, job: ApplyJob, checkpoint: str, *, available_now: bool = False, interval: str = "10 seconds") -> StreamingQuery:
+def start_apply(
+    changes: DataFrame, job: ApplyJob, checkpoint: str, *, available_now: bool = False, interval: str = "10 seconds"
+) -> StreamingQuery:
     """Start the job on a change log stream; it resumes from ``checkpoint``."""
+    if job.monitor_enabled and job.monitor_root:
+        create_monitor_tables(changes.sparkSession, job.monitor_root)
     writer = changes.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint)
     if available_now:
         return writer.trigger(availableNow=True).start()

@@ -50,30 +50,46 @@ def test_compaction_keeps_the_state(spark, folder, monkeypatch, small):
     assert table.compact() is None
     _append(table, 0, (1, "a", 1, False), (2, "b", 2, False), (3, "c", 3, False))
     _append(table, 1, (2, "b", 5, True))
-    assert table.compact() == 1
-    assert table.compact() == 1
+    assert table.compact() == 0
+    assert table.compact() == 0
     assert _state(table) == [(1, "a"), (3, "c")]
     _append(table, 2, (2, "late", 4, False), (3, "C", 6, False), (4, "d", 7, False))
     assert _state(table) == [(1, "a"), (3, "C"), (4, "d")]
-    assert table.compact() == 2
+    assert table.compact() == 1
     assert _state(table) == [(1, "a"), (3, "C"), (4, "d")]
     table.vacuum()
-    assert table.batches() == [] and table.snapshot_upto() == 2
+    assert table.batches() == [] and table.snapshot_version() == 1
     assert _state(table) == [(1, "a"), (3, "C"), (4, "d")]
     _append(table, 3, (1, "a", 9, True))
     assert _state(table) == [(3, "C"), (4, "d")]
     table.compact(forget_before=8)
-    snapshot = spark.read.parquet(f"{folder}/t/snapshot/upto=3")
+    snapshot = spark.read.parquet(f"{folder}/t/snapshot/v=2")
     assert sorted((r.id, r._deleted) for r in snapshot.collect()) == [(1, True), (3, False), (4, False)]
 
 
+def test_a_batch_taken_after_a_compaction_is_seen(spark, folder):
+    table = _table(spark, folder)
+    _append(table, 0, (1, "a", 1, False))
+    _append(table, 2, (2, "b", 5, False))
+    table.compact()
+    table.vacuum()
+    _append(table, 1, (1, "A", 3, False), (2, "old", 4, False))
+    assert _state(table) == [(1, "A"), (2, "b")]
+    table.compact()
+    table.vacuum()
+    _append(table, 0, (1, "a", 1, False))  # a repeated batch, already in the snapshot before
+    assert _state(table) == [(1, "A"), (2, "b")]
+    table.compact()
+    assert _state(table) == [(1, "A"), (2, "b")]
+
+
 def test_an_unfinished_folder_does_not_count(spark, folder):
     table = _table(spark, folder)
     _append(table, 0, (1, "a", 1, False))
-    for unfinished in ("log/batch=1", "snapshot/upto=9"):
+    for unfinished in ("log/batch=1", "snapshot/v=9"):
         spark.createDataFrame([(1, "x", 99, False)], ROW).write.parquet(f"{folder}/t/{unfinished}")
         storage.delete(spark, f"{folder}/t/{unfinished}/_SUCCESS")
-    assert table.batches() == [0] and table.snapshot_upto() is None
+    assert table.batches() == [0] and table.snapshot_version() is None
     assert _state(table) == [(1, "a")]
 
 
@@ -87,7 +103,7 @@ def test_one_failing_compaction_does_not_stop_the_others(spark, folder):
     _append(good, 0, (1, "a", 1, False))
     bad.compact = lambda: (_ for _ in ()).throw(OSError("disk"))
     assert compact_tables({"bad": bad, "good": good}) == {"bad": "disk"}
-    assert good.snapshot_upto() == 0
+    assert good.snapshot_version() == 0
 
 
 def _events(spark, *times):
@@ -131,6 +147,9 @@ def test_empty_tables_can_be_read(spark, folder):
     mt.create_monitor_tables(spark, folder)
     for table in MONITOR_TABLES:
         assert read_monitor(spark, folder, table, TimeRange.of("2024-01-01", "2024-02-01")).collect() == []
+    mt.append_monitor(_events(spark, "2024-01-01", "2024-02-01"), folder, "sync_events")
+    assert read_monitor(spark, folder, "sync_events").count() == 2
+    assert read_monitor(spark, folder, "sync_events", TimeRange.of("2024-01-31", None)).count() == 1
 
 
 TIMES = ("2023-11-30", "2023-12-31 23:59:59", "2024-01-10", "2024-01-10 00:00:01", "2024-02-01")

@@ -71,6 +71,7 @@ def test_apply_resumes_from_its_checkpoint(spark, folder):
     assert [(r.seq, r.binlog_file, r.binlog_pos, r.rows_count, r.success) for r in events.collect()] == [
         (2, "f.000001", 10, 1, 1), (5, "f.000001", 40, 2, 1), (6, "f.000001", 40, 1, 1), (9, "f.000001", 80, 1, 1), (11, "f.000001", 80, 1, 1),
     ]
+    assert read_monitor(spark, job.monitor_root, "sync_errors").collect() == []
     positions = read_monitor(spark, job.monitor_root, "sync_positions").orderBy("seq").collect()
     assert [(p.seq, p.delay_seconds) for p in positions] == [(1, 3600), (4, 3600), (8, 3600)]
 
