@@ -61,18 +61,20 @@ def merge_onto(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str] = KE
 
 
 def patch_onto(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``merge_onto`` for a change log the caller has checked to be small.
+    """``merge_onto`` for a small change log.
 
-    The newest changes are broadcast, so the snapshot is not shuffled: it is read
-    once to replace rows, and its key columns once more to find the keys it lacks.
+    When Spark finds the newest changes below its broadcast threshold, the snapshot
+    is not shuffled: it is read once to replace rows, and its key columns once more
+    to find the keys it lacks. Above the threshold the joins shuffle, and
+    ``merge_onto`` is the better choice.
     """
     columns = snapshot.columns
     newest = latest_per_key(changes, keys).select(*columns)
     new = newest.select(*keys, F.struct(*columns).alias("_new"))
     newer = F.col(f"_new.{VERSION}") > F.col(VERSION)
-    kept = snapshot.join(F.broadcast(new), list(keys), "left_outer").select(
+    kept = snapshot.join(new, list(keys), "left_outer").select(
         *[F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
     )
-    present = snapshot.select(*keys).join(F.broadcast(newest.select(*keys)), list(keys), "left_semi")
+    present = snapshot.select(*keys).join(newest.select(*keys), list(keys), "left_semi")
     added = newest.join(present, list(keys), "left_anti")
     return kept.unionByName(added)

@@ -36,6 +36,11 @@ def build_session(
     return builder.getOrCreate()
 
 
+def broadcast_threshold(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a join side in this session; -1 for never."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 _local_scratch: str | None = None
 
 

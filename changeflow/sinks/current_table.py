@@ -22,12 +22,10 @@ from pyspark.sql import types as T
 from changeflow import storage
 from changeflow.operators.state import latest_per_key, merge_onto, patch_onto, without_deleted
 from changeflow.schemas import BATCH, DELETED, VERSION
+from changeflow.session import broadcast_threshold
 
 SNAPSHOT = "v"
 
-# Bytes of Parquet log up to which its newest rows are broadcast to the snapshot.
-PATCH_BYTES = 32 << 20
-
 
 class CurrentTable:
     def __init__(
@@ -94,7 +92,7 @@ class CurrentTable:
         if not pending:
             return snapshot
         size = sum(storage.size(self.spark, f"{self.path}/log/{BATCH}={b}") for b in pending)
-        merge = patch_onto if size <= PATCH_BYTES else merge_onto
+        merge = patch_onto if 2 * size <= broadcast_threshold(self.spark) else merge_onto  # rows are held twice
         return merge(snapshot, self._read_batches(pending), self.keys)
 
     def current(self) -> DataFrame:

@@ -42,10 +42,31 @@ def test_a_repeated_batch_replaces_itself(spark, folder):
     assert _state(table) == [(1, "A"), (2, "b")]
 
 
+@pytest.fixture
+def broadcasts(spark):
+    def allow(yes):
+        if not yes:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    yield allow
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_a_small_log_does_not_shuffle_the_snapshot(spark, folder, broadcasts, small):
+    broadcasts(small)
+    table = _table(spark, folder)
+    _append(table, 0, (1, "a", 1, False))
+    table.compact()
+    _append(table, 1, (1, "A", 2, False))
+    plan = table.current()._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan and "FullOuter" in plan) is not small
+    assert ("BroadcastHashJoin" in plan) is small
+
+
 @pytest.mark.parametrize("small", [True, False])
-def test_compaction_keeps_the_state(spark, folder, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr("changeflow.sinks.current_table.PATCH_BYTES", -1)
+def test_compaction_keeps_the_state(spark, folder, broadcasts, small):
+    broadcasts(small)
     table = _table(spark, folder)
     assert table.compact() is None
     _append(table, 0, (1, "a", 1, False), (2, "b", 2, False), (3, "c", 3, False))
