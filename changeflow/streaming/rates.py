@@ -56,9 +56,18 @@ def position_stream(positions: DataFrame) -> DataFrame:
     return current_position(positions)
 
 
-def deduplicated_stream(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Each event once per target; copies may be ``lateness`` apart."""
-    return _event_time(events, lateness).dropDuplicatesWithinWatermark(["seq", "target_name"])
+def deduplicated_stream(events: DataFrame, lateness: str = LATENESS, salts: int = 1) -> DataFrame:
+    """Each event once per target; copies may be ``lateness`` apart.
+
+    Where one event may make up much of the stream, ``salts`` first removes copies in
+    that many groups of input tasks, so its copies do not all go to one task.
+    """
+    key = ["seq", "target_name"]
+    timed = _event_time(events, lateness)
+    if salts > 1:
+        salted = timed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        timed = salted.dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
+    return timed.dropDuplicatesWithinWatermark(key)
 
 
 def late_rows(progress: Iterable[StreamingQueryProgress]) -> int:

@@ -180,9 +180,10 @@ def test_newest_position_as_a_stream(spark, folder):
     assert [(r.target_name, r.binlog_pos, r.delay_seconds) for r in read_latest(spark, f"{folder}/out").collect()] == [("main", 200, 2)]
 
 
-def test_copies_within_the_watermark_are_dropped(spark, folder):
+@pytest.mark.parametrize("salts", [1, 3])
+def test_copies_within_the_watermark_are_dropped(spark, folder, salts):
     events = _stream(spark, folder, [_event(1, 0), _event(1, 0), _event(1, 0, target="b")], [_event(1, 0), _event(2, 5)])
-    once = deduplicated_stream(events)
+    once = deduplicated_stream(events, salts=salts)
     start_push(once, f"{folder}/out", f"{folder}/cp", mode="append", available_now=True).awaitTermination()
     got = spark.read.parquet(f"{folder}/out").select("seq", "target_name").collect()
     assert sorted(map(tuple, got)) == [(1, "a"), (1, "b"), (2, "a")]
