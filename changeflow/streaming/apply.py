@@ -42,7 +42,7 @@ class ApplyJob:
     """Writes each micro-batch to every enabled target.
 
     A target that fails does not stop the others: its changes of the batch are kept
-    under ``<root>/_retry`` and written first with the next batch. Rows carry their
+    under ``<root>/_retry`` and tried again with the next batch. Rows carry their
     version, so the order of arrival does not matter. Every output is a folder named
     after the batch, so a repeated batch replaces its earlier attempt.
     """
@@ -104,6 +104,9 @@ class ApplyJob:
         error = None
         try:
             self.retry(batch.sparkSession, target, before=batch_id)
+        except Exception:
+            pass  # it stays pending, its error is on record, and later batches need not wait for it
+        try:
             sink(changes, batch_id)
         except Exception as failure:
             error = str(failure).split("\n", 1)[0]

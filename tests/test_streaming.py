@@ -104,6 +104,21 @@ def test_a_failing_target_stops_no_other_and_catches_up(spark, folder):
     assert job.pending(spark, TARGETS[1]) == []
 
 
+def test_a_batch_that_keeps_failing_does_not_block_later_ones(spark, folder):
+    good = table_sink(TARGETS[1], SCHEMAS, f"{folder}/tables")
+
+    def poisoned(changes, batch_id):
+        if batch_id == 0:
+            raise ValueError("never")
+        good(changes, batch_id)
+
+    job = ApplyJob(TARGETS[1:], SCHEMAS, f"{folder}/tables", sinks={TARGETS[1].qualified_name: poisoned})
+    for n, rows in enumerate(BATCHES):
+        job(spark.createDataFrame(rows, CHANGE_LOG), n)
+    assert _state(spark, job, TARGETS[1])["t"] == [(1, "A"), (3, "c")]
+    assert job.pending(spark, TARGETS[1]) == [0]
+
+
 def test_a_repeated_batch_changes_nothing(spark, folder):
     job = _job(folder)
     for _ in range(2):
