@@ -37,10 +37,10 @@ WITH RECURSIVE words AS (
 ), candidates AS (
   SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM rare x JOIN rare y ON x.s = y.s AND x.doc_id < y.doc_id
 ), common AS (
-  SELECT a, b, count(*) AS both FROM candidates JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s
+  SELECT a, b, count(*) AS n_common FROM candidates JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s
   GROUP BY a, b
 ), links AS (
-  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both >= 80 * (p.n + q.n - both)
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * n_common >= 80 * (p.n + q.n - n_common)
 ), reach AS (
   SELECT doc_id AS start, doc_id AS node FROM documents
   UNION SELECT start, CASE WHEN a = node THEN b ELSE a END FROM reach JOIN links ON a = node OR b = node
