@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from changeflow.llm.common import table
 from changeflow.llm.near_dup import near_duplicates
+from changeflow.llm.quality import quality_verdicts
+
+
+def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of the statistics of all documents."""
+    return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +20,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_outliers": op1_quality_outliers,
     "op6_near_duplicates": op6_near_duplicates,
 }
 
