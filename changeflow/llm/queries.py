@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from changeflow.llm.common import table
+from changeflow.llm.line_dedup import without_common_lines
 from changeflow.llm.near_dup import near_duplicates
 from changeflow.llm.quality import quality_verdicts
 
@@ -19,9 +21,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten documents or more share."""
+    rows = without_common_lines(table(spark, sf_dir, "documents"), least_documents=10, least_chars=1)
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_line_dedup": op7_line_dedup,
 }
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -56,5 +65,19 @@ WITH RECURSIVE words AS (
 )
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
+    "op7_line_dedup": rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines
+), common AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(common.key)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common ON keyed.key = common.key GROUP BY doc_id
 """,
 }
