@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeflow.llm.common import table
 from changeflow.llm.line_dedup import without_common_lines
+from changeflow.llm.mixing import Mix, mix_sources
 from changeflow.llm.near_dup import near_duplicates
 from changeflow.llm.quality import quality_verdicts
 
@@ -16,6 +17,11 @@ def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix takes of each document: weights 3, 1, 2, 150 % of all words, no source more than twice."""
+    return mix_sources(table(spark, sf_dir, "documents"), Mix(weights=(3, 1, 2), percent=150, most=2))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: two-word shingles, similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -29,6 +35,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
+    "op2_mixing": op2_mixing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
 }
