@@ -21,6 +21,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -132,14 +133,16 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of rows (node, text)."""
+    """(node, shingles, low) of rows (node, text); ``low`` are the distinct lowest 16 bits of the shingles."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(text, shingle).view(np.int64) for text in text_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+            low = [np.unique(x.astype(np.int16)) for x in found]
+            made = [pa.array(found, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["node", "shingles", "low"])
 
-    return docs.select("node", "text").mapInArrow(sets, "node bigint, shingles array<bigint>")
+    return docs.select("node", "text").mapInArrow(sets, "node bigint, shingles array<bigint>, low array<smallint>")
 
 
 def estimated(left: Column, right: Column, functions: int = BANDS * ROWS) -> Column:
@@ -161,38 +164,51 @@ def cutoff(threshold: float, functions: int = BANDS * ROWS) -> float:
 
 
 def confirmed(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; their bits are compared first. Both joins on ``a``, which
-    may be a pivot of very many pairs, have no aggregate above them, so Spark may split such a partition."""
+    """The pairs (a, b) whose full sets reach the threshold. Before, the packed bits and then the lowest 16 bits of the
+    shingles rule out most of the others; a common shingle has common bits, so these never say too little. The joins on
+    ``a``, which may be a pivot of very many pairs, have no aggregate above them, so Spark may split such a partition."""
     bits_a = sig.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     bits_b = sig.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     near = pairs.join(bits_b, "b").join(bits_a, "a")
     near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = stored(near.where(estimated(F.col("bits_a"), F.col("bits_b")) >= cutoff(percent / 100)).select("a", "b", "n_a", "n_b"), "near")
-    set_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    set_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    exact = near.join(set_b, "b").join(set_a, "a").withColumn("both", both)
-    return exact.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    reach = lambda both: 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
+    low_a, low_b = (sets.select(F.col("node").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
+    met = F.least(F.col("n_a") - F.size("low_a"), F.col("n_b") - F.size("low_b"))  # shingles of one text that share their bits
+    likely = near.join(low_b, "b").join(low_a, "a").where(reach(F.size(F.array_intersect("low_a", "low_b")) + met))
+    likely = stored(likely.select("a", "b", "n_a", "n_b"), "likely")
+    set_a, set_b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    return likely.join(set_b, "b").join(set_a, "a").where(reach(F.size(F.array_intersect("set_a", "set_b")))).select("a", "b")
 
 
 def _pairs_in_blocks(members: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in each cell whose bits agree; members meet in blocks of about ``BLOCK``."""
+    """Pairs of different components in each cell whose bits agree, from members (cell, band, node, label). The largest
+    component of a cell meets the other members, and these meet each other, in blocks of about ``BLOCK``. A pair is taken
+    in the cell of the first band that it shares."""
     least = cutoff(percent / 100)
-    sizes = members.groupBy("cell").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = members.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    meets = meets.withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with"))
-    bits = sig.select("node", "bits")
-    rows = meets.join(bits, "node").select("cell", "i", "j", "chunk", "node", "label", "bits")
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        bits = np.array(pdf["bits"].tolist(), np.int64).view(np.uint64)
-        node, label, chunk = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["chunk"].to_numpy()
-        first, second = np.flatnonzero(chunk == key[1]), np.flatnonzero(chunk == key[2])
-        mask, functions = np.uint64(0x1111111111111111), BANDS * ROWS
-        made = []
+    parts = members.groupBy("cell", "label").agg(F.count("*").alias("size"))
+    sizes = parts.groupBy("cell").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("all"))
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = sizes.select("cell", F.col("main.label").alias("main"), chunks(F.col("main.size")).alias("n_main"), chunks(F.col("all") - F.col("main.size")).alias("n_rest"))
+    dealt = members.join(sizes, "cell").withColumn("in_main", F.col("label") == F.col("main"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    chunk = F.col("chunk")
+    with_rest = F.transform(upto("n_rest"), lambda k: place("main", k, chunk, F.lit(1)))
+    with_main = F.transform(upto("n_main"), lambda k: place("main", chunk, k, F.lit(0)))
+    among = F.transform(upto("n_rest"), lambda k: place("rest", F.least(k, chunk), F.greatest(k, chunk), (chunk > k).cast("int")))
+    meets = dealt.withColumn("at", F.explode(F.when(F.col("in_main"), with_rest).otherwise(F.concat(with_main, among))))
+    rows = meets.select("cell", "band", "node", "label", "at.*").join(sig.select("node", "bits", "bands"), "node")
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits, bands = (np.array(pdf[c].tolist(), np.int64) for c in ("bits", "bands"))
+        node, label, side = (pdf[c].to_numpy() for c in ("node", "label", "side"))
+        alone = key[1] == "rest" and key[2] == key[3]
+        first = np.flatnonzero(side == 0)
+        second = first if alone else np.flatnonzero(side == 1)
+        bits, mask, functions = bits.view(np.uint64), np.uint64(0x1111111111111111), BANDS * ROWS
+        made = [np.empty((2, 0), np.int64)]
         for k in first:
             x = bits[k] ^ bits[second]
             x |= x >> np.uint64(1)
@@ -200,11 +216,15 @@ def _pairs_in_blocks(members: DataFrame, sig: DataFrame, percent: int) -> DataFr
             differ = np.bitwise_count(x & mask).sum(axis=1, dtype=np.int64)
             like = ((functions - differ) / functions - 1 / 16) / (15 / 16)
             good = second[(like >= least) & (label[second] != label[k])]
-            a, b = np.minimum(node[k], node[good]), np.maximum(node[k], node[good])
-            made.append(pd.DataFrame({"a": a, "b": b}))
-        return pd.concat(made) if made else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            if alone:
+                good = good[node[good] > node[k]]
+            if len(good):
+                good = good[(bands[good] == bands[k]).argmax(axis=1) == pdf["band"].iat[k]]
+            made.append(np.stack([np.minimum(node[k], node[good]), np.maximum(node[k], node[good])]))
+        a, b = np.concatenate(made, axis=1)
+        return pd.DataFrame({"a": a, "b": b})
 
-    return rows.groupBy("cell", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("cell", "kind", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def linked_components(docs: DataFrame, sig: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -212,27 +232,27 @@ def linked_components(docs: DataFrame, sig: DataFrame, classes: DataFrame, shing
     wide = sig.where("n_shingles > 0").withColumnRenamed("doc_id", "node")
     reps = wide.join(classes, ["node", "key1", "key2"], "left_semi").select("node", F.col("n_shingles").alias("n"), "bits", "bands")
     reps = stored(reps, "reps")
-    cells = reps.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("cell"))
+    cells = reps.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    members = stored(cells.join(shared, "cell").select("cell", "node", "pivot"), "members")
+    members = stored(cells.join(shared, "cell").select("cell", "band", "node", "pivot"), "members")
     sets = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(shingle_sets(sets.select(F.col("doc_id").alias("node"), "text"), shingle), "sets")
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(confirmed(pairs, reps, sets, percent), "links")
     roots = connected_components(links)
     used = members.select("cell", "pivot").distinct()
-    open_cells = members.select("cell", "node")
+    open_cells = members.select("cell", "band", "node")
     turn, last = 0, False
     while not last:
         labels = roots.select("node", F.col("root").alias("label"))
-        labelled = open_cells.join(labels, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
+        labelled = open_cells.join(labels, "node", "left").select("cell", "band", "node", F.coalesce("label", "node").alias("label"))
         torn = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
         tried = used.groupBy("cell").agg(F.count("*").alias("tried"))
         torn = torn.where("low != high").join(tried, "cell").where("size - tried > 1").select("cell", "size")
         labelled = stored(labelled.join(torn, "cell"), "open")
         if not any_row(labelled):
             break
-        open_cells = labelled.select("cell", "node")
+        open_cells = labelled.select("cell", "band", "node")
         large = labelled.where(F.col("size") > BLOCK)
         last = turn == PIVOT_ROUNDS or not any_row(large)
         if last:
