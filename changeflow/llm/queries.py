@@ -10,6 +10,9 @@ from changeflow.llm.line_dedup import without_common_lines
 from changeflow.llm.mixing import Mix, mix_sources
 from changeflow.llm.near_dup import near_duplicates
 from changeflow.llm.quality import quality_verdicts
+from changeflow.llm.sharding import extendible_shards
+
+SHARD_BYTES = 1 << 20
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), Mix(weights=(3, 1, 2), percent=150, most=2))
 
 
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most 1 MiB of text of all documents."""
+    return extendible_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: two-word shingles, similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -36,6 +44,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_mixing": op2_mixing,
+    "op5_extendible_shards": op5_extendible_shards,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
 }
@@ -86,5 +95,19 @@ WITH lines AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(common.key)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common ON keyed.key = common.key GROUP BY doc_id
+""",
+    "op5_extendible_shards": f"""
+WITH rows AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+    lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits
+  FROM documents
+), every AS (
+  SELECT doc_id, bytes, d AS depth, substr(bits, 1, d) AS shard FROM rows, generate_series(0, 40) AS s(d)
+), sums AS (
+  SELECT shard, sum(bytes)::BIGINT AS shard_bytes, count(*) AS n FROM every GROUP BY shard
+)
+SELECT doc_id, bytes, arg_min(shard, depth) AS shard, min(depth)::INTEGER AS depth, 0::BIGINT AS page,
+  arg_min(shard_bytes, depth) AS shard_bytes
+FROM every JOIN sums USING (shard) WHERE shard_bytes <= {SHARD_BYTES} GROUP BY doc_id, bytes
 """,
 }
