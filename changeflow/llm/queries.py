@@ -11,6 +11,7 @@ from changeflow.llm.mixing import Mix, mix_sources
 from changeflow.llm.near_dup import near_duplicates
 from changeflow.llm.quality import quality_verdicts
 from changeflow.llm.sharding import extendible_shards
+from changeflow.llm.topk import top_k
 
 SHARD_BYTES = 1 << 20
 
@@ -41,12 +42,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of each hundredth vector with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, factor=1024)
+
+
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_mixing": op2_mixing,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -109,5 +116,16 @@ WITH rows AS (
 SELECT doc_id, bytes, arg_min(shard, depth) AS shard, min(depth)::INTEGER AS depth, 0::BIGINT AS page,
   arg_min(shard_bytes, depth) AS shard_bytes
 FROM every JOIN sums USING (shard) WHERE shard_bytes <= {SHARD_BYTES} GROUP BY doc_id, bytes
+""",
+    "op10_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id != q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
 """,
 }
