@@ -50,7 +50,7 @@ def clear_scratch(spark: SparkSession) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def python_ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def python_ready(spark: SparkSession, rows: int = BATCH_ROWS, batch_bytes: str = "16m") -> None:
     """Send this package to the Python workers, and bound what they get at a time, by rows and by bytes."""
     application = spark.sparkContext.applicationId
     if application not in _sent:
@@ -62,7 +62,7 @@ def python_ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.sparkContext.addPyFile(archive)
         _sent.add(application)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
 
 
 def text_of(batch_column) -> Iterator[bytes]:
@@ -75,6 +75,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str, folder: str = "/opt/tokenizers") -> str:
+    """Path of a public vocabulary file, which every machine has in ``folder``."""
+    return f"{folder}/{name}"
+
+
 def any_row(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 

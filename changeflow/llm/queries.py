@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import table
+from changeflow.llm.common import table, tokenizer_file
 from changeflow.llm.line_dedup import without_common_lines
 from changeflow.llm.mixing import Mix, mix_sources
 from changeflow.llm.near_dup import near_duplicates
 from changeflow.llm.quality import quality_verdicts
+from changeflow.llm.sampling import sampled_digests
 from changeflow.llm.sharding import extendible_shards
+from changeflow.llm.token_counts import token_counts
 from changeflow.llm.topk import top_k
 
 SHARD_BYTES = 1 << 20
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), Mix(weights=(3, 1, 2), percent=150, most=2))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents by the best segmentation over the public vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of at most 1 MiB of text of all documents."""
     return extendible_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
@@ -42,6 +50,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of all documents, decoded again."""
+    return sampled_digests(table(spark, sf_dir, "documents"), tokenizer_file(PIECES), seed=1, sharpness=1.0)
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of each hundredth vector with all others."""
     return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, factor=1024)
@@ -50,9 +63,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
+    "op9_sampled_pieces": op9_sampled_pieces,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
