@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.llm.common import table, tokenizer_file
+from changeflow.llm.language import language_id
 from changeflow.llm.line_dedup import without_common_lines
 from changeflow.llm.mixing import Mix, mix_sources
 from changeflow.llm.near_dup import near_duplicates
@@ -34,6 +35,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from three quarters of them."""
+    rows = language_id(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "n_languages")
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of at most 1 MiB of text of all documents."""
     return extendible_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
@@ -64,6 +71,7 @@ QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_language_mixture": op4_language_mixture,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
