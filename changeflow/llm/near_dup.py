@@ -275,16 +275,16 @@ def linked_components(docs: DataFrame, sig: DataFrame, classes: DataFrame, shing
     return roots
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
+def _keyed(docs: DataFrame) -> list[Column]:
+    """The id that a row goes by, and its text."""
+    text = docs["text"].cast("string")
+    of_text = F.lit(NO_ID) + F.pmod(F.coalesce(F.xxhash64(text), F.lit(0)), F.lit(NO_ID))
+    return [F.coalesce(docs["doc_id"].cast("bigint"), of_text).alias("doc_id"), text.alias("text")]
 
-    Two texts are linked if 100 * |common shingles| >= ``percent`` * |all shingles|. ``component_id`` is the smallest
-    doc_id reached over links; a text that is null, empty or without words is linked with nothing and is its own
-    component. Rows that repeat a doc_id are separate rows. A row without an id is linked like others but comes after
-    every id: its component_id is null if it reaches none, and one text of such a component is kept.
-    """
-    text = F.col("text").cast("string")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) + F.pmod(F.coalesce(F.xxhash64(text), F.lit(0)), F.lit(NO_ID))).alias("doc_id"), text.alias("text"))
+
+def _rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, root) of each row, by the ids that rows go by."""
+    keyed = docs.select(*_keyed(docs))
     sig = stored(signatures(keyed, shingle), "signatures")
     classes = sig.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("node"))
     classes = stored(classes, "classes")
@@ -292,5 +292,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rooted = classes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("root"))
     some = sig.where("n_shingles > 0").join(stored(rooted, "rooted"), ["key1", "key2"]).select("doc_id", "n_shingles", "root")
     none = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root"))
+    return some.unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
+
+    Two texts are linked if 100 * |common shingles| >= ``percent`` * |all shingles|. ``component_id`` is the smallest
+    doc_id reached over links; a text that is null, empty or without words is linked with nothing and is its own
+    component. Rows that repeat a doc_id are separate rows. A row without an id is linked like others but comes after
+    every id: its component_id is null if it reaches none, and one text of such a component is kept.
+    """
     named = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias({"root": "component_id"}.get(c, c))
-    return some.unionByName(none).select(named("doc_id"), "n_shingles", named("root"), (F.col("doc_id") == F.col("root")).alias("kept"))
+    rows = _rooted(docs, shingle, percent)
+    return rows.select(named("doc_id"), "n_shingles", named("root"), (F.col("doc_id") == F.col("root")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of ``docs``, with its columns: the row of the smallest id; texts without words all stay."""
+    kept = stored(_rooted(docs, shingle, percent).where("doc_id = root").select(F.col("doc_id").alias("its_id")), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _keyed(docs)[0].alias("its_id"))
+    rows = rows.join(kept.distinct(), "its_id", "left_semi")
+    if any_row(kept.groupBy("its_id").count().where("count > 1")):  # rows that repeat an id
+        rows = rows.dropDuplicates(["its_id"])
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
