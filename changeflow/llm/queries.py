@@ -11,6 +11,7 @@ from changeflow.llm.line_dedup import without_common_lines
 from changeflow.llm.mixing import Mix, mix_sources
 from changeflow.llm.near_dup import near_duplicates
 from changeflow.llm.quality import quality_verdicts
+from changeflow.llm.repair import token_files
 from changeflow.llm.sampling import sampled_digests
 from changeflow.llm.sharding import extendible_shards
 from changeflow.llm.token_counts import token_counts
@@ -18,6 +19,7 @@ from changeflow.llm.topk import top_k
 
 SHARD_BYTES = 1 << 20
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as grammar-compressed files and read back."""
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
+
+
 def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentations of all documents, decoded again."""
     return sampled_digests(table(spark, sf_dir, "documents"), tokenizer_file(PIECES), seed=1, sharpness=1.0)
@@ -75,6 +82,7 @@ QUERIES = {
     "op5_extendible_shards": op5_extendible_shards,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
+    "op8_token_files": op8_token_files,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_exact_top_k": op10_exact_top_k,
 }
