@@ -2,8 +2,8 @@
 
 A text is read with a space in front and with spaces as pieces write them. No piece goes on past a space that follows
 another character, so a text is the chain of its segments: a run of spaces with the characters up to the next space. Equal
-segments have equal lattices, and these are built for all distinct segments of a batch at once: one pass of the automaton
-lists the matches, and the sums go through the segments side by side, a character at a time.
+segments have equal lattices, and these are built for all distinct segments of a batch at once: the automaton and the
+sums go through the segments side by side, a character at a time.
 
 A character that is no piece itself is spelled with the vocabulary's byte pieces, and so is the space sign ``▁`` where a
 text has it. Control pieces match nothing.
@@ -12,25 +12,93 @@ text has it. Control pieces match nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import sentencepiece
 
 SPACE = "▁"
-BREAK = "\n"  # stands between segments; no piece holds it
+BREAK = "\n"  # no piece holds it
 UNKNOWN_PENALTY = 10.0
 _parts = re.compile(f"{SPACE}| *[^ {SPACE}]+| +")
 
 
+class Automaton:
+    """Aho-Corasick over pieces, for many strings side by side: a state for each, and one step for all of them.
+
+    ``step`` looks up the frequent characters in a table with failure links followed beforehand; for others it follows
+    them. The pieces that end in state s are ``pieces[starts[s] : starts[s + 1]]``, longest first.
+    """
+
+    FREQUENT = 160
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        children: list[dict[str, int]] = [{}]
+        own: list[int] = [-1]
+        for piece, i in pieces.items():
+            state = 0
+            for char in piece:
+                following = children[state].get(char)
+                if following is None:
+                    following = children[state][char] = len(children)
+                    children.append({})
+                    own.append(-1)
+                state = following
+            own[state] = i
+        n = len(children)
+        uses = Counter(chain.from_iterable(pieces))
+        common = [c for c, _ in uses.most_common(self.FREQUENT)]
+        self.column = np.full(0x110000, -1, np.int16)
+        self.column[[ord(c) for c in common]] = np.arange(len(common))
+        place = {c: k for k, c in enumerate(common)}
+        self.fail, self.table = np.zeros(n, np.int32), np.zeros((n, len(common)), np.int32)
+        ends: list[list[int]] = [[] for _ in range(n)]
+        queue = [0]
+        for state in queue:
+            fail = self.fail[state]
+            if state:
+                self.table[state] = self.table[fail]
+                ends[state] = ([own[state]] if own[state] >= 0 else []) + ends[fail]
+            for char, child in children[state].items():
+                back = fail
+                while state and back and char not in children[back]:
+                    back = self.fail[back]
+                self.fail[child] = children[back].get(char, 0) if state else 0
+                queue.append(child)
+            for char, child in children[state].items():
+                if char in place:
+                    self.table[state, place[char]] = child
+        rare = sorted((state << 21 | ord(c), child) for state in range(n) for c, child in children[state].items() if c not in place)
+        self.edge = np.array([e for e, _ in rare], np.int64)
+        self.target = np.array([t for _, t in rare], np.int32)
+        self.starts = np.r_[0, np.cumsum([len(e) for e in ends])]
+        self.pieces = np.fromiter(chain.from_iterable(ends), np.int32)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        column = self.column[codes]
+        out = self.table[state, column]
+        todo = np.flatnonzero(column < 0)
+        if len(todo):
+            out[todo] = 0
+            now = state[todo].astype(np.int64)
+            while len(todo) and len(self.edge):
+                key = now << 21 | codes[todo]
+                at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                hit = self.edge[at] == key
+                out[todo[hit]] = self.target[at[hit]]
+                more = ~hit & (now > 0)
+                todo, now = todo[more], self.fail[now[more]].astype(np.int64)
+        return out
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """``scores`` of ids, the id of each byte, the matching pieces with their lengths, and what decoding puts for an id."""
+    """``scores`` and ``lengths`` of ids (length 0: no match), the id of each byte, and what decoding puts for an id."""
 
-    automaton: ahocorasick.Automaton
+    automaton: Automaton
     lengths: np.ndarray
     scores: np.ndarray
     byte_ids: np.ndarray
@@ -43,7 +111,7 @@ def vocabulary(path: str) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.vocab_size()
     lengths, scores, byte_ids = np.zeros(n, np.int32), np.zeros(n), np.full(256, -1, np.int64)
-    decoded, automaton = [], ahocorasick.Automaton()
+    decoded, pieces = [], {}
     for i in range(n):
         piece = model.id_to_piece(i)
         scores[i] = model.get_score(i)
@@ -56,12 +124,11 @@ def vocabulary(path: str) -> Vocabulary:
             if BREAK in piece or (SPACE in piece.lstrip(SPACE)):
                 raise ValueError(f"piece {i} spans segments")
             lengths[i] = len(piece)
-            automaton.add_word(piece, i)
+            pieces[piece] = i
             decoded.append(piece.replace(SPACE, " ").encode())
     if (byte_ids < 0).any():
         raise ValueError("the vocabulary lacks byte pieces")
-    automaton.make_automaton()
-    return Vocabulary(automaton, lengths, scores, byte_ids, tuple(decoded), float(scores[lengths > 0].min()) - UNKNOWN_PENALTY)
+    return Vocabulary(Automaton(pieces), lengths, scores, byte_ids, tuple(decoded), float(scores[lengths > 0].min()) - UNKNOWN_PENALTY)
 
 
 def segments(text: str) -> list[str]:
@@ -85,65 +152,95 @@ def spelled(segment: str) -> str:
 
 @dataclass
 class Lattice:
-    """Edges of the lattices of some segments, by end node; nodes are places between characters.
+    """The lattices of some segments side by side. Nodes are places between characters, those of a level (characters before
+    them) together; ``first`` and ``last`` are the outer nodes of each segment.
 
-    ``first`` and ``last`` node of each segment; edges have ``start``, ``end``, piece ``piece`` (-1 - byte length for a
-    spelled character) and ``score``, and are sorted by ``level`` (characters up to the end) and end, longer pieces first.
+    Edges have ``start``, ``end``, ``piece`` (-1 - byte length for a spelled character) and ``score``; they are sorted by
+    end node, longer ones first, and ``bounds`` has where each level's begin.
     """
 
+    names: list[str]
+    written: list[str]
+    longest_first: np.ndarray
+    base: np.ndarray
     first: np.ndarray
     last: np.ndarray
     start: np.ndarray
     end: np.ndarray
     piece: np.ndarray
     score: np.ndarray
-    level: np.ndarray
-    chars: str
+    bounds: list[int]
+    nodes: int
 
     def levels(self):
-        """(edges, start of each end node's edges among them) of each level."""
-        bounds = np.searchsorted(self.level, np.arange(1, (self.level[-1] if len(self.level) else 0) + 2))
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        """(edges, where each end node's edges begin among them) of each level."""
+        for low, high in zip(self.bounds[:-1], self.bounds[1:], strict=True):
             if high > low:
                 end = self.end[low:high]
                 yield slice(low, high), np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
 
+    def spelled_bytes(self, edges: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
+        """Byte pieces of spelled characters, by edge."""
+        level = np.searchsorted(self.base, self.end[edges], side="right") - 1
+        owner = self.longest_first[self.end[edges] - self.base[level]]
+        made = []
+        for k, at in zip(owner, level - 1, strict=True):
+            char = SPACE if self.names[k] == SPACE + SPACE else self.written[k][at]
+            made.append(vocab.byte_ids[np.frombuffer(char.encode("utf-8", "surrogatepass"), np.uint8)])
+        return made
+
 
 def lattice(names: list[str], vocab: Vocabulary) -> Lattice:
+    machine = vocab.automaton
     written = [spelled(s) for s in names]
-    chars = BREAK.join(written) + BREAK
     sizes = np.fromiter(map(len, written), np.int64, len(written))
-    first = np.r_[0, np.cumsum(sizes + 1)[:-1]] if len(sizes) else np.empty(0, np.int64)
-    last = first + sizes
-    hits = np.array(list(vocab.automaton.iter(chars)), np.int32).reshape(-1, 2)
-    end, piece = hits[:, 0] + np.int32(1), hits[:, 1]
-    start = end - vocab.lengths[piece]
-    single = np.zeros(len(chars) + 1, bool)
-    single[start[end - start == 1]] = True
-    inside = np.ones(len(chars), bool)
-    inside[last] = False
-    lone = np.flatnonzero(inside & ~single[:-1])
-    codes = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)[lone]
-    size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-    whole = {k for k, s in enumerate(names) if s == SPACE + SPACE}
-    if whole:  # the space sign takes three bytes, and stands as BREAK
-        size = np.where(np.isin(lone, first[sorted(whole)]), 3, size)
-    if len(lone):  # behind the longer edges to the same place
-        start, end, piece = np.r_[start, lone.astype(np.int32)], np.r_[end, lone.astype(np.int32) + 1], np.r_[piece, -1 - size.astype(np.int32)]
-        order = np.argsort(end, kind="stable")
-        start, end, piece = start[order], end[order], piece[order]
-    level = end - np.repeat(first.astype(np.int32), sizes + 1)[end]
-    order = np.argsort(level.astype(np.uint16) if len(level) and level.max() < 65_536 else level, kind="stable")
-    start, end, piece, level = start[order], end[order], piece[order], level[order]
+    order = np.argsort(-sizes, kind="stable")
+    codes = np.frombuffer("".join(written).encode("utf-32-le", "surrogatepass"), np.uint32)
+    offset = (np.cumsum(sizes) - sizes)[order]
+    longest = int(sizes.max(initial=0))
+    active = len(sizes) - np.searchsorted(sizes[order][::-1], np.arange(longest + 1))  # segments with so many characters
+    base = np.r_[0, np.cumsum(active)]
+    sign = np.fromiter((names[k] == SPACE + SPACE for k in order), bool, len(order))
+    state = np.zeros(len(order), np.int32)
+    starts, ends, pieces, bounds = [], [], [], [0]
+    for level in range(1, longest + 1):
+        n = int(active[level])
+        at = codes[offset[:n] + (level - 1)]
+        state = machine.step(state[:n], at)
+        low = machine.starts[state]
+        count = machine.starts[state + 1] - low
+        owner = np.repeat(np.arange(n), count)
+        piece = machine.pieces[np.arange(len(owner)) + np.repeat(low - np.cumsum(count) + count, count)]
+        length = vocab.lengths[piece]
+        alone = np.ones(n, bool)
+        alone[owner[length == 1]] = False
+        lone = np.flatnonzero(alone)
+        if len(lone):  # behind the longer edges to the same place
+            c = at[lone]
+            size = 1 + (c >= 0x80).astype(np.int32) + (c >= 0x800) + (c >= 0x10000)
+            size[sign[lone]] = 3  # the space sign, which stands as BREAK
+            owner, piece, length = np.r_[owner, lone], np.r_[piece, -1 - size], np.r_[length, np.ones(len(lone), np.int32)]
+            sort = np.argsort(owner, kind="stable")
+            owner, piece, length = owner[sort], piece[sort], length[sort]
+        starts.append((base[level - length] + owner).astype(np.int32))
+        ends.append((base[level] + owner).astype(np.int32))
+        pieces.append(piece.astype(np.int32))
+        bounds.append(bounds[-1] + len(owner))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    empty = [np.empty(0, np.int32)]
+    piece = np.concatenate(pieces or empty)
     score = np.where(piece >= 0, vocab.scores[piece], vocab.unknown)
-    return Lattice(first, last, start, end, piece, score, level, chars)
+    return Lattice(
+        names, written, order, base, rank, base[sizes] + rank, np.concatenate(starts or empty), np.concatenate(ends or empty), piece, score, bounds, int(base[-1])
+    )
 
 
 def best_counts(names: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Pieces and score of the best path of each segment. Of equal paths to a place the one whose last piece is longest
     stays, as the tokenizer keeps the first of equal candidates."""
     lat = lattice(names, vocab)
-    best, count = np.full(len(lat.chars) + 1, -np.inf), np.zeros(len(lat.chars) + 1, np.int64)
+    best, count = np.full(lat.nodes, -np.inf), np.zeros(lat.nodes, np.int64)
     best[lat.first] = 0.0
     adds = np.where(lat.piece >= 0, 1, -1 - lat.piece)
     for edges, groups in lat.levels():
@@ -157,13 +254,3 @@ def best_counts(names: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nda
         best[ends] = top
         count[ends] = count[lat.start[edges][winner]] + adds[edges][winner]
     return count[lat.last], best[lat.last]
-
-
-def spelled_bytes(lat: Lattice, names: list[str], edge: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
-    """Byte pieces of spelled characters, by edge."""
-    owner = np.searchsorted(lat.first, lat.start[edge], side="right") - 1
-    made = []
-    for at, k in zip(lat.start[edge], owner, strict=True):
-        char = SPACE if names[k] == SPACE + SPACE else lat.chars[at]
-        made.append(vocab.byte_ids[np.frombuffer(char.encode("utf-8", "surrogatepass"), np.uint8)])
-    return made

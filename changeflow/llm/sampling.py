@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.llm.common import python_ready
-from changeflow.llm.pieces import Vocabulary, lattice, segments, spelled_bytes, vocabulary
+from changeflow.llm.pieces import Vocabulary, lattice, segments, vocabulary
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -44,7 +44,7 @@ def sampled_pieces(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed:
     weight = -sharpness * np.log1p(np.maximum(rank, 0.0))
     lone = -sharpness * np.log1p(2.0 * len(vocab.scores))
     value = np.where(lat.piece >= 0, weight[lat.piece], lone)
-    total = np.full(len(lat.chars) + 1, -np.inf)
+    total = np.full(lat.nodes, -np.inf)
     total[lat.first] = 0.0
     below = np.empty(len(value))  # of each edge, the share of its end's sum up to and with it
     low, high = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
@@ -60,10 +60,7 @@ def sampled_pieces(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed:
         run -= np.repeat(run[groups] - mass[groups], counts)
         below[edges] = run / np.repeat(whole, counts)
         low[ends], high[ends] = edges.start + groups, edges.start + groups + counts
-    order = np.repeat(np.arange(len(total)), high - low)  # edges by end node, to find one by a single search
-    by_node = np.arange(len(value))[np.argsort(lat.end, kind="stable")]
-    first_of = np.r_[0, np.cumsum(high - low)]
-    rising = order + np.minimum(below[by_node], 1.0)
+    rising = lat.end + np.minimum(below, 1.0)  # edges are sorted by end node, so one search finds the edge
 
     row_of = np.repeat(np.arange(len(parts)), sizes)
     inside = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -71,11 +68,9 @@ def sampled_pieces(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed:
     node, todo, steps = lat.last[at].astype(np.int64), np.arange(len(at)), []
     step = 0
     while len(todo):
-        u = _uniform(base[todo] + np.uint64(step) * M2)
+        u = _uniform(base[todo] + np.uint64(step * int(M2) & (2**64 - 1)))
         end = node[todo]
-        found = np.searchsorted(rising, end + u, side="right")
-        found = np.clip(found, first_of[end], first_of[end + 1] - 1)
-        edge = by_node[found]
+        edge = np.clip(np.searchsorted(rising, end + u, side="right"), low[end], high[end] - 1)
         steps.append((todo, edge))
         node[todo] = lat.start[edge]
         todo = todo[node[todo] != lat.first[at[todo]]]
@@ -91,7 +86,7 @@ def sampled_pieces(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed:
     spell = np.flatnonzero(piece < 0)
     if len(spell):
         starts = np.cumsum(width) - width
-        for k, ids in zip(spell, spelled_bytes(lat, names, edges[spell], vocab), strict=True):
+        for k, ids in zip(spell, lat.spelled_bytes(edges[spell], vocab), strict=True):
             out[starts[k] : starts[k] + width[k]] = ids
     per_row = np.bincount(row_of[used], weights=width, minlength=len(parts)).astype(np.int64)
     return np.split(out, np.cumsum(per_row)[:-1])
