@@ -2,17 +2,17 @@
 
 1. Each text becomes a set of k-word shingles (64-bit hashes), ``bands * rows`` minima, the lowest four bits of which
    are packed, and a key for each band. Texts with equal sets fall into a class; only its smallest id goes on.
-2. Documents that share a band key form a cell. A cell with n members isn't expanded into n * n pairs: one member, the
-   pivot, is compared with all others. Cells whose members are all in one component by then are done. Those that have
-   more than ``BLOCK`` members get up to ``PIVOT_ROUNDS`` further pivots, best-linked members first. In the cells that
-   are still open, members are compared in blocks, where only pairs of different components whose packed bits agree
-   leave the task. So no link between components is lost, however large a cell is, and groups of near copies cost a
-   few rows a member.
+2. Documents that share a band key form a cell. A cell isn't expanded into pairs: its smallest member, the pivot, is
+   compared with the others. All cells of a pivot make a group, so a pair is compared once however many bands it shares.
 3. A pair's similarity is estimated from the equal four-bit fields, corrected for the 1/16 that agree by chance. Pairs
    five standard deviations below the threshold go; the others are confirmed on the full sets of both texts.
-4. Components of the confirmed links give each document the smallest id it reaches.
+4. Groups whose members are all in one component by then are done. Those with more than ``LARGE`` members get up to
+   ``PIVOT_ROUNDS`` further pivots, best-linked members first. In the groups that are still open, the members outside the
+   largest component meet it and each other in blocks, on full sets, and only links that join components leave a task.
+   So no link between components is lost, however large a group is, and near copies of one text cost a few rows each.
+5. Components of the confirmed links give each document the smallest id it reaches.
 
-A pair at exactly the threshold shares no band with probability (1 - 0.8 ** 5) ** 40 = 1.3e-7.
+A pair at exactly the threshold shares no band with probability (1 - 0.8 ** 6) ** 48 = 4.6e-7.
 """
 
 from __future__ import annotations
@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from changeflow.llm.common import any_row, python_ready, stored, text_of
 from changeflow.llm.components import connected_components
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 48, 6
+MARKED = 208  # functions whose low bits are kept
+SIZES_APART = 70  # sets smaller than this only meet sets of about their size
 BITS = 4
 PIVOT_ROUNDS = 4
-BLOCK = 512
+BLOCK = 256
+LARGE = 10_000
 WORDS_KEPT = 300_000
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -105,6 +108,16 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def size_classes(size: Column, percent: int) -> Column:
+    """Classes that a set of this size is compared in. Sets that can reach the threshold differ by a factor of at most
+    100 / percent, so their classes are equal or next to each other; each joins its own class and the next. Sets of
+    ``SIZES_APART`` and more are one class: there, bands alone keep strangers apart, which tiny sets often share."""
+    step = math.log(100 / percent) if percent < 100 else math.log(2)
+    last = math.ceil(math.log(SIZES_APART) / step)
+    own = F.least(F.lit(last), F.floor(F.log(size.cast("double")) / step + 1e-9)).cast("int")
+    return F.sequence(own, F.least(F.lit(last), own + 1))
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text), see ``SIGNATURE``; no text or no word: an empty set without keys."""
 
@@ -121,7 +134,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
                 least = minima(found, factor, mask)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
                 one.append(int(digest[0])), two.append(int(digest[1]))
-                bits.append(packed(least).view(np.int64)), keys.append(band_keys(least, bands, rows).view(np.int64))
+                bits.append(packed(least[:MARKED]).view(np.int64)), keys.append(band_keys(least, bands, rows).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bits, longs), pa.array(keys, longs)],
@@ -145,7 +158,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(sets, "node bigint, shingles array<bigint>, low array<smallint>")
 
 
-def estimated(left: Column, right: Column, functions: int = BANDS * ROWS) -> Column:
+def estimated(left: Column, right: Column, functions: int = MARKED) -> Column:
     """Similarity from two packed signatures, corrected for fields that agree by chance."""
     fields = -(-functions // 16) * 16
     nonzero = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
@@ -156,7 +169,7 @@ def estimated(left: Column, right: Column, functions: int = BANDS * ROWS) -> Col
     return (equal - chance) / (1 - chance)
 
 
-def cutoff(threshold: float, functions: int = BANDS * ROWS) -> float:
+def cutoff(threshold: float, functions: int = MARKED) -> float:
     """Five standard deviations of the estimate below the threshold."""
     chance = 1 / 2**BITS
     equal = chance + (1 - chance) * threshold
@@ -181,16 +194,28 @@ def confirmed(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -
     return likely.join(set_b, "b").join(set_a, "a").where(reach(F.size(F.array_intersect("set_a", "set_b")))).select("a", "b")
 
 
-def _pairs_in_blocks(members: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in each cell whose bits agree, from members (cell, band, node, label). The largest
-    component of a cell meets the other members, and these meet each other, in blocks of about ``BLOCK``. A pair is taken
-    in the cell of the first band that it shares."""
-    least = cutoff(percent / 100)
-    parts = members.groupBy("cell", "label").agg(F.count("*").alias("size"))
-    sizes = parts.groupBy("cell").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("all"))
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Rows of bits over the shingles that two or more of the sets have; two rows' common bits are the common shingles."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, which, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[which] > 1
+    _, column = np.unique(which[shared], return_inverse=True)
+    width = int(column.max(initial=-1)) + 1
+    bits = np.zeros((len(sets), -(-max(width, 1) // 64) * 8), np.uint8)
+    np.bitwise_or.at(bits, (owner[shared], column // 8), (1 << (column % 8)).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within each group, from members (group, node, label). The largest component of a group
+    meets the other members, and these meet each other, in blocks of about ``BLOCK``; a block leaves out links between
+    what its other links join already."""
+    parts = members.groupBy("group", "label").agg(F.count("*").alias("size"))
+    sizes = parts.groupBy("group").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("all"))
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    sizes = sizes.select("cell", F.col("main.label").alias("main"), chunks(F.col("main.size")).alias("n_main"), chunks(F.col("all") - F.col("main.size")).alias("n_rest"))
-    dealt = members.join(sizes, "cell").withColumn("in_main", F.col("label") == F.col("main"))
+    sizes = sizes.select("group", F.col("main.label").alias("main"), chunks(F.col("main.size")).alias("n_main"), chunks(F.col("all") - F.col("main.size")).alias("n_rest"))
+    dealt = members.join(sizes, "group").withColumn("in_main", F.col("label") == F.col("main"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -199,32 +224,36 @@ def _pairs_in_blocks(members: DataFrame, sig: DataFrame, percent: int) -> DataFr
     with_main = F.transform(upto("n_main"), lambda k: place("main", chunk, k, F.lit(0)))
     among = F.transform(upto("n_rest"), lambda k: place("rest", F.least(k, chunk), F.greatest(k, chunk), (chunk > k).cast("int")))
     meets = dealt.withColumn("at", F.explode(F.when(F.col("in_main"), with_rest).otherwise(F.concat(with_main, among))))
-    rows = meets.select("cell", "band", "node", "label", "at.*").join(sig.select("node", "bits", "bands"), "node")
+    rows = meets.select("group", "node", "label", "at.*").join(sets.select("node", "shingles"), "node")
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits, bands = (np.array(pdf[c].tolist(), np.int64) for c in ("bits", "bands"))
-        node, label, side = (pdf[c].to_numpy() for c in ("node", "label", "side"))
+        found = [np.asarray(x, np.int64) for x in pdf["shingles"]]
+        size, bits = np.array([len(x) for x in found]), common_counts(found)
+        node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        _, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
         alone = key[1] == "rest" and key[2] == key[3]
         first = np.flatnonzero(side == 0)
         second = first if alone else np.flatnonzero(side == 1)
-        bits, mask, functions = bits.view(np.uint64), np.uint64(0x1111111111111111), BANDS * ROWS
-        made = [np.empty((2, 0), np.int64)]
+        root = list(range(len(pdf)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        made = []
         for k in first:
-            x = bits[k] ^ bits[second]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            differ = np.bitwise_count(x & mask).sum(axis=1, dtype=np.int64)
-            like = ((functions - differ) / functions - 1 / 16) / (15 / 16)
-            good = second[(like >= least) & (label[second] != label[k])]
-            if alone:
-                good = good[node[good] > node[k]]
-            if len(good):
-                good = good[(bands[good] == bands[k]).argmax(axis=1) == pdf["band"].iat[k]]
-            made.append(np.stack([np.minimum(node[k], node[good]), np.maximum(node[k], node[good])]))
-        a, b = np.concatenate(made, axis=1)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return rows.groupBy("cell", "kind", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+            both = np.bitwise_count(bits[second] & bits[k]).sum(axis=1, dtype=np.int64)
+            linked = second[(100 * both >= percent * (size[second] + size[k] - both)) & (label[second] != label[k])]
+            for other in linked.tolist():
+                x, y = top(int(label[k])), top(int(label[other]))
+                if x != y:
+                    root[x] = y
+                    made.append((min(node[k], node[other]), max(node[k], node[other])))
+        return pd.DataFrame(made, columns=["a", "b"]).astype(np.int64)
+
+    return rows.groupBy("group", "kind", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def linked_components(docs: DataFrame, sig: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -232,42 +261,43 @@ def linked_components(docs: DataFrame, sig: DataFrame, classes: DataFrame, shing
     wide = sig.where("n_shingles > 0").withColumnRenamed("doc_id", "node")
     reps = wide.join(classes, ["node", "key1", "key2"], "left_semi").select("node", F.col("n_shingles").alias("n"), "bits", "bands")
     reps = stored(reps, "reps")
-    cells = reps.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("cell"))
+    cells = reps.select("node", F.posexplode("bands").alias("band", "key"), size_classes(F.col("n"), percent).alias("sizes"))
+    cells = cells.select("node", "band", "key", F.explode("sizes").alias("sizes")).select("node", "band", F.xxhash64("band", "key", "sizes").alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    members = stored(cells.join(shared, "cell").select("cell", "band", "node", "pivot"), "members")
+    members = cells.join(shared, "cell").select(F.col("pivot").alias("group"), "node").distinct()
+    members = stored(members, "members")
     sets = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(shingle_sets(sets.select(F.col("doc_id").alias("node"), "text"), shingle), "sets")
-    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.where("node != group").select(F.col("group").alias("a"), F.col("node").alias("b"))
     links = stored(confirmed(pairs, reps, sets, percent), "links")
     roots = connected_components(links)
-    used = members.select("cell", "pivot").distinct()
-    open_cells = members.select("cell", "band", "node")
+    used = members.select("group").distinct().withColumn("pivot", F.col("group"))
     turn, last = 0, False
     while not last:
         labels = roots.select("node", F.col("root").alias("label"))
-        labelled = open_cells.join(labels, "node", "left").select("cell", "band", "node", F.coalesce("label", "node").alias("label"))
-        torn = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        tried = used.groupBy("cell").agg(F.count("*").alias("tried"))
-        torn = torn.where("low != high").join(tried, "cell").where("size - tried > 1").select("cell", "size")
-        labelled = stored(labelled.join(torn, "cell"), "open")
+        labelled = members.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
+        torn = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        tried = used.groupBy("group").agg(F.count("*").alias("tried"))
+        torn = torn.where("low != high").join(tried, "group").where("size - tried > 1").select("group", "size")
+        labelled = stored(labelled.join(torn, "group"), "open")
         if not any_row(labelled):
             break
-        open_cells = labelled.select("cell", "band", "node")
-        large = labelled.where(F.col("size") > BLOCK)
+        members = labelled.select("group", "node")
+        large = labelled.where(F.col("size") > LARGE)
         last = turn == PIVOT_ROUNDS or not any_row(large)
         if last:
-            pairs = _pairs_in_blocks(labelled.drop("size"), reps, percent)
+            more = _links_in_blocks(labelled.drop("size"), sets, percent)
         else:
             ends = links.select(F.col("a").alias("node")).union(links.select("b"))
             degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
-            fresh = large.join(used.withColumnRenamed("pivot", "node"), ["cell", "node"], "left_anti")
-            ranked = fresh.join(degrees, "node", "left").select("cell", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
-            best = ranked.groupBy("cell").agg(F.max(F.struct("degree", "node", "label")).alias("best"))
-            best = stored(best.select("cell", F.col("best.node").alias("pivot"), F.col("best.label").alias("pivot_label")), "pivots")
-            used = stored(used.join(torn, "cell", "left_semi").union(best.select("cell", "pivot")), "used")
-            met = large.join(best, "cell").where("label != pivot_label")
-            pairs = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        more = stored(confirmed(pairs, reps, sets, percent), "links")
+            fresh = large.join(used.withColumnRenamed("pivot", "node"), ["group", "node"], "left_anti")
+            ranked = fresh.join(degrees, "node", "left").select("group", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+            best = ranked.groupBy("group").agg(F.max(F.struct("degree", "node", "label")).alias("best"))
+            best = stored(best.select("group", F.col("best.node").alias("pivot"), F.col("best.label").alias("pivot_label")), "pivots")
+            used = stored(used.join(torn, "group", "left_semi").union(best.select("group", "pivot")), "used")
+            met = large.join(best, "group").where("label != pivot_label")
+            more = confirmed(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), reps, sets, percent)
+        more = stored(more, "links")
         if any_row(more):
             links = links.union(more)
             roots = connected_components(links)
