@@ -33,7 +33,7 @@ class Automaton:
     them. The pieces that end in state s are ``pieces[starts[s] : starts[s + 1]]``, longest first.
     """
 
-    FREQUENT = 160
+    FREQUENT = 96
 
     def __init__(self, pieces: dict[str, int]) -> None:
         children: list[dict[str, int]] = [{}]
@@ -155,8 +155,8 @@ class Lattice:
     """The lattices of some segments side by side. Nodes are places between characters, those of a level (characters before
     them) together; ``first`` and ``last`` are the outer nodes of each segment.
 
-    Edges have ``start``, ``end``, ``piece`` (-1 - byte length for a spelled character) and ``score``; they are sorted by
-    end node, longer ones first, and ``bounds`` has where each level's begin.
+    Edges have ``start``, ``end`` and ``piece`` (-1 - byte length for a spelled character); they are sorted by end node,
+    longer ones first, and ``bounds`` has where each level's begin.
     """
 
     names: list[str]
@@ -168,7 +168,6 @@ class Lattice:
     start: np.ndarray
     end: np.ndarray
     piece: np.ndarray
-    score: np.ndarray
     bounds: list[int]
     nodes: int
 
@@ -229,11 +228,11 @@ def lattice(names: list[str], vocab: Vocabulary) -> Lattice:
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     empty = [np.empty(0, np.int32)]
-    piece = np.concatenate(pieces or empty)
-    score = np.where(piece >= 0, vocab.scores[piece], vocab.unknown)
-    return Lattice(
-        names, written, order, base, rank, base[sizes] + rank, np.concatenate(starts or empty), np.concatenate(ends or empty), piece, score, bounds, int(base[-1])
-    )
+    joined = []
+    for made in (starts, ends, pieces):
+        joined.append(np.concatenate(made or empty))
+        made.clear()
+    return Lattice(names, written, order, base, rank, base[sizes] + rank, *joined, bounds, int(base[-1]))
 
 
 def best_counts(names: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -242,9 +241,9 @@ def best_counts(names: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     lat = lattice(names, vocab)
     best, count = np.full(lat.nodes, -np.inf), np.zeros(lat.nodes, np.int64)
     best[lat.first] = 0.0
-    adds = np.where(lat.piece >= 0, 1, -1 - lat.piece)
     for edges, groups in lat.levels():
-        reach = best[lat.start[edges]] + lat.score[edges]
+        piece = lat.piece[edges]
+        reach = best[lat.start[edges]] + np.where(piece >= 0, vocab.scores[piece], vocab.unknown)
         top = np.maximum.reduceat(reach, groups)
         sizes = np.diff(np.r_[groups, len(reach)])
         equal = np.flatnonzero(reach == np.repeat(top, sizes))
@@ -252,5 +251,5 @@ def best_counts(names: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nda
         winner = equal[np.r_[True, owner[1:] != owner[:-1]]]
         ends = lat.end[edges][groups]
         best[ends] = top
-        count[ends] = count[lat.start[edges][winner]] + adds[edges][winner]
+        count[ends] = count[lat.start[edges][winner]] + np.where(piece[winner] >= 0, 1, -1 - piece[winner])
     return count[lat.last], best[lat.last]

@@ -43,13 +43,13 @@ def sampled_pieces(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed:
     rank = np.minimum(-vocab.scores, len(vocab.scores))
     weight = -sharpness * np.log1p(np.maximum(rank, 0.0))
     lone = -sharpness * np.log1p(2.0 * len(vocab.scores))
-    value = np.where(lat.piece >= 0, weight[lat.piece], lone)
     total = np.full(lat.nodes, -np.inf)
     total[lat.first] = 0.0
-    below = np.empty(len(value))  # of each edge, the share of its end's sum up to and with it
-    low, high = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
+    rising = np.empty(len(lat.end))  # of each edge, its end, and the share of the end's sum up to and with the edge
+    low, high = np.zeros(len(total), np.int32), np.zeros(len(total), np.int32)
     for edges, groups in lat.levels():
-        reach = total[lat.start[edges]] + value[edges]
+        piece = lat.piece[edges]
+        reach = total[lat.start[edges]] + np.where(piece >= 0, weight[piece], lone)
         counts = np.diff(np.r_[groups, len(reach)])
         ends = lat.end[edges][groups]
         top = np.maximum.reduceat(reach, groups)
@@ -58,9 +58,8 @@ def sampled_pieces(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed:
         total[ends] = top + np.log(whole)
         run = np.cumsum(mass)
         run -= np.repeat(run[groups] - mass[groups], counts)
-        below[edges] = run / np.repeat(whole, counts)
+        rising[edges] = lat.end[edges] + np.minimum(run / np.repeat(whole, counts), 1.0)
         low[ends], high[ends] = edges.start + groups, edges.start + groups + counts
-    rising = lat.end + np.minimum(below, 1.0)  # edges are sorted by end node, so one search finds the edge
 
     row_of = np.repeat(np.arange(len(parts)), sizes)
     inside = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -70,6 +69,7 @@ def sampled_pieces(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed:
     while len(todo):
         u = _uniform(base[todo] + np.uint64(step * int(M2) & (2**64 - 1)))
         end = node[todo]
+        # edges are sorted by end node, so one search finds the edge
         edge = np.clip(np.searchsorted(rising, end + u, side="right"), low[end], high[end] - 1)
         steps.append((todo, edge))
         node[todo] = lat.start[edge]
@@ -113,7 +113,7 @@ def encode_sampled(docs: DataFrame, model: str, seed: int = 1, sharpness: float
             found = sampled_pieces(texts, batch.column(2).to_numpy(), vocab, seed, sharpness)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "pieces"])
 
-    python_ready(docs.sparkSession, batch_bytes="4m")
+    python_ready(docs.sparkSession, batch_bytes="512k")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), row_key(F.col("doc_id"), text).alias("row_key"))
     return rows.mapInArrow(encode, "doc_id bigint, pieces array<int>")
@@ -128,7 +128,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
             texts = [decoded(np.array(p or [], np.int32), vocab).decode("utf-8", "surrogatepass") for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    python_ready(encoded.sparkSession, batch_bytes="4m")
+    python_ready(encoded.sparkSession, batch_bytes="1m")
     return encoded.select("doc_id", "pieces").mapInArrow(decode, "doc_id bigint, text string")
 
 
@@ -146,7 +146,7 @@ def sampled_digests(docs: DataFrame, model: str, seed: int = 1, sharpness: float
             columns += [pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in found], pa.int64()), pa.array(back)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "pieces_crc32", "lossless"])
 
-    python_ready(docs.sparkSession, batch_bytes="4m")
+    python_ready(docs.sparkSession, batch_bytes="512k")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), row_key(F.col("doc_id"), text).alias("row_key"))
     return rows.mapInArrow(digest, "doc_id bigint, n_pieces bigint, pieces_crc32 bigint, lossless boolean")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from changeflow.llm.common import python_ready
 from changeflow.llm.pieces import best_counts, segments, vocabulary
 
-KEPT = 300_000
+KEPT = 250_000
 LONGEST_KEPT = 64
 COLUMNS = "doc_id bigint, n_chars bigint, n_segments bigint, n_pieces bigint, score double"
 
@@ -39,9 +39,9 @@ class Counter:
             fresh = set(chain.from_iterable(parts))
             self.place, self.counts, self.scores = {}, self.counts[:0], self.scores[:0]
         names = list(fresh)
-        for at in range(0, len(names), 50_000):
-            counts, scores = best_counts(names[at : at + 50_000], self.vocab)
-            self.place.update(zip(names[at : at + 50_000], range(len(self.counts), len(self.counts) + len(counts)), strict=True))
+        for at in range(0, len(names), 20_000):
+            counts, scores = best_counts(names[at : at + 20_000], self.vocab)
+            self.place.update(zip(names[at : at + 20_000], range(len(self.counts), len(self.counts) + len(counts)), strict=True))
             self.counts, self.scores = np.r_[self.counts, counts], np.r_[self.scores, scores]
         made = []
         for names in parts:
@@ -68,5 +68,5 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             columns += [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "n_segments", "n_pieces", "score"])
 
-    python_ready(docs.sparkSession, batch_bytes="4m")
+    python_ready(docs.sparkSession, batch_bytes="2m")
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(count, COLUMNS)
