@@ -28,7 +28,7 @@ from changeflow.llm.common import python_ready, stored
 LISTS = 4
 QUERY_BLOCK = 512
 BLOCK = 2_048
-LARGEST = 2.0**62
+LARGEST = 2.0**61
 
 PACKED = "block int, length int, ids binary, vectors binary"
 
@@ -70,19 +70,22 @@ def _leading(scores: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(-scores, kind="stable")[:n] if scores.dtype == object else np.argpartition(-scores, n - 1)[:n]
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers, as doubles while they fit and else as 64-bit or unbounded integers."""
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+def products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
+    """Inner products of whole numbers, exact: as doubles while sums stay below ``bound``'s limits, else as 64-bit or
+    unbounded integers."""
     if bound < 2.0**53:
         return a @ b.T
     if bound < LARGEST:
         return a.astype(np.int64) @ b.astype(np.int64).T
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    whole = lambda m: np.array([int(x) for x in m.ravel()], object).reshape(m.shape)
     return whole(a) @ whole(b).T
 
 
-def _as_long(score) -> int:
-    return int(max(-(2**63), min(2**63 - 1, int(score))))
+def _cut(scores: np.ndarray) -> np.ndarray:
+    """Scores as far as 64 bits reach."""
+    if scores.dtype != object:
+        return scores
+    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in scores.ravel()], object).reshape(scores.shape)
 
 
 def _phase(k: int, with_cutoff: bool):
@@ -96,27 +99,28 @@ def _phase(k: int, with_cutoff: bool):
                 queries = np.frombuffer(row["q_vectors"], np.float64).reshape(len(q_ids), row["length"])
                 cutoffs = dict(zip(row["cut_ids"] or [], row["cuts"] or [], strict=True)) if with_cutoff else {}
                 runs = [r for r in np.array_split(np.arange(row["length"]), LISTS) if len(r)]
-                partial = [products(queries[:, r], vectors[:, r]) for r in runs]
-                whole = sum(partial[1:], partial[0]) if partial else np.zeros((len(q_ids), len(ids)))
+                bound = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * row["length"]
+                partial = [products(queries[:, r], vectors[:, r], bound) for r in runs]
+                whole = _cut(sum(partial[1:], partial[0])) if partial else np.zeros((len(q_ids), len(ids)))
                 out_q, out_id, out_score = [], [], []
                 for at, query in enumerate(q_ids):
                     lists = [p[at] for p in partial]
                     cutoff = cutoffs.get(int(query))
-                    if with_cutoff and cutoff is None:  # fewer than k candidates in all
+                    if not lists or with_cutoff and cutoff is None:  # no dimensions, or fewer than k candidates in all
                         found = np.arange(len(ids))
                     elif not with_cutoff:
-                        found = np.unique(np.concatenate([_leading(x, k + 1) for x in lists])) if lists else np.arange(len(ids))
+                        found = np.unique(np.concatenate([_leading(x, k + 1) for x in lists]))
                     else:
-                        threshold = cutoff / len(lists)
+                        threshold = cutoff / len(lists) - 1e-9 * abs(cutoff)
                         high = [x >= threshold for x in lists]
-                        bound = sum(np.where(h, x, threshold) for h, x in zip(high, lists, strict=True))
-                        found = np.flatnonzero(np.logical_or.reduce(high) & (bound >= cutoff - 1e-6 * abs(cutoff)))
+                        reach = sum(np.where(h, x, threshold) for h, x in zip(high, lists, strict=True))
+                        found = np.flatnonzero(np.logical_or.reduce(high) & (reach >= cutoff - 1e-6 * abs(cutoff)))
                         found = found[whole[at][found] >= cutoff]
                     found = found[ids[found] != query]
                     best = found[_best(whole[at][found], ids[found], k)]
                     out_q += [int(query)] * len(best)
                     out_id += ids[best].tolist()
-                    out_score += [_as_long(x) for x in whole[at][best]]
+                    out_score += [int(x) for x in whole[at][best]]
                 arrays = [pa.array(x, pa.int64()) for x in (out_q, out_id, out_score)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
