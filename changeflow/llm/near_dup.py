@@ -266,7 +266,8 @@ def linked_components(docs: DataFrame, sig: DataFrame, classes: DataFrame, shing
     shared = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     members = cells.join(shared, "cell").select(F.col("pivot").alias("group"), "node").distinct()
     members = stored(members, "members")
-    sets = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the hint keeps texts from being sorted; only the ids of a partition are held in memory
+    sets = docs.join(members.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(shingle_sets(sets.select(F.col("doc_id").alias("node"), "text"), shingle), "sets")
     pairs = members.where("node != group").select(F.col("group").alias("a"), F.col("node").alias("b"))
     links = stored(confirmed(pairs, reps, sets, percent), "links")
