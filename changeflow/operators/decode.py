@@ -46,11 +46,16 @@ def malformed_events(events: DataFrame) -> DataFrame:
 
 
 def parse_images(
-    changes: DataFrame, image: T.StructType, bad_rows: Observation | None = None, keep_before: bool = False
+    changes: DataFrame,
+    image: T.StructType,
+    bad_rows: Observation | None = None,
+    keep_before: bool = False,
+    key: str = "id",
 ) -> tuple[DataFrame, DataFrame]:
     """Split changes with JSON images into typed rows and rows that do not fit the schema.
 
-    A change without ``after`` (a delete) is read from ``before``. ``bad_rows``
+    An image fits if it has the columns of the schema, no more and no fewer, by their
+    exact names, and its key is not null. A change without ``after`` (a delete) is read from ``before``. ``bad_rows``
     receives the number of rows that do not fit, as ``bad``, once the typed rows are
     written, so the second frame is only needed when there are any. ``keep_before``
     adds the before-image as the struct ``before``.
@@ -58,7 +63,10 @@ def parse_images(
     schema = T.StructType([*image.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.coalesce("after", "before")
     parsed = changes.withColumn("_image", F.from_json(text, schema, {"mode": "PERMISSIVE"}))
-    broken = F.col("_image").isNull() | F.col(f"_image.{CORRUPT}").isNotNull()
+    own_key = key if key in image.names else image.names[0]
+    same_columns = F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(n) for n in sorted(image.names)])
+    fits = F.col(f"_image.{CORRUPT}").isNull() & same_columns & F.col(f"_image.{own_key}").isNotNull()
+    broken = F.col("_image").isNull() | ~F.coalesce(fits, F.lit(False))
     if bad_rows is not None:
         parsed = parsed.observe(bad_rows, F.count_if(broken).alias("bad"))
     replaced = {"before", "after", "ddl_query", *image.names}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions.ranges import TimeRange, timestamp
@@ -14,37 +14,16 @@ PAGE_SIZE = 20
 MAX_EVENTS = 10_000
 MAX_ERRORS = 1_000
 
-# Rows every task may keep for a top-k. Beyond it the rows are first narrowed to
-# the hours that can hold the result.
-SHALLOW = 1_000
-
-
 def _newest_first() -> list:
-    return [F.col("timestamp").desc(), F.col("seq").desc()]
+    return [F.col("timestamp").desc_nulls_last(), F.col("seq").desc_nulls_last()]
 
 
 def newest(df: DataFrame, offset: int, size: int) -> DataFrame:
-    """Rows ``offset .. offset + size`` in order of time, newest first.
+    """Rows ``offset .. offset + size`` in order of time, newest first and rows without a time last.
 
-    A small top-k keeps ``offset + size`` rows per task. For a deep one, a count per
-    hour finds the hours holding the wanted ranks, and only these are read and ordered.
+    Spark keeps ``offset + size`` rows per task, or sorts once these exceed
+    ``spark.sql.execution.topKSortFallbackThreshold``. ``page_after`` goes on from a row at any depth.
     """
-    if offset + size > SHALLOW:
-        hours = df.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.orderBy(F.col("hour").desc()))  # one row per hour of history
-        ranked = hours.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
-        wanted = ranked.where((F.col("before") < offset + size) & (F.col("upto") > offset))
-        span = wanted.agg(
-            F.unix_timestamp(F.min("hour")).alias("first"),
-            F.unix_timestamp(F.max("hour")).alias("last"),
-            F.min("before").alias("skipped"),
-        ).first()
-        if span["first"] is None:
-            return df.limit(0)
-        rng = TimeRange.of(span["first"], span["last"] + 3600)
-        end = timestamp(rng.end)
-        df = rng.apply(df).where(F.col("timestamp") < end)
-        offset -= span["skipped"]
     return df.orderBy(*_newest_first()).offset(offset).limit(size)
 
 

@@ -149,8 +149,8 @@ def event_records_by_schema(changes: DataFrame, recorded_at: Column, duration_ms
     )
 
 
-def error_records(failures: DataFrame, recorded_at: Column) -> DataFrame:
-    """Error records of failed writes (``target_name``, ``table_name``, ``message``)."""
+def error_records(failures: DataFrame, recorded_at: Column, raw_data: Column | None = None) -> DataFrame:
+    """Error records of failed writes (``target_name``, ``table_name``, ``message``), with the whole message."""
     return failures.select(
         recorded_at.alias("timestamp"),
         F.lit("ERROR").alias("level"),
@@ -158,5 +158,5 @@ def error_records(failures: DataFrame, recorded_at: Column) -> DataFrame:
         "table_name",
         "message",
         F.lit("").alias("stack_trace"),
-        F.lit("").alias("raw_data"),
+        (F.lit("") if raw_data is None else raw_data).alias("raw_data"),
     )

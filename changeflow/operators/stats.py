@@ -99,6 +99,7 @@ def latency_stats(positions: DataFrame, rng: TimeRange, target: str = "") -> Dat
     rows = rng.apply(positions)
     if target:
         rows = rows.where(F.col("target_name") == target)
+    rows = rows.where("delay_seconds is not null")
     ranks = _delay_ranks(rows.select("delay_seconds"))
     rank = {p: F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(p))) for p in (P95, P99)}
 

@@ -26,10 +26,15 @@ def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", packed).select(*df.columns, *[F.col(f"_one.{n}").alias(n) for n in names])
 
 
+def _in_time() -> Column:
+    """Order of records: by time, then by ``seq``, which may be missing; nulls come first."""
+    return F.struct("timestamp", "seq")
+
+
 def live_status(positions: DataFrame, started: Moment, as_of: Moment, status: str = RUNNING) -> DataFrame:
     """One row: newest position and delay, and the uptime in whole seconds."""
     uptime = int((moment(as_of) - moment(started)).total_seconds())
-    last = F.max_by(F.struct("binlog_file", "binlog_pos", "delay_seconds"), F.col("seq")).alias("last")
+    last = F.max_by(F.struct("binlog_file", "binlog_pos", "delay_seconds"), _in_time()).alias("last")
     return positions.agg(last).select(
         F.lit(status).alias("status"),
         F.coalesce("last.binlog_file", F.lit("")).alias("binlog_file"),
@@ -43,12 +48,10 @@ def target_status(registered: DataFrame, changes: DataFrame) -> DataFrame:
     """Status of every registered target: the last change in ``changes``
     (``seq``, ``timestamp``, ``target_name``, ``status``), else ``connected``.
 
-    Changes are first reduced by hashing to one row per target and status.
+    Changes are first reduced by hashing to one row per target, status and second.
     """
-    per_status = changes.groupBy("target_name", "status").agg(
-        F.max("seq").alias("seq"), F.max_by("timestamp", "seq").alias("timestamp")
-    )
-    last = per_status.groupBy("target_name").agg(F.max_by(F.struct("status", "timestamp"), "seq").alias("last"))
+    per_status = changes.groupBy("target_name", "status", "timestamp").agg(F.max("seq").alias("seq"))
+    last = per_status.groupBy("target_name").agg(F.max_by(F.struct("status", "timestamp"), _in_time()).alias("last"))
     joined = registered.join(last, registered["name"] == last["target_name"], "left")
     return joined.select(
         "name",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,19 @@ from changeflow.operators.decode import key_moves, parse_images, versioned
 from changeflow.sinks.current_table import CurrentTable
 from changeflow.targets import TargetConfig
 
-# (changes of the target's tables in one micro-batch, batch id)
-Sink = Callable[[DataFrame, int], None]
+
+
+@dataclass(frozen=True)
+class TableOutcome:
+    """What became of a table's changes: the error that refused them, or the rows that went to quarantine."""
+
+    error: str | None = None
+    quarantined: int = 0
+
+
+# (changes of the target's tables in one micro-batch, batch id) -> outcome of each table that had changes. A sink that
+# raises has written no table; one that returns nothing has written all.
+Sink = Callable[[DataFrame, int], "dict[str, TableOutcome] | None"]
 # (target, table schemas, root folder) -> sink
 SinkFactory = Callable[[TargetConfig, dict[str, T.StructType], str], Sink]
 
@@ -84,18 +96,30 @@ def table_sink(target: TargetConfig, schemas: dict[str, T.StructType], root: str
     options = target.options or {}
     by_position, move = options.get("version") == "position", options.get("key_change") == "move"
 
-    def write(changes: DataFrame, batch_id: int) -> None:
+    def write_table(name: str, table: CurrentTable, changes: DataFrame, batch_id: int) -> TableOutcome:
+        counted = Observation()
+        rows = changes.where(changes["table_name"] == name)
+        if not by_position:
+            rows = rows.withColumn("seq", F.coalesce("seq", F.raise_error(F.lit(NO_SEQ))))
+        good, bad = parse_images(rows, schemas[name], counted, keep_before=move, key=options.get("key", "id"))
+        if move:
+            good = good.unionByName(key_moves(good, table.keys[0]))
+        table.append(versioned(good, by_position), batch_id)
+        n_bad = int(counted.get["bad"] or 0)
+        if n_bad:
+            table.quarantine(bad, batch_id)
+        return TableOutcome(quarantined=n_bad)
+
+    def write(changes: DataFrame, batch_id: int) -> dict[str, TableOutcome]:
+        present = {row[0] for row in changes.select("table_name").distinct().collect()}  # tables of the target at most
+        outcomes = {}
         for name, table in current_tables(changes.sparkSession, target, schemas, root).items():
-            counted = Observation()
-            rows = changes.where(changes["table_name"] == name)
-            if not by_position:
-                rows = rows.withColumn("seq", F.coalesce("seq", F.raise_error(F.lit(NO_SEQ))))
-            good, bad = parse_images(rows, schemas[name], counted, keep_before=move)
-            if move:
-                good = good.unionByName(key_moves(good, table.keys[0]))
-            table.append(versioned(good, by_position), batch_id)
-            if counted.get["bad"]:
-                table.quarantine(bad, batch_id)
+            if name in present:
+                try:
+                    outcomes[name] = write_table(name, table, changes, batch_id)
+                except Exception as failure:  # other tables are written all the same
+                    outcomes[name] = TableOutcome(error=str(failure))
+        return outcomes
 
     return write
 

@@ -6,6 +6,7 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
@@ -24,25 +25,29 @@ from changeflow.operators.records import (
     last_control,
     position_records,
 )
-from changeflow.schemas import ACTIONS, BATCH
+from changeflow.schemas import ACTIONS, BATCH, CORRUPT
 from changeflow.sinks.monitor_tables import append_monitor, create_monitor_tables, discard_batch
-from changeflow.sinks.registry import Sink, resolve_sinks
+from changeflow.sinks.registry import Sink, TableOutcome, resolve_sinks
+from changeflow.sources.change_log import split_corrupt
 from changeflow.targets import TargetConfig
 
 
 @dataclass(frozen=True)
 class Outcome:
+    """Of a target: its time, and the outcomes of its tables; tables it doesn't name were written."""
+
     target_name: str
     duration_ms: int
-    error: str | None
+    tables: dict[str, TableOutcome]
 
 
 @dataclass
 class ApplyJob:
     """Writes each micro-batch to every enabled target.
 
-    A target that fails does not stop the others: its changes of the batch are kept
-    under ``<root>/_retry`` and tried again with the next batch. Rows carry their
+    A table that fails stops no other table or target: its changes of the batch are kept
+    under ``<root>/_retry`` and tried again with the next batch. Unreadable rows are kept under ``<root>/_unreadable``,
+    rows that do not fit their table in its quarantine. All three leave error records. Rows carry their
     version, so the order of arrival does not matter. Every output is a folder named
     after the batch, so a repeated batch replaces its earlier attempt.
     """
@@ -62,8 +67,12 @@ class ApplyJob:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        cached, unreadable = batch, None
         in_thread = inheritable_thread_target(batch.sparkSession)
         try:
+            if CORRUPT in batch.columns:
+                batch, unreadable = split_corrupt(batch)
+                unreadable = self._keep_unreadable(unreadable, batch_id)
             # every target at once, so that a slow one delays no other
             with ThreadPoolExecutor(len(self.active) + 2) as pool:
                 writes = [pool.submit(in_thread(self._write_target), batch, batch_id, t) for t in self.active]
@@ -76,11 +85,11 @@ class ApplyJob:
                     ]
                 outcomes = [w.result() for w in writes]
                 if self._monitored:
-                    self._write_events(log, batch_id, carry, outcomes)
+                    self._write_events(log, batch_id, carry, outcomes, unreadable)
                     for step in steps:
                         step.result()
         finally:
-            batch.unpersist()
+            cached.unpersist()
 
     @property
     def _monitored(self) -> bool:
@@ -101,49 +110,77 @@ class ApplyJob:
         started = time.monotonic()
         sink = self.sinks[target.qualified_name]
         changes = self._changes(batch, target)
-        error = None
-        try:
-            self.retry(batch.sparkSession, target, before=batch_id)
-        except Exception:
-            pass  # it stays pending, its error is on record, and later batches need not wait for it
+        self.retry(batch.sparkSession, target, before=batch_id)
         try:
-            sink(changes, batch_id)
+            tables = sink(changes, batch_id) or {}
         except Exception as failure:
-            error = str(failure).split("\n", 1)[0]
-            changes.write.mode("overwrite").parquet(f"{self._retry_path(target)}/{BATCH}={batch_id}")
-        return Outcome(target.qualified_name, int((time.monotonic() - started) * 1000), error)
+            tables = {name: TableOutcome(error=str(failure)) for name in dict.fromkeys(target.tables)}
+        failed = [name for name, outcome in tables.items() if outcome.error is not None]
+        if failed:
+            kept = changes.where(F.col("table_name").isin(failed))
+            kept.write.mode("overwrite").parquet(f"{self._retry_path(target)}/{BATCH}={batch_id}")
+        return Outcome(target.qualified_name, int((time.monotonic() - started) * 1000), tables)
+
+    def _keep_unreadable(self, rows: DataFrame, batch_id: int) -> DataFrame | None:
+        """Store the text of rows that can't be read, if there are any."""
+        path = f"{self.root}/_unreadable/{BATCH}={batch_id}"
+        if not rows.limit(1).count():
+            storage.delete(rows.sparkSession, path)
+            return None
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.parquet(path)
 
     def pending(self, spark: SparkSession, target: TargetConfig) -> list[int]:
         """Batches a target has not taken yet."""
         return storage.finished(spark, self._retry_path(target), BATCH)
 
     def retry(self, spark: SparkSession, target: TargetConfig, before: int | None = None) -> None:
-        """Write the batches an earlier failure of this target left behind."""
+        """Write the changes that earlier failures of this target left behind, each batch by itself. What fails again
+        stays pending and its error stays on record, so later batches need not wait for it."""
         for batch_id in self.pending(spark, target):
             if before is not None and batch_id >= before:
                 continue
             folder = f"{self._retry_path(target)}/{BATCH}={batch_id}"
-            self.sinks[target.qualified_name](spark.read.parquet(folder), batch_id)
-            storage.delete(spark, folder)
+            changes = spark.read.parquet(folder)
+            try:
+                tables = self.sinks[target.qualified_name](changes, batch_id) or {}
+            except Exception:
+                continue
+            failed = [name for name, outcome in tables.items() if outcome.error is not None]
+            if not failed:
+                storage.delete(spark, folder)
 
     def _write_positions(self, log: DataFrame, batch_id: int, carry: DataFrame | None) -> None:
         append_monitor(position_records(log, self._now), self.monitor_root, "sync_positions", _label(batch_id))
 
-    def _write_events(self, log: DataFrame, batch_id: int, carry: DataFrame | None, outcomes: list[Outcome]) -> None:
-        """Event records with the real outcome of every target, and one error record per table a target refused."""
+    def _write_events(
+        self, log: DataFrame, batch_id: int, carry: DataFrame | None, outcomes: list[Outcome], unreadable: DataFrame | None
+    ) -> None:
+        """Event records with the real outcome of every table, and error records of what was refused, set aside or unreadable."""
+        spark = log.sparkSession
         positioned = event_positions(log, carry=carry)
         events = collapse_rows(positioned.where(F.col("action").isin(*ACTIONS)), extra=["last_pos"])
-        routes = _outcome_routes(log.sparkSession, self.active, outcomes)
+        routes = _outcome_routes(spark, self.active, outcomes)
         records = event_records(events, self._now, routes=routes, duration_ms=F.col("duration_ms"), error=F.col("error"))
         append_monitor(records, self.monitor_root, "sync_events", _label(batch_id))
 
-        discard_batch(log.sparkSession, self.monitor_root, "sync_errors", _label(batch_id))
-        if any(o.error for o in outcomes):
-            failed = routes.where(F.col("error").isNotNull()).withColumn("message", F.col("error"))
-            append_monitor(error_records(failed, self._now), self.monitor_root, "sync_errors", _label(batch_id))
+        discard_batch(spark, self.monitor_root, "sync_errors", _label(batch_id))
+        errors = []
+        if any(t.error or t.quarantined for o in outcomes for t in o.tables.values()):
+            present = events.select("table_name").distinct()
+            failed = routes.where("error is not null or quarantined > 0").join(present, "table_name", "left_semi")
+            aside = F.concat(F.col("quarantined").cast("string"), F.lit(" rows do not fit the table and are in its quarantine"))
+            errors.append(error_records(failed.withColumn("message", F.coalesce("error", aside)), self._now))
+        if unreadable is not None:
+            named = unreadable.select(
+                F.lit("").alias("target_name"), F.lit("").alias("table_name"), F.lit("unreadable change").alias("message"), F.col(CORRUPT).alias("raw")
+            )
+            errors.append(error_records(named, self._now, raw_data=F.col("raw")))
+        if errors:
+            append_monitor(reduce(DataFrame.unionByName, errors), self.monitor_root, "sync_errors", _label(batch_id))
 
     def _carry(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """The last control row of the earlier batches."""
+        """The last control row of each file of the earlier batches."""
         earlier = [b for b in storage.finished(spark, f"{self.monitor_root}/_carry", BATCH) if b < batch_id]
         if not earlier:
             return None
@@ -151,11 +188,11 @@ class ApplyJob:
 
     def _save_carry(self, log: DataFrame, batch_id: int, carry: DataFrame | None) -> None:
         control = last_control(log)
-        if carry is not None:
-            control = control.unionByName(carry)
-        newest = control.orderBy(F.col("seq").desc()).limit(1)  # only the newest file can go on
+        if carry is not None:  # a row for each file, as any of them may go on
+            both = control.unionByName(carry).groupBy("binlog_file")
+            control = both.agg(F.max("seq").alias("seq"), F.max_by("binlog_pos", "seq").alias("binlog_pos"))
         path = f"{self.monitor_root}/_carry"
-        newest.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        control.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
         for old in storage.finished(log.sparkSession, path, BATCH):
             if old < batch_id - 1:
                 storage.delete(log.sparkSession, f"{path}/{BATCH}={old}")
@@ -172,17 +209,27 @@ _ROUTE = pa.schema(
         ("enabled", pa.bool_()),
         ("duration_ms", pa.int64()),
         ("error", pa.string()),
+        ("quarantined", pa.int64()),
     ]
 )
 
 
 def _outcome_routes(spark: SparkSession, targets: Sequence[TargetConfig], outcomes: Sequence[Outcome]) -> DataFrame:
-    """One row per target and table with the outcome of the target, as a local relation."""
-    rows = [
-        {"target_name": t.qualified_name, "table_name": table, "enabled": True, "duration_ms": o.duration_ms, "error": o.error}
-        for t, o in zip(targets, outcomes, strict=True)
-        for table in dict.fromkeys(t.tables)
-    ]
+    """One row per target and table with its outcome, as a local relation."""
+    rows = []
+    for t, o in zip(targets, outcomes, strict=True):
+        for table in dict.fromkeys(t.tables):
+            own = o.tables.get(table, TableOutcome())
+            rows.append(
+                {
+                    "target_name": t.qualified_name,
+                    "table_name": table,
+                    "enabled": True,
+                    "duration_ms": o.duration_ms,
+                    "error": own.error,
+                    "quarantined": own.quarantined,
+                }
+            )
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_ROUTE))
 
 

@@ -61,6 +61,15 @@ def test_images_that_do_not_fit(spark):
     assert bad.columns == CHANGE_LOG.names
 
 
+def test_images_whose_columns_changed_go_to_quarantine(spark):
+    texts = ['{"id": 1, "v": "a", "newcol": "x"}', '{"v": "b"}', '{"id": 3}', '{"ID": 4, "V": "z"}', '{"id": null, "v": "n"}', '{"v": null, "id": 6}']
+    rows = [(i, "f", i, 0, None, "row", "s", "t", "insert", None, text, None) for i, text in enumerate(texts)]
+    image = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
+    good, bad = decode.parse_images(spark.createDataFrame(rows, CHANGE_LOG), image)
+    assert [(r.seq, r.id, r.v) for r in good.collect()] == [(5, 6, None)]
+    assert sorted(r.seq for r in bad.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_targets(spark):
     rows = target_tables(spark, TARGETS).collect()
     assert [(r.target_name, r.table_name, r.enabled) for r in rows] == [

@@ -5,6 +5,7 @@ import random
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from changeflow.functions.ranges import TimeRange
 from changeflow.operators import filters, listing, series, stats
@@ -174,6 +175,24 @@ def test_pages(many, number, size):
     assert [r.seq for r in listing.page(df, number, size).collect()] == order[(n - 1) * s : n * s]
 
 
+def test_rows_without_a_time_come_last_at_any_size(spark):
+    rows = [(n, at("2024-01-01") + timedelta(seconds=n) if n % 2 else None) for n in range(3_000)]
+    df = spark.createDataFrame(rows, "seq bigint, timestamp timestamp").repartition(5)
+    order = [n for n in range(2_999, -1, -1) if n % 2] + [n for n in range(2_999, -1, -1) if n % 2 == 0]
+    for n in (900, 1_000, 2_000, 3_000):
+        assert [r.seq for r in listing.last_n(df, n).collect()] == order[:n][::-1]
+    assert [r.seq for r in listing.page(df, 2, 1_400).collect()] == order[1_400:2_800]
+    nothing = df.withColumn("timestamp", F.lit(None).cast("timestamp"))
+    assert [r.seq for r in listing.last_n(nothing, 1_500).collect()] == list(range(1_500, 3_000))
+
+
+def test_a_page_starts_no_job(spark, many, monkeypatch):
+    for action in ("first", "collect", "count", "take"):
+        monkeypatch.setattr(type(many[0]), action, lambda *a, **k: pytest.fail("an action while the page is built"))
+    listing.page(many[0], 40, 50)
+    listing.last_n(many[0], 2_000)
+
+
 def test_pages_by_key_join_to_the_whole_list(many):
     df, order = many
     got = [(r.seq, r.timestamp) for r in listing.page(df, 1, 700).collect()]

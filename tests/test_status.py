@@ -39,8 +39,22 @@ def test_health(spark, state, delay, targets, overall, checks):
     assert rows[0].message == state
 
 
+def test_status_without_sequence_numbers_goes_by_time(spark):
+    schema = "seq bigint, timestamp timestamp, binlog_file string, binlog_pos bigint, delay_seconds bigint"
+    rows = [(None, at("2024-01-01 00:00:05"), "f.2", 9, 900), (7, at("2024-01-01 00:00:01"), "f.1", 4, 0), (None, at("2024-01-01 00:00:02"), "f.1", 5, 1)]
+    live = status.live_status(spark.createDataFrame(rows, schema), "2024-01-01", "2024-01-01 00:01:00")
+    assert (live.first().binlog_file, live.first().delay_seconds) == ("f.2", 900)
+    assert {r.overall for r in status.health(live, _targets(spark, "connected")).collect()} == {"unhealthy"}
+    changes = spark.createDataFrame(
+        [(None, at("2024-01-01 00:00:05"), "T:0", "error"), (9, at("2024-01-01 00:00:01"), "T:0", "connected")],
+        "seq bigint, timestamp timestamp, target_name string, status string",
+    )
+    row = status.target_status(_targets(spark, "connected").drop("status"), changes).first()
+    assert (row.status, row.last_sync_time) == ("error", at("2024-01-01 00:00:05"))
+
+
 def test_live_status_without_positions(spark):
-    empty = spark.createDataFrame([], "seq bigint, binlog_file string, binlog_pos bigint, delay_seconds bigint")
+    empty = spark.createDataFrame([], "seq bigint, timestamp timestamp, binlog_file string, binlog_pos bigint, delay_seconds bigint")
     row = status.live_status(empty, "2024-01-01", "2024-01-01 00:01:30.9").first()
     assert tuple(row) == ("running", "", 0, 0, 90)
 

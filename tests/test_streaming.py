@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from contextlib import contextmanager
+from pathlib import Path
+
 import pytest
 from pyspark.sql import types as T
 
@@ -19,6 +22,14 @@ TARGETS = (TargetConfig("main", ("t", "u")), TargetConfig("copy", ("t",)))
 NOW = at("2024-01-01 01:00:00")
 
 
+@contextmanager
+def open_file(parent, name):
+    Path(parent).mkdir(parents=True, exist_ok=True)
+    Path(parent, name).write_text("in the way")
+    yield
+    Path(parent, name).unlink()
+
+
 def _row(seq, table, action, key, value, pos=None):
     image = None if value == "bad" else f'{{"id": {key}, "v": "{value}"}}'
     text = "{bad" if value == "bad" else image
@@ -71,7 +82,8 @@ def test_apply_resumes_from_its_checkpoint(spark, folder):
     assert [(r.seq, r.binlog_file, r.binlog_pos, r.rows_count, r.success) for r in events.collect()] == [
         (2, "f.000001", 10, 1, 1), (5, "f.000001", 40, 2, 1), (6, "f.000001", 40, 1, 1), (9, "f.000001", 80, 1, 1), (11, "f.000001", 80, 1, 1),
     ]
-    assert read_monitor(spark, job.monitor_root, "sync_errors").collect() == []
+    errors = read_monitor(spark, job.monitor_root, "sync_errors").collect()
+    assert [(e.target_name, e.table_name) for e in errors] == [("ClickHouse:main", "u")]
     positions = read_monitor(spark, job.monitor_root, "sync_positions").orderBy("seq").collect()
     assert [(p.seq, p.delay_seconds) for p in positions] == [(1, 3600), (4, 3600), (8, 3600)]
 
@@ -94,9 +106,9 @@ def test_a_failing_target_stops_no_other_and_catches_up(spark, folder):
     assert _state(spark, job, TARGETS[0])["t"] == [(1, "A"), (2, "b")]
     assert _state(spark, job, TARGETS[1])["t"] == [(1, "a")]
     errors = read_monitor(spark, job.monitor_root, "sync_errors").collect()
-    assert [(e.level, e.target_name, e.table_name, e.message) for e in errors] == [("ERROR", "ClickHouse:copy", "t", "copy is down")]
+    assert [(e.level, e.target_name, e.table_name, e.message) for e in errors] == [("ERROR", "ClickHouse:copy", "t", "copy is down\nwith details")]
     outcome = read_monitor(spark, job.monitor_root, "sync_events").where("seq = 5").collect()
-    assert sorted((o.target_name, o.success, o.error_msg) for o in outcome) == [("ClickHouse:copy", 0, "copy is down"), ("ClickHouse:main", 1, "")]
+    assert sorted((o.target_name, o.success, o.error_msg) for o in outcome) == [("ClickHouse:copy", 0, "copy is down\nwith details"), ("ClickHouse:main", 1, "")]
 
     _write(spark, folder, 2)
     _run(spark, folder, job)
@@ -119,6 +131,73 @@ def test_a_batch_that_keeps_failing_does_not_block_later_ones(spark, folder):
     assert job.pending(spark, TARGETS[1]) == [0]
 
 
+def test_a_batch_that_failed_once_is_retried_past_one_that_always_fails(spark, folder):
+    good = table_sink(TARGETS[1], SCHEMAS, f"{folder}/tables")
+    tried = []
+
+    def poisoned(changes, batch_id):
+        tried.append(batch_id)
+        if batch_id == 0 or (batch_id == 1 and tried.count(1) == 1):
+            raise ValueError("not now")
+        good(changes, batch_id)
+
+    job = ApplyJob(TARGETS[1:], SCHEMAS, f"{folder}/tables", sinks={TARGETS[1].qualified_name: poisoned})
+    for n, rows in enumerate(BATCHES):
+        job(spark.createDataFrame(rows, CHANGE_LOG), n)
+    assert job.pending(spark, TARGETS[1]) == [0]
+    assert _state(spark, job, TARGETS[1])["t"] == [(1, "A"), (3, "c")]
+
+
+def test_a_failing_table_stops_no_other_table(spark, folder):
+    job = _job(folder)
+    blocked = f"{folder}/tables/main/u"
+    with open_file(f"{folder}/tables/main", "u"):  # a file where the table's folder should be
+        job(spark.createDataFrame(BATCHES[0], CHANGE_LOG), 0)
+    outcome = read_monitor(spark, job.monitor_root, "sync_events").where("target_name = 'ClickHouse:main'").collect()
+    assert sorted((o.table_name, o.success) for o in outcome) == [("t", 1), ("u", 0)]
+    errors = read_monitor(spark, job.monitor_root, "sync_errors").collect()
+    assert [(e.target_name, e.table_name) for e in errors] == [("ClickHouse:main", "u")] and blocked.split("/")[-1] == "u"
+    assert job.pending(spark, TARGETS[0]) == [0]
+    job(spark.createDataFrame(BATCHES[1], CHANGE_LOG), 1)
+    assert job.pending(spark, TARGETS[0]) == []
+    assert _state(spark, job, TARGETS[0]) == {"t": [(1, "A"), (2, "b")], "u": [(1, "x")]}
+
+
+def test_rows_set_aside_leave_an_error_record(spark, folder):
+    job = _job(folder)
+    for n, rows in enumerate(BATCHES):
+        job(spark.createDataFrame(rows, CHANGE_LOG), n)
+    errors = read_monitor(spark, job.monitor_root, "sync_errors").collect()
+    assert [(e.target_name, e.table_name, e.message.split(" ")[0]) for e in errors] == [("ClickHouse:main", "u", "1")]
+
+
+def test_unreadable_rows_are_kept_and_recorded(spark, folder):
+    rows = spark.createDataFrame(BATCHES[0], CHANGE_LOG).toJSON().collect()
+    Path(f"{folder}/log").mkdir()
+    Path(f"{folder}/log/0.json").write_text("\n".join([*rows, rows[1][: len(rows[1]) // 2]]) + "\n")
+    job = _job(folder)
+    changes = read_changes(spark, f"{folder}/log", streaming=True, fmt="json")
+    start_apply(changes, job, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    assert _state(spark, job, TARGETS[0]) == {"t": [(1, "a")], "u": [(1, "x")]}
+    kept = [r[0] for r in spark.read.parquet(f"{job.root}/_unreadable").select("_corrupt_record").collect()]
+    assert kept == [rows[1][: len(rows[1]) // 2]]
+    errors = read_monitor(spark, job.monitor_root, "sync_errors").collect()
+    assert [(e.message, e.raw_data) for e in errors] == [("unreadable change", kept[0])]
+
+
+def test_files_that_take_turns_keep_their_positions(spark, folder):
+    def in_file(row, name, pos):
+        return (row[0], name, pos, *row[3:])
+
+    job = _job(folder)
+    first = [in_file(_control(1, "rotate"), "f.000001", 11), in_file(_control(2, "rotate"), "f.000002", 22)]
+    second = [in_file(_row(3, "t", "insert", 1, "a"), "f.000001", 30), in_file(_row(4, "t", "insert", 2, "b"), "f.000002", 40)]
+    for n, rows in enumerate([first, second]):
+        job(spark.createDataFrame(rows, CHANGE_LOG), n)
+    got = read_monitor(spark, job.monitor_root, "sync_events").where("target_name = 'ClickHouse:main'").collect()
+    assert sorted((r.seq, r.binlog_file, r.binlog_pos) for r in got) == [(3, "f.000001", 11), (4, "f.000002", 22)]
+
+
 def test_a_repeated_batch_changes_nothing(spark, folder):
     job = _job(folder)
     for _ in range(2):
