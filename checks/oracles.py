@@ -297,6 +297,10 @@ ORACLES: dict[str, str] = {
         "sync_events", body=f"SELECT {_EVENT} FROM sync_events ORDER BY timestamp DESC, seq DESC LIMIT 10000"
     ),
     "last_errors": _sql("sync_errors", body="SELECT * FROM sync_errors ORDER BY timestamp DESC, seq DESC LIMIT 1000"),
+    "last_events_1000": _sql(
+        "sync_events", body=f"SELECT {_EVENT} FROM sync_events ORDER BY timestamp DESC, seq DESC LIMIT 1000"
+    ),
+    "last_errors_100": _sql("sync_errors", body="SELECT * FROM sync_errors ORDER BY timestamp DESC, seq DESC LIMIT 100"),
     "position_history": _sql(
         "sync_positions",
         body=f"""SELECT timestamp, binlog_file, binlog_pos, delay_seconds FROM sync_positions
@@ -448,6 +452,15 @@ ORACLES: dict[str, str] = {
     "target_listing": _sql("sync_events", "sync_errors", "targets", body=_listing(_NAMES_FROM_TARGETS)),
     "target_listing_from_events": _sql("sync_events", "sync_errors", body=_listing(_NAMES_FROM_EVENTS)),
     "streamed_state": _sql("log_ops", "targets", body=_STATE_PER_TARGET),
+    "streamed_drift": _sql("log_ops", "targets", body=_STATE_PER_TARGET.replace("'row')", "'row' AND o.seq % 20 != 5)")),
+    "streamed_unreadable": _sql(
+        "log_ops",
+        "targets",
+        body=f"""SELECT what, n FROM (
+            SELECT 'lines kept' AS what, count(*) AS n FROM log_ops WHERE seq % 20 = 6
+            UNION ALL SELECT 'error records', count(*) FROM log_ops WHERE seq % 20 = 6
+            UNION ALL SELECT 'current rows', count(*) FROM ({_STATE_PER_TARGET.replace("'row')", "'row' AND o.seq % 20 != 6)")}))""",
+    ),
     "fan_out_with_failure": _sql("log_ops", "targets", body=_STATE_PER_TARGET),
     "streamed_events": _sql(
         "log_ops",

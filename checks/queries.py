@@ -443,6 +443,16 @@ def last_errors(spark, sf_dir):
     return listing.last_n(Views(spark, sf_dir).errors, listing.MAX_ERRORS)
 
 
+@query
+def last_events_1000(spark, sf_dir):
+    return listing.last_n(Views(spark, sf_dir).events, 1_000)
+
+
+@query
+def last_errors_100(spark, sf_dir):
+    return listing.last_n(Views(spark, sf_dir).errors, 100)
+
+
 @query
 def position_history(spark, sf_dir):
     return listing.position_history(Views(spark, sf_dir).positions, "main", RANGE)
@@ -651,6 +661,44 @@ def streamed_state(spark, sf_dir):
     return _states(spark, _applied(spark, sf_dir))
 
 
+@query
+def streamed_drift(spark, sf_dir):
+    """State when every twentieth image has a column too many, lacks one, or has no key: these go to quarantine."""
+    seq, after = F.col("seq"), F.col("after")
+    changed = (
+        F.when(seq % 60 == 5, F.regexp_replace(after, r"\}$", ',"newcol":1}'))
+        .when(seq % 60 == 25, F.regexp_replace(after, r',"k":[^,}]*', ""))
+        .when(seq % 60 == 45, F.regexp_replace(after, r'"id":[0-9]+', '"id":null'))
+        .otherwise(after)
+    )
+    log = write_in_order(Views(spark, sf_dir).json_log.withColumn("after", changed), "drift-log")
+    root = scratch_dir(spark, "drift")
+    job = ApplyJob(TARGETS, SCHEMAS, f"{root}/tables")
+    _run(start_apply(read_changes(spark, log, streaming=True, max_files_per_trigger=1), job, f"{root}/checkpoint", available_now=True))
+    return _states(spark, job)
+
+
+@query
+def streamed_unreadable(spark, sf_dir):
+    """What becomes of a JSON log in which every twentieth line is cut off: rows read, lines kept, error records, current rows."""
+    rows = Views(spark, sf_dir).json_log
+    line = F.to_json(F.struct(*rows.columns))
+    cut = F.when(F.col("seq") % 20 == 6, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
+    log, root = scratch_dir(spark, "cut-log"), scratch_dir(spark, "cut")
+    for part in slices(rows.withColumn("value", cut), 4):
+        part.select("value").write.mode("append").text(log)
+    job = ApplyJob(TARGETS, SCHEMAS, f"{root}/tables", f"{root}/monitor")
+    changes = read_changes(spark, log, streaming=True, fmt="json", max_files_per_trigger=1)
+    _run(start_apply(changes, job, f"{root}/checkpoint", available_now=True))
+    counted = {
+        "lines kept": spark.read.parquet(f"{root}/tables/_unreadable"),
+        "error records": read_monitor(spark, job.monitor_root, "sync_errors").where("raw_data != ''"),
+        "current rows": _states(spark, job),
+    }
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n") for what, df in counted.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def streamed_events(spark, sf_dir):
     job = _applied(spark, sf_dir)
