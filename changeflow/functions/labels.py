@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Formats of the pages.
+# Formats and units of the pages.
 CLOCK = "HH:mm:ss"
 DATE_CLOCK = "yyyy-MM-dd HH:mm:ss"
 MESSAGE_LENGTH = 50
+DAYS, HOURS, MINUTES = "天", "时", "分"
 
 
 def table_label(target: Column | str = "target_name", table: Column | str = "table_name") -> Column:
@@ -34,7 +35,7 @@ def uptime_label(seconds: Column | str) -> Column:
     days = F.floor(seconds / 86400)
     hours = F.floor(seconds % 86400 / 3600)
     minutes = F.floor(seconds % 3600 / 60)
-    parts = ((days, "天"), (hours, "时"), (minutes, "分"))
+    parts = ((days, DAYS), (hours, HOURS), (minutes, MINUTES))
     return F.concat_ws(" ", *[F.concat(value.cast("string"), F.lit(unit)) for value, unit in parts])
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -41,20 +40,9 @@ def broadcast_threshold(spark: SparkSession) -> int:
     return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
-_local_scratch: str | None = None
-
-
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
-    global _local_scratch
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def scratch_dir(spark: SparkSession, label: str, base: str | None = None) -> str:
+    """A new folder below ``base``, by default ``spark.checkpoint.dir``, which every executor can reach."""
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        if _local_scratch is None:
-            _local_scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        base = _local_scratch
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{base.rstrip('/')}/changeflow-{label}-{uuid.uuid4().hex[:12]}"

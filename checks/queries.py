@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow import storage
+from changeflow import session, storage
 from changeflow.functions.labels import error_labels, event_labels
 from changeflow.functions.names import target_aliases
 from changeflow.functions.ranges import TimeRange, moment, timestamp
 from changeflow.operators import decode, filters, listing, records, route, series, state, stats
 from changeflow.plans import status
-from changeflow.session import scratch_dir
 from changeflow.sinks.current_table import CurrentTable
 from changeflow.sinks.monitor_tables import append_monitor, cleanup, merge_month, within_ttl
 from changeflow.sinks.registry import current_tables, table_sink
@@ -131,6 +131,19 @@ def slices(df: DataFrame, n: int) -> list[DataFrame]:
     return [df.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)) for i in range(n)]
 
 
+_local_scratch: list[str] = []
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new shared folder; a local session without ``spark.checkpoint.dir`` uses a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.startswith("local["):
+        if not _local_scratch:
+            _local_scratch.append(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        shared = _local_scratch[0]
+    return session.scratch_dir(spark, label, shared)
+
+
 def write_in_order(df: DataFrame, label: str, fmt: str = "parquet") -> str:
     """Rows as files that appear in log order, the order in which a file stream reads them."""
     path = scratch_dir(df.sparkSession, label)
