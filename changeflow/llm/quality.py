@@ -202,8 +202,9 @@ def with_statistics(docs: DataFrame, least_words: int = 50, most_repeated: int =
 
 
 def judged(stats: DataFrame, named: DataFrame, found: DataFrame) -> DataFrame:
-    """``stats`` with distance (null where no estimate applies) and kept. Both joined tables have a row for each group."""
-    own = named.join(found, "pool").select(F.col("own"), "mean", "inverse")
+    """``stats`` with distance (null where no estimate applies) and kept. The groups' estimates are written, so that Spark
+    knows their size and moves texts only if there are too many groups to broadcast."""
+    own = stored(named.join(found, "pool").select("own", "mean", "inverse"), "group-estimates")
     rows = stats.withColumn("x", vector()).join(own, "own", "left").withColumn("distance", _squared_distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= LIMIT)
     return rows.withColumn("kept", kept).drop("x", "mean", "inverse")
