@@ -9,9 +9,11 @@ The file format is a Parquet folder; a row is a shard of about ``SHARD_IDS`` ids
     lengths            ids that each rule expands to, as 32-bit numbers
     symbols            the sequence, as 32-bit numbers
 
-Compression counts the pairs of neighbouring symbols, gives each pair seen ``LEAST_COUNT`` times or more a new symbol and
-replaces it wherever no more frequent pair overlaps, and goes on with the shorter sequence, ``ROUNDS`` times. No rule
-goes on past a document's end. With the lengths, ``ids_between`` decodes any range without expanding what lies before.
+Compression counts the pairs of neighbouring symbols, gives each pair that occurs twice or more without overlap a new symbol
+and replaces it wherever no more frequent pair overlaps, until no pair occurs twice. The pairs seen ``FALLS[0]`` times or more
+come first, until there are none; then those seen ``FALLS[1]`` times or more, and so on. After a round only places whose pair
+has changed are counted anew: a pair of older symbols never becomes more frequent. No rule goes on past a document's end. With
+the lengths, ``ids_between`` decodes any range without expanding what lies before.
 """
 
 from __future__ import annotations
@@ -34,8 +36,7 @@ END = 2
 FIRST_RULE = 1 << 16
 SHARD_IDS = 1 << 20
 PART_BYTES = 64 << 20
-LEAST_COUNT = 24
-ROUNDS = 3
+FALLS = (32, 2)
 KEPT = 400_000
 BUCKETS_LOG = 20
 # texts in which a space doesn't always begin a piece of its own with what follows, or that may hold a special token
@@ -100,72 +101,159 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key, the place among the distinct ones; and how often each of these occurs."""
+    order = np.argsort(key)
+    run = key[order]
+    group = np.cumsum(np.r_[np.zeros(min(1, len(run)), np.int64), run[1:] != run[:-1]])
+    which = np.empty(len(key), np.int64)
+    which[order] = group
+    return which, np.bincount(group)
+
+
+class _Sequence:
+    """Symbols as a linked list over the places of the ids; place ``n`` stands before the first and behind the last."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        n = len(ids)
+        self.n, self.symbols, self.n_symbols = n, np.r_[ids.astype(np.int64), 0], FIRST_RULE
+        self.after, self.before = np.arange(1, n + 2), np.r_[n, np.arange(n)]
+        self.stays, self.mark, self.busy = np.ones(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        self.closed = self.symbols == END  # ends a document
+        self.closed[max(n - 1, 0) :] = True
+        self.free = n + 1
+        self.priority = np.full(n + 1, self.free, np.int64)
+
+    def sorted_places(self, *places: np.ndarray) -> np.ndarray:
+        """Those of ``places`` at which a pair begins, ascending."""
+        for some in places:
+            self.mark[some] = True
+        found = np.flatnonzero(self.mark)
+        self.mark[found] = False
+        return found[self.stays[found] & ~self.closed[found]]
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, odd, which, times): those of ``at`` whose pair may occur twice, whether an equal pair that counts overlaps the
+        place, which pair it is, and how often each pair occurs without overlap."""
+        key = (self.symbols[at].astype(np.uint64) << np.uint64(32) | self.symbols[self.after[at]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        place = np.arange(len(at))
+        same = np.zeros(len(at), bool)
+        same[1:] = (key[1:] == key[:-1]) & (self.after[at[:-1]] == at[1:])
+        odd = (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 1
+        if len(at) > 1 << BUCKETS_LOG >> 2:
+            bucket = (key >> np.uint64(64 - BUCKETS_LOG)).astype(np.int64)
+            often = np.bincount(bucket, minlength=1 << BUCKETS_LOG)[bucket] > 1
+            at, odd, key = at[often], odd[often], key[often]
+        which, times = _counted(key)
+        return at, odd, which, times - np.bincount(which[odd], minlength=len(times))
+
+    def _undisputed(self, live: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and ranks of their pairs: those that neither neighbour outranks; then those that this leaves free."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.priority[live] = ranks
+        while len(live):
+            mine, left, right = self.priority[live], self.before[live], self.after[live]
+            first = (mine < self.priority[left]) & (mine <= self.priority[right])
+            found.append((live[first], mine[first]))
+            self.priority[live[first]] = self.priority[left[first]] = self.priority[right[first]] = self.free
+            live = live[self.priority[live] < self.free]
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(2))
+
+    def replace(self, live: np.ndarray, odd: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rules, places to count again) of replacing the pairs at the places ``live``. A pair of which others leave only one
+        place isn't replaced."""
+        tally = np.zeros(int(ranks.max()) + 1, np.int64)
+        lone = np.zeros(len(tally), bool)
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        open_, open_ranks, now = live, ranks, ~odd
+        while now.any():
+            places, own = self._undisputed(open_[now], open_ranks[now])
+            tally += np.bincount(own, minlength=len(tally))
+            lone |= tally == 1
+            tally[lone] = 0
+            places, own = places[~lone[own]], own[~lone[own]]
+            taken.append((places, own))
+            self.busy[places] = self.busy[self.before[places]] = self.busy[self.after[places]] = True
+            rest = ~self.busy[open_] & ~lone[open_ranks]
+            open_, open_ranks = open_[rest], open_ranks[rest]
+            now = np.ones(len(open_), bool)
+        places, own = (np.concatenate([t[k] for t in taken]) for k in range(2))
+        second, left = self.after[places], self.before[places]
+        self.busy[places] = self.busy[left] = self.busy[second] = False
+        _, first, name = np.unique(own, return_index=True, return_inverse=True)
+        rules = np.stack([self.symbols[places[first]], self.symbols[second[first]]], axis=1)
+        self.symbols[places] = self.n_symbols + name
+        self.n_symbols += len(first)
+        self.closed[places] = self.closed[second]
+        self.stays[second] = False
+        behind = self.after[second]
+        self.after[places] = behind
+        self.before[behind] = places
+        return rules, self.sorted_places(live, places, self.before[places])
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols) of ids below ``FIRST_RULE``."""
-    symbols = ids.astype(np.int64)
+    text = _Sequence(ids)
     rules: list[np.ndarray] = [np.empty((0, 2), np.int64)]
-    lengths = np.ones(FIRST_RULE, np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pair = symbols[:-1] << 32 | symbols[1:]
-        bucket = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS_LOG)
-        often = np.bincount(bucket.astype(np.int64), minlength=1 << BUCKETS_LOG)
-        at = np.flatnonzero((often[bucket] >= LEAST_COUNT) & (symbols[:-1] != END))
-        found, which, times = np.unique(pair[at], return_inverse=True, return_counts=True)
-        order = np.lexsort((found, -times))
-        rank = np.empty(len(found), np.int64)
-        rank[order] = np.arange(len(found))
-        free = len(found) + 1
-        priority = np.full(len(pair) + 2, free, np.int64)  # a place before and behind
-        frequent = times[which] >= LEAST_COUNT
-        priority[at[frequent] + 1] = rank[which[frequent]]
-        picked: list[tuple[np.ndarray, np.ndarray]] = []
-        live = at[frequent] + 1
-        while len(live):  # pairs that neither neighbour outranks; then those that this leaves free
-            mine = priority[live]
-            new = live[(mine < priority[live - 1]) & (mine <= priority[live + 1])]
-            picked.append((new - 1, priority[new]))
-            priority[new - 1] = priority[new] = priority[new + 1] = free
-            live = live[priority[live] < free]
-        if not picked:
-            break
-        places, ranks = (np.concatenate([p[k] for p in picked]) for k in range(2))
-        used, name = np.unique(ranks, return_inverse=True)
-        pairs = found[order[used]]
-        made = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
-        symbols[places] = len(lengths) + name
-        keep = np.ones(len(symbols), bool)
-        keep[places + 1] = False
-        symbols = symbols[keep]
-        lengths = np.r_[lengths, lengths[made[:, 0]] + lengths[made[:, 1]]]
-        rules.append(made)
-    return np.concatenate(rules).astype("<u4"), lengths[FIRST_RULE:].astype("<u4"), symbols.astype("<u4")
+    at = text.sorted_places(np.arange(len(ids)))
+    for least in FALLS:
+        rare: list[np.ndarray] = []  # places of pairs for the next ones of FALLS
+        while len(at):
+            at, odd, which, times = text.pairs(at)
+            rare.append(at[((times >= 2) & (times < least))[which]])
+            often = (times >= least)[which]
+            if not often.any():
+                break
+            rank = np.empty(len(times), np.int64)
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
+            made, at = text.replace(at[often], odd[often], rank[which[often]])
+            rules.append(made)
+        at = text.sorted_places(*rare)
+    found = np.concatenate(rules)
+    return found.astype("<u4"), symbol_sizes(found)[FIRST_RULE:].astype("<u4"), text.symbols[:-1][text.stays[:-1]].astype("<u4")
+
+
+def symbol_sizes(rules: np.ndarray) -> np.ndarray:
+    """Ids that each symbol expands to."""
+    sizes = np.r_[np.ones(FIRST_RULE, np.int64), np.zeros(len(rules), np.int64)]
+    todo = np.arange(len(rules))
+    while len(todo):
+        first, second = sizes[rules[todo, 0]], sizes[rules[todo, 1]]
+        known = (first > 0) & (second > 0)
+        sizes[FIRST_RULE + todo[known]] = (first + second)[known]
+        todo = todo[~known]
+    return sizes
+
+
+def _expanded(symbols: np.ndarray, at: np.ndarray, rules: np.ndarray, sizes: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Ids [low, high) of ``symbols`` that begin at the places ``at``; what lies outside isn't expanded."""
+    out = np.empty(high - low, np.uint32)
+    while len(symbols):
+        inside = (at < high) & (at + sizes[symbols] > low)
+        symbols, at = symbols[inside], at[inside]
+        nested = symbols >= FIRST_RULE
+        out[at[~nested] - low] = symbols[~nested]
+        at, pairs = at[nested], rules[symbols[nested] - FIRST_RULE].astype(np.int64)
+        symbols, at = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([at, at + sizes[pairs[:, 0]]])
+    return out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """Ids of a sequence of symbols."""
-    out = symbols.astype(np.int64)
-    while True:
-        nested = out >= FIRST_RULE
-        if not nested.any():
-            return out.astype(np.uint32)
-        width = 1 + nested.astype(np.int64)
-        first = np.cumsum(width) - width
-        grown = np.repeat(out, width)
-        pairs = rules[out[nested] - FIRST_RULE].astype(np.int64)
-        grown[first[nested]], grown[first[nested] + 1] = pairs[:, 0], pairs[:, 1]
-        out = grown
+    symbols, sizes = symbols.astype(np.int64), symbol_sizes(rules)
+    ends = np.cumsum(sizes[symbols])
+    return _expanded(symbols, ends - sizes[symbols], rules, sizes, 0, int(ends[-1]) if len(ends) else 0)
 
 
 def ids_between(row: dict, low: int, high: int) -> np.ndarray:
     """Ids [low, high) of a shard's row, from the symbols that cover them."""
-    rules, lengths = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4")
+    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
     symbols = np.frombuffer(row["symbols"], "<u4").astype(np.int64)
-    ends = np.cumsum(np.where(symbols < FIRST_RULE, 1, np.r_[lengths, 1][np.maximum(symbols - FIRST_RULE, -1)]))
+    sizes = np.r_[np.ones(FIRST_RULE, np.int64), np.frombuffer(row["lengths"], "<u4")]
+    ends = np.cumsum(sizes[symbols])
     a, b = np.searchsorted(ends, [low, high - 1], side="right")
-    before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a : b + 1], rules)[low - before : high - before]
+    return _expanded(symbols[a : b + 1], (ends - sizes[symbols])[a : b + 1], rules, sizes, low, high)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:

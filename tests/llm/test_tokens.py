@@ -150,6 +150,29 @@ def test_grammars_expand_to_the_ids():
     assert len(repair.compress(np.tile([3, 4], 500))[2]) < 300
 
 
+def pairs_twice(symbols, rules):
+    """Pairs that occur twice or more without overlap and don't go on past a document's end."""
+    seen, last = Tally(), {}
+    for k, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if repair.expand(np.array(pair[:1]), rules)[-1] != repair.END and last.get(pair, -2) < k - 1:
+            seen[pair] += 1
+            last[pair] = k
+    return {pair for pair, n in seen.items() if n > 1}
+
+
+def test_grammars_leave_no_pair_twice():
+    made = np.random.default_rng(5)
+    assert sum(map(len, repair.compress(np.tile([3, 4], 500))[::2])) <= 2 * np.log2(1000)
+    passage, rest = made.integers(3, 50_000, 50), made.integers(3, 50_000, (200, 7))
+    rules, lengths, symbols = repair.compress(np.concatenate([np.r_[passage, r] for r in rest]).astype(np.uint16))
+    assert max(lengths) >= 50 and len(symbols) <= 200 * 8
+    for ids in (np.full(1001, 7), passage[[0, 1, 2, 9, 0, 1, 2]], np.tile(np.r_[5, 6, 7, repair.END], 300), made.integers(0, 12, 3000), made.zipf(1.3, 3000) % 500):
+        rules, _, symbols = repair.compress(ids.astype(np.uint16))
+        assert (repair.expand(symbols, rules) == ids).all()
+        assert not pairs_twice(symbols, rules) and len({tuple(r) for r in rules.tolist()}) == len(rules)
+        assert not any((repair.expand(np.array([x]), rules) == repair.END).any() for x in rules[:, 0])
+
+
 def test_files_hold_all_documents_in_order(spark, odd_documents, no_documents, folder, monkeypatch):
     got = repair.token_files(odd_documents, BYTES, f"{folder}/ids").collect()
     rows = sorted(((r.doc_id, r.text) for r in odd_documents.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
