@@ -6,7 +6,8 @@ steps take the closest rows of the last estimate and estimate anew, which never
 The closest rows are found from counts per bin of the logarithm of the distance (16 bins per doubling), with the sums
 and products of the vectors beside the counts; so a step is one partial aggregation over all rows, a group with a third
 of all rows costs some hundred rows a task, and rows at equal distances are taken together. One reweighting step
-follows. A row is rejected if its squared Mahalanobis distance exceeds ``LIMIT``.
+follows. A row is rejected if its squared Mahalanobis distance exceeds ``LIMIT``, the chi-square quantile that one normal row
+in 10,000 exceeds. Where a group has no spread in a dimension, that is 5.28 times its ``FLOOR``: each statistic can reject alone.
 
 A (language, source) with fewer than ``LEAST_ROWS`` rows is pooled with the others of its language, a pool that is still
 smaller with all such pools; the rows of a last pool that is too small are not judged and stay.
@@ -29,8 +30,8 @@ BINS = 16
 BIN_RANGE = 320
 DIMENSIONS = 6
 # least standard deviation of each dimension: a statistic that is constant in clean text must not make any other value infinitely far
-FLOOR = (0.05, 0.03, 0.1, 0.15, 0.03, 0.03)
-LIMIT = 80.0
+FLOOR = (0.03, 0.02, 0.06, 0.08, 0.03, 0.03)
+LIMIT = 27.856  # 99.99 % of the chi-square distribution with 6 degrees of freedom
 REWEIGHT = 14.449  # 97.5 % of the chi-square distribution with 6 degrees of freedom
 
 SYMBOLS = b"#*$%&|<>"

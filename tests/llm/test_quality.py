@@ -52,6 +52,29 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in got if got[i].kept}
 
 
+def test_one_moderate_statistic_rejects_alone(spark):
+    """Beside clean texts of 80 two-word lines, each of the others is moderately off in a single statistic."""
+    made = random.Random(8)
+    vocab = ["".join(made.choice("abcdefghijklmnop") for _ in range(made.randint(4, 7))) for _ in range(4000)]
+    lines = lambda: [f"{made.choice(vocab).capitalize()} {made.choice(vocab)}." for _ in range(80)]
+    off = {
+        "word length": lambda t: [line.replace(" ", "xx xx") for line in t],
+        "symbols": lambda t: [line + "$" * (k % 4 == 0) for k, line in enumerate(t)],
+        "repeated words": lambda t: [*t[:60], *(f"{t[0]} {t[1]} w{k}\n{k}v" if k < 6 else t[60 + k] for k in range(20))],
+        "repeated lines": lambda t: [t[0] if k % 4 == 0 else line for k, line in enumerate(t)],
+        "capitals": lambda t: [line[:4].upper() + line[4:] for line in t],
+        "marks": lambda t: [line.replace(" ", ",;: ") for line in t],
+    }
+    clean = 600
+    rows = [(i, "\n".join(lines()), "en", "s", 0) for i in range(clean)]
+    rows += [(clean + k, "\n".join(change(lines())), "en", "s", 0) for k, change in enumerate(off.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [name for k, name in enumerate(off) if got[clean + k].kept] == []
+    assert all(got[i].kept for i in range(clean))
+
+
 def test_estimate_equals_numpy(spark):
     """The distances of a pool by the distributed steps are those of the same steps on one machine."""
     docs, _ = documents(spark)
