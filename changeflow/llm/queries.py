@@ -10,12 +10,15 @@ from changeflow.llm.language import language_id
 from changeflow.llm.line_dedup import without_common_lines
 from changeflow.llm.mixing import Mix, mix_sources
 from changeflow.llm.near_dup import near_duplicates
+from changeflow.llm.phrases import decontaminated
+from changeflow.llm.prefix_trie import prefix_trie
 from changeflow.llm.quality import quality_verdicts
 from changeflow.llm.repair import token_files
 from changeflow.llm.sampling import sampled_digests
 from changeflow.llm.sharding import extendible_shards
 from changeflow.llm.token_counts import token_counts
 from changeflow.llm.topk import top_k
+from changeflow.llm.whitening import whitened
 
 SHARD_BYTES = 1 << 20
 PIECES = "piece_bpe_32k.model"
@@ -74,6 +77,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, factor=1024)
 
 
+def op11_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in a ten-word window of a benchmark item, by a positional index."""
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened along their 32 leading components."""
+    return whitened(table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_mixing": op2_mixing,
@@ -85,9 +103,13 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_phrase_decontamination": op11_phrase_decontamination,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WORDS = r"[^\x20\x09-\x0D]+"
+TERMS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -158,5 +180,68 @@ WITH v AS (
 )
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+""",
+    "op11_phrase_decontamination": rf"""
+WITH doc_rows AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{TERMS}') AS w FROM documents
+), items AS (
+  SELECT row_number() OVER () AS item, item_id::VARCHAR AS name, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{TERMS}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT name, least(10, len(w)) AS width, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT row, i, width, array_to_string(w[i:i + width - 1], ' ') AS phrase
+  FROM (SELECT row, w, unnest(generate_series(1, len(w))) AS i FROM doc_rows), (SELECT DISTINCT width FROM windows) WHERE i + width - 1 <= len(w)
+), hits AS (
+  SELECT row, i, p.width, name FROM places p JOIN windows x ON x.width = p.width AND x.phrase = p.phrase
+), covered AS (
+  SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(generate_series(i, i + width - 1)) AS pos FROM hits) GROUP BY row
+), named AS (
+  SELECT row, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS ids FROM (SELECT DISTINCT row, name FROM hits) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_rows LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+""",
+    "op13_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS rank
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS source, xor(4294967295, list_reduce(
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, byte: list_reduce(
+      [1, 2, 3, 4, 5, 6, 7, 8], lambda v, bit: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, byte)
+    ), 4294967295)) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, t.rank, role, text FROM ids i JOIN turns t ON t.conv_id = i.source AND t.rank <= h
+  UNION ALL SELECT i.conv_id, 1, t.rank, role, text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.rank > h
+), placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, rank) AS depth,
+    md5(length(role)::VARCHAR || ':' || role || text) AS digest, length(text) AS chars
+  FROM rebuilt
+), paths AS (
+  SELECT conv_id, depth, chars, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM placed
+), ends AS (
+  SELECT i.conv_id, coalesce(max(depth), 0) AS depth, coalesce(max(path), '') AS path FROM ids i LEFT JOIN paths USING (conv_id) GROUP BY i.conv_id
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM paths GROUP BY path, depth
+  UNION ALL SELECT '', 0, min(conv_id), count(*), 0 FROM ids HAVING count(*) > 0
+), children AS (
+  SELECT substr(path, 1, length(path) - 32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.path = n.path
+), sums AS (
+  SELECT substr(path, 1, 32 * above) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS above FROM counted) GROUP BY 1
+), ended AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM ends GROUP BY path
+)
+SELECT c.conv_id::BIGINT AS conv_id, c.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, c.n_convs::BIGINT AS n_convs,
+  c.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM counted c JOIN sums s ON s.path = c.path LEFT JOIN ended e ON e.path = c.path
+LEFT JOIN nodes p ON c.depth > 0 AND p.path = substr(c.path, 1, length(c.path) - 32)
 """,
 }
