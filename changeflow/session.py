@@ -35,11 +35,6 @@ def build_session(
     return builder.getOrCreate()
 
 
-def broadcast_threshold(spark: SparkSession) -> int:
-    """Bytes up to which Spark broadcasts a join side in this session; -1 for never."""
-    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
 def scratch_dir(spark: SparkSession, label: str, base: str | None = None) -> str:
     """A new folder below ``base``, by default ``spark.checkpoint.dir``, which every executor can reach."""
     base = base or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

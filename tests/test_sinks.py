@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import pytest
@@ -42,31 +43,88 @@ def test_a_repeated_batch_replaces_itself(spark, folder):
     assert _state(table) == [(1, "A"), (2, "b")]
 
 
-@pytest.fixture
-def broadcasts(spark):
-    def allow(yes):
-        if not yes:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def _bucketed(spark, folder, n=8):
+    return CurrentTable(spark, f"{folder}/t", COLUMNS, buckets=n)
 
-    yield allow
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
+def _bucket_of(spark, key, n=8):
+    return spark.range(key, key + 1).select(F.pmod(F.hash("id"), F.lit(n))).first()[0]
 
-@pytest.mark.parametrize("small", [True, False])
-def test_a_small_log_does_not_shuffle_the_snapshot(spark, folder, broadcasts, small):
-    broadcasts(small)
-    table = _table(spark, folder)
+
+def test_untouched_buckets_are_neither_shuffled_nor_rewritten(spark, folder):
+    table = _bucketed(spark, folder)
+    _append(table, 0, *[(i, "a", i, False) for i in range(100)])
+    table.compact()
+    before = table.manifest().held
+    assert set(before) == set(range(8))
+    _append(table, 1, (7, "A", 200, False), (1_007, "new", 201, False))
+    touched = {_bucket_of(spark, 7), _bucket_of(spark, 1_007)}
+    assert table.touched([1]) == touched
+    text = table.current()._jdf.queryExecution().executedPlan().toString()
+    kept, merged = text.split("SortMergeJoin")
+    assert kept.count("FileScan") == 1 or "Exchange" not in kept.split("FileScan")[0]
+    assert {int(b) for b in re.findall(r"/bucket=(\d+)", merged)} <= touched
+    assert not {int(b) for b in re.findall(r"/bucket=(\d+)", kept)} & touched
+    assert table.compact() == 1
+    after = table.manifest().held
+    assert {b for b in after if after[b] != before[b]} == touched
+    assert set(storage.partition_values(spark, f"{folder}/t/snapshot/v=1", "bucket")) == {str(b) for b in touched}
+    want = {i: "a" for i in range(100)} | {7: "A", 1_007: "new"}
+    assert dict(_state(table)) == want
+    table.vacuum()
+    assert dict(_state(table)) == want
+    assert set(storage.partition_values(spark, f"{folder}/t/snapshot/v=0", "bucket")) == {str(b) for b in range(8) if b not in touched}
+
+
+def test_a_bucket_has_few_files(spark, folder):
+    table = _bucketed(spark, folder, 4)
+    _append(table, 0, *[(i, "a", i, False) for i in range(400)])
+    table.compact()
+    _append(table, 1, *[(i, "b", 1_000 + i, False) for i in range(400)])
+    table.compact()
+    for bucket in range(4):
+        assert len(storage.files(spark, f"{folder}/t/snapshot/v=1/bucket={bucket}")) == 1
+
+
+def test_the_number_of_buckets_may_change(spark, folder):
+    _append(_bucketed(spark, folder, 4), 0, *[(i, "a", i, False) for i in range(50)])
+    _bucketed(spark, folder, 4).compact()
+    table = _bucketed(spark, folder, 6)
+    _append(table, 1, (3, "A", 100, False))
+    want = {i: "a" for i in range(50)} | {3: "A"}
+    assert dict(_state(table)) == want
+    table.compact()
+    assert dict(_state(table)) == want and set(table.manifest().held.values()) == {1} and table.manifest().of == 6
+    _append(_bucketed(spark, folder, 4), 2, (4, "B", 101, False))  # another writer notes other buckets
+    assert dict(_state(table)) == want | {4: "B"}
+    table.compact()
+    assert dict(_state(table)) == want | {4: "B"}
+
+
+def test_a_compaction_that_stops_changes_nothing(spark, folder, monkeypatch):
+    table = _bucketed(spark, folder)
     _append(table, 0, (1, "a", 1, False))
     table.compact()
-    _append(table, 1, (1, "A", 2, False))
-    plan = table.current()._jdf.queryExecution().executedPlan().toString()
-    assert ("SortMergeJoin" in plan and "FullOuter" in plan) is not small
-    assert ("BroadcastHashJoin" in plan) is small
+    _append(table, 1, (1, "A", 2, False), (2, "b", 3, False))
+    monkeypatch.setattr("changeflow.storage.move", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        table.compact()
+    monkeypatch.undo()
+    assert table.snapshot_version() == 0 and _state(table) == [(1, "A"), (2, "b")]
+    table.vacuum()
+    assert table.compact() == 1 and _state(table) == [(1, "A"), (2, "b")]
+
+
+def test_a_batch_without_a_note_is_looked_through(spark, folder):
+    table = _bucketed(spark, folder)
+    _append(table, 0, *[(i, "a", i, False) for i in range(20)])
+    table.compact()
+    _append(table, 1, (5, "A", 100, False))
+    storage.delete(spark, f"{folder}/t/touched/1.json")
+    assert table.touched([1]) == {_bucket_of(spark, 5)} and dict(_state(table))[5] == "A"
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_compaction_keeps_the_state(spark, folder, broadcasts, small):
-    broadcasts(small)
+def test_compaction_keeps_the_state(spark, folder):
     table = _table(spark, folder)
     assert table.compact() is None
     _append(table, 0, (1, "a", 1, False), (2, "b", 2, False), (3, "c", 3, False))
@@ -84,8 +142,8 @@ def test_compaction_keeps_the_state(spark, folder, broadcasts, small):
     _append(table, 3, (1, "a", 9, True))
     assert _state(table) == [(3, "C"), (4, "d")]
     table.compact(forget_before=8)
-    snapshot = spark.read.parquet(f"{folder}/t/snapshot/v=2")
-    assert sorted((r.id, r._deleted) for r in snapshot.collect()) == [(1, True), (3, False), (4, False)]
+    assert table.snapshot_version() == 2
+    assert sorted((r.id, r._deleted) for r in table.snapshot().collect()) == [(1, True), (3, False), (4, False)]
 
 
 def test_a_batch_taken_after_a_compaction_is_seen(spark, folder):
@@ -197,6 +255,82 @@ def test_cleanup_goes_on_after_an_interruption(spark, folder, monkeypatch):
     assert read_monitor(spark, folder, "sync_events").count() == 2
 
 
+def test_a_rewriting_keeps_what_is_appended_meanwhile(spark, folder, monkeypatch):
+    mt.append_monitor(_events(spark, *TIMES), folder, "sync_events")
+    seen = []
+
+    def between(*args, commit=storage.commit_text):  # the month is rewritten, and not yet exchanged
+        seen.append(read_monitor(spark, folder, "sync_events").count())
+        mt.append_monitor(_events(spark, *TIMES), folder, "sync_events")
+        seen.append(read_monitor(spark, folder, "sync_events").count())
+        commit(*args)
+
+    reader = read_monitor(spark, folder, "sync_events")
+    monkeypatch.setattr("changeflow.storage.commit_text", between)
+    mt.cleanup_table(spark, folder, "sync_events", "2024-01-10 00:00:01")
+    monkeypatch.undo()
+    assert seen == [5, 10]
+    rows = read_monitor(spark, folder, "sync_events")
+    assert rows.count() == 2 + 5  # old rows that were appended meanwhile are for the next clean-up
+    assert reader.count() == 5  # a reader from before the exchange
+    mt.cleanup_table(spark, folder, "sync_events", "2024-01-10 00:00:01")
+    assert sorted(r.timestamp for r in read_monitor(spark, folder, "sync_events").collect()) == sorted([at(t) for t in TIMES[3:]] * 2)
+
+
+def test_a_merge_keeps_what_is_appended_meanwhile(spark, folder, monkeypatch):
+    mt.append_monitor(_events(spark, *TIMES), folder, "sync_events", "a")
+
+    def between(*args, commit=storage.commit_text):
+        mt.append_monitor(_events(spark, *TIMES), folder, "sync_events", "b")
+        commit(*args)
+
+    monkeypatch.setattr("changeflow.storage.commit_text", between)
+    mt.merge_month(spark, folder, "sync_events", "202401")
+    monkeypatch.undo()
+    rows = read_monitor(spark, folder, "sync_events")
+    assert rows.count() == 10 and {(r.yyyymm, r.batch) for r in rows.collect() if r.yyyymm == 202401} == {(202401, "merged"), (202401, "b")}
+    mt.monitor_table(spark, folder, "sync_events").purge()
+    assert read_monitor(spark, folder, "sync_events").count() == 10
+
+
+def test_a_label_can_be_repeated_after_a_rewriting(spark, folder):
+    for label in ("a", "b"):
+        mt.append_monitor(_events(spark, *TIMES), folder, "sync_events", label)
+    mt.cleanup_table(spark, folder, "sync_events", "2024-01-10 00:00:01")
+    mt.append_monitor(_events(spark, "2024-01-20"), folder, "sync_events", "a")
+    counts = read_monitor(spark, folder, "sync_events").groupBy("batch").count().collect()
+    assert sorted(map(tuple, counts)) == [("a", 1), ("b", 2)]
+    mt.monitor_table(spark, folder, "sync_events").purge()
+    assert read_monitor(spark, folder, "sync_events").count() == 3
+
+
+def test_two_rewritings_at_once_do_not_overwrite_each_other(spark, folder, monkeypatch):
+    mt.append_monitor(_events(spark, *TIMES), folder, "sync_events")
+    inner = []
+
+    def between(*args, commit=storage.commit_text):
+        if not inner:
+            inner.append(True)
+            mt.merge_month(spark, folder, "sync_events", "202401")
+        commit(*args)
+
+    monkeypatch.setattr("changeflow.storage.commit_text", between)
+    with pytest.raises(FileExistsError):
+        mt.cleanup_table(spark, folder, "sync_events", "2024-01-10 00:00:01")
+    monkeypatch.undo()
+    assert read_monitor(spark, folder, "sync_events").count() == 5
+    mt.cleanup_table(spark, folder, "sync_events", "2024-01-10 00:00:01")
+    assert read_monitor(spark, folder, "sync_events").count() == 2
+
+
+def test_rewritten_months_are_pruned(spark, folder):
+    mt.append_monitor(_events(spark, *TIMES), folder, "sync_events")
+    mt.merge_month(spark, folder, "sync_events", "202401")
+    rows = read_monitor(spark, folder, "sync_events", TimeRange.of("2024-01-05", "2024-01-20"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("yyyymm#") and "PartitionFilters: [isnotnull(yyyymm" in plan and rows.count() == 2
+
+
 def test_time_to_live(spark, folder):
     mt.append_monitor(_events(spark, *TIMES), folder, "sync_events")
     as_of = "2024-02-09 00:00:00"  # 30 days after 2024-01-10 00:00:00, which is then expired
