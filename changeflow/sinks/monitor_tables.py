@@ -2,7 +2,7 @@
 
     <root>/<table>/yyyymm=<month>/batch=<label>/
 
-Sorted by time inside the files; columns looked up by equality carry a bloom filter.
+Months that were merged or cleaned are kept beside that, see ``rewritable``. Sorted by time inside the files; columns looked up by equality carry a bloom filter.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from changeflow import storage
 from changeflow.functions.ranges import Moment, moment, timestamp
+from changeflow.rewritable import Change
 from changeflow.schemas import BATCH, MONITOR_BLOOM, MONITOR_SORT, MONITOR_TABLES, MONTH
-from changeflow.sources.monitor_tables import table_schema
+from changeflow.sources.monitor_tables import monitor_table, table_schema
 
 # Fixed value: days of history kept.
 HISTORY_DAYS = 30
@@ -48,9 +49,13 @@ def monitor_rows(df: DataFrame, table: str, batch: str = DIRECT) -> DataFrame:
     return df.select(*columns, month.alias(MONTH), F.lit(batch).alias(BATCH))
 
 
+def _bloom(table: str) -> dict[str, str]:
+    return {f"parquet.bloom.filter.enabled#{column}": "true" for column in MONITOR_BLOOM[table]}
+
+
 def discard_batch(spark: SparkSession, root: str, table: str, batch: str) -> None:
     """Remove what an earlier attempt wrote under a batch label."""
-    storage.delete_matching(spark, f"{root}/{table}/{MONTH}=*/{BATCH}={batch}")
+    monitor_table(spark, root, table).discard(batch)
 
 
 def append_monitor(df: DataFrame, root: str, table: str, batch: str = DIRECT) -> None:
@@ -61,10 +66,7 @@ def append_monitor(df: DataFrame, root: str, table: str, batch: str = DIRECT) ->
     if batch != DIRECT:
         discard_batch(spark, root, table, batch)
     rows = monitor_rows(df, table, batch).sortWithinPartitions(MONTH, BATCH, *MONITOR_SORT[table])
-    writer = rows.write.mode("append").partitionBy(MONTH, BATCH)
-    for column in MONITOR_BLOOM[table]:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+    rows.write.mode("append").partitionBy(MONTH, BATCH).options(**_bloom(table)).parquet(path)
 
 
 def create_monitor_tables(spark: SparkSession, root: str) -> None:
@@ -84,64 +86,41 @@ def within_ttl(df: DataFrame, as_of: Moment, days: int = HISTORY_DAYS) -> DataFr
     return df.where(F.col("timestamp") > timestamp(moment(as_of) - timedelta(days=days)))
 
 
-def _staging(root: str, table: str, month: str) -> str:
-    return f"{root}/_staging/{table}/{MONTH}={month}"
-
-
-def _recover(spark: SparkSession, root: str, table: str, month: str) -> None:
-    """Finish an exchange that stopped after the old folder was removed."""
-    staging, folder = _staging(root, table, month), f"{root}/{table}/{MONTH}={month}"
-    if storage.exists(spark, f"{staging}/_SUCCESS") and not storage.exists(spark, folder):
-        storage.move(spark, staging, folder)
-
-
-def _exchange_month(rows: DataFrame, root: str, table: str, month: str) -> None:
-    """Write the rows of a month beside it, then exchange the folders."""
-    spark, staging, folder = rows.sparkSession, _staging(root, table, month), f"{root}/{table}/{MONTH}={month}"
-    writer = rows.drop(MONTH).write.mode("overwrite").partitionBy(BATCH)
-    for column in MONITOR_BLOOM[table]:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(staging)
-    storage.delete(spark, folder)
-    storage.move(spark, staging, folder)
-
-
-def _month_rows(spark: SparkSession, root: str, table: str, month: str) -> DataFrame:
-    return spark.read.schema(table_schema(table)).parquet(f"{root}/{table}").where(F.col(MONTH) == int(month))
-
-
 def cleanup_table(spark: SparkSession, root: str, table: str, before: Moment) -> None:
     """Delete rows older than ``before``.
 
-    Whole months go as folders; only the month ``before`` lies in is rewritten. A run
-    that stopped half-way is finished by the next one.
+    Whole months go without being read; only the month ``before`` lies in is rewritten. All of it takes effect at once, rows
+    appended meanwhile stay, and the files go with the next clean-up, when no reader still uses them.
     """
     before = moment(before)
     month = before.strftime("%Y%m")
-    _recover(spark, root, table, month)
-    months = storage.partition_values(spark, f"{root}/{table}", MONTH)
-    for old in months:
-        if old < month:
-            storage.delete(spark, f"{root}/{table}/{MONTH}={old}")
-    if month not in months:
-        return
-    rows = _month_rows(spark, root, table, month)
-    if rows.where(F.col("timestamp") < timestamp(before)).isEmpty():
-        return
-    kept = rows.where(F.col("timestamp") >= timestamp(before))
-    _exchange_month(kept.sortWithinPartitions(BATCH, *MONITOR_SORT[table]), root, table, month)
+    months = monitor_table(spark, root, table)
+    months.purge()
+    values = months.values()
+    changes: dict[str, Change | None] = {old: None for old in values if old < month}
+    if month in values:
+        rows = months.read().where(F.col(MONTH) == int(month))
+        if not rows.where(F.col("timestamp") < timestamp(before)).isEmpty():
+            kept = lambda rows: rows.where(F.col("timestamp") >= timestamp(before))
+            changes[month] = lambda rows: kept(rows).sortWithinPartitions(BATCH, *MONITOR_SORT[table])
+    if changes:
+        months.rewrite(changes, **_bloom(table))
 
 
 def merge_month(spark: SparkSession, root: str, table: str, month: str) -> None:
     """Replace the many small batch folders of a month by one, ordered by time.
 
-    For a month no stream writes to any more, since a repeated batch would not find its label.
+    For a month no stream writes to any more, since a repeated batch would not find its label. Rows appended while the
+    month is being merged stay beside it.
     """
-    _recover(spark, root, table, month)
-    if month in storage.partition_values(spark, f"{root}/{table}", MONTH):
-        rows = _month_rows(spark, root, table, month).withColumn(BATCH, F.lit(MERGED))
-        ordered = rows.repartitionByRange(F.col("timestamp"), F.col("seq"))
-        _exchange_month(ordered.sortWithinPartitions(BATCH, *MONITOR_SORT[table]), root, table, month)
+
+    def merged(rows: DataFrame) -> DataFrame:
+        ordered = rows.withColumn(BATCH, F.lit(MERGED)).repartitionByRange(F.col("timestamp"), F.col("seq"))
+        return ordered.sortWithinPartitions(BATCH, *MONITOR_SORT[table])
+
+    months = monitor_table(spark, root, table)
+    if month in months.values():
+        months.rewrite({month: merged}, **_bloom(table))
 
 
 def cleanup(spark: SparkSession, root: str, before: Moment) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from changeflow.functions.ranges import TimeRange
+from changeflow.rewritable import RewritableTable
 from changeflow.schemas import BATCH, MONITOR_TABLES, MONTH
 
 
@@ -23,6 +24,10 @@ def table_schema(table: str) -> T.StructType:
     )
 
 
+def monitor_table(spark: SparkSession, root: str, table: str) -> RewritableTable:
+    return RewritableTable(spark, f"{root}/{table}", MONTH, table_schema(table))
+
+
 def read_monitor(spark: SparkSession, root: str, table: str, rng: TimeRange = TimeRange()) -> DataFrame:
     """A monitoring table; a time range prunes months and reaches the Parquet scan."""
-    return rng.apply(spark.read.schema(table_schema(table)).parquet(f"{root}/{table}"))
+    return rng.apply(monitor_table(spark, root, table).read())
