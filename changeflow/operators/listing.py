@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from changeflow.functions.ranges import TimeRange, timestamp
+from changeflow.functions.ranges import TimeRange
 
 # Default page size and buffer sizes.
 PAGE_SIZE = 20
 MAX_EVENTS = 10_000
 MAX_ERRORS = 1_000
 
-def _newest_first() -> list:
-    return [F.col("timestamp").desc_nulls_last(), F.col("seq").desc_nulls_last()]
+
+def order_columns(df: DataFrame) -> list[str]:
+    """Columns that order a list: time, ``seq``, then all others that can be ordered, so that only equal rows tie."""
+    first = [c for c in ("timestamp", "seq") if c in df.columns]
+    others = [f.name for f in df.schema.fields if f.name not in first and not isinstance(f.dataType, T.MapType)]
+    return first + others
+
+
+def _newest_first(df: DataFrame) -> list[Column]:
+    return [F.col(c).desc_nulls_last() for c in order_columns(df)]
 
 
 def newest(df: DataFrame, offset: int, size: int) -> DataFrame:
@@ -24,7 +34,7 @@ def newest(df: DataFrame, offset: int, size: int) -> DataFrame:
     Spark keeps ``offset + size`` rows per task, or sorts once these exceed
     ``spark.sql.execution.topKSortFallbackThreshold``. ``page_after`` goes on from a row at any depth.
     """
-    return df.orderBy(*_newest_first()).offset(offset).limit(size)
+    return df.orderBy(*_newest_first(df)).offset(offset).limit(size)
 
 
 def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
@@ -34,11 +44,56 @@ def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     return newest(df, (number - 1) * size, size)
 
 
-def page_after(df: DataFrame, last_timestamp: datetime, last_seq: int, size: int = PAGE_SIZE) -> DataFrame:
-    """The page that follows a given row: the same cost at any depth."""
-    at = timestamp(last_timestamp)
-    older = df.where(F.col("timestamp") <= at).where((F.col("timestamp") < at) | (F.col("seq") < last_seq))
-    return older.orderBy(*_newest_first()).limit(size if size > 0 else PAGE_SIZE)
+@dataclass(frozen=True)
+class PageEnd:
+    """Where a page ended: the last row's values of ``order_columns``, and how many rows equal to it were shown."""
+
+    values: tuple
+    shown: int
+
+
+def page_end(rows: DataFrame, before: PageEnd | None = None) -> PageEnd | None:
+    """The end of a page from ``page`` or ``page_after``; ``None`` if it has no row. ``before`` is the end of the page
+    before it."""
+    columns = order_columns(rows)
+    shown = rows.collect()  # a page
+    if not shown:
+        return None
+    keys = [tuple(row[c] for c in columns) for row in shown]
+    same = sum(1 for key in keys if key == keys[-1])
+    return PageEnd(keys[-1], same + (before.shown if before and before.values == keys[-1] else 0))
+
+
+def _from(df: DataFrame, values: tuple) -> Column:
+    """Rows that stand at or after a place in the order: newest first, nulls last."""
+    columns = [F.col(c) for c in order_columns(df)]
+    here = F.lit(True)
+    for column, value, kind in reversed(list(zip(columns, values, [df.schema[c].dataType for c in order_columns(df)], strict=True))):
+        at = F.lit(value).cast(kind)
+        later = F.lit(False) if value is None else (column < at) | column.isNull()
+        here = later | (column.eqNullSafe(at) & here)
+    return here
+
+
+def page_after(df: DataFrame, end: PageEnd, size: int = PAGE_SIZE) -> DataFrame:
+    """The page that follows another: the same cost at any depth. No row is left out or shown twice, however many share
+    their time, their number or all their values."""
+    rows = df.where(_from(df, end.values))
+    if end.values[0] is not None:  # the bound on the bare column reaches the scan
+        rows = rows.where((F.col("timestamp") <= F.lit(end.values[0])) | F.col("timestamp").isNull())
+    return newest(rows, end.shown, size if size > 0 else PAGE_SIZE)
+
+
+def all_pages(df: DataFrame, size: int) -> DataFrame:
+    """Every row with the number of its ``page``, walked page by page as a reader would."""
+    pages, end = [], None
+    while True:
+        rows = page(df, 1, size) if end is None else page_after(df, end, size)
+        end = page_end(rows, end)
+        if end is None:
+            break
+        pages.append(rows.withColumn("page", F.lit(len(pages) + 1)))
+    return reduce(DataFrame.union, pages) if pages else df.limit(0).withColumn("page", F.lit(0))
 
 
 def total(df: DataFrame) -> DataFrame:

@@ -32,6 +32,16 @@ def throughput_series(events: DataFrame, rng: TimeRange) -> DataFrame:
     )
 
 
+COPY_KEY = ("seq", "target_name", "_content")
+
+
+def with_content_key(events: DataFrame) -> DataFrame:
+    """``events`` with ``_content``: null where ``seq`` tells events apart, else the SHA-256 of all columns."""
+    whole = F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"})
+    return events.withColumn("_content", F.when(F.col("seq").isNull(), F.sha2(whole, 256)))
+
+
 def deduplicated_events(events: DataFrame) -> DataFrame:
-    """Each event once per target, however often it was written."""
-    return events.dropDuplicates(["seq", "target_name"])
+    """Each event once per target, however often it was written. Events without ``seq`` are copies of each other only if
+    all their columns are equal."""
+    return with_content_key(events).dropDuplicates(list(COPY_KEY)).drop("_content")

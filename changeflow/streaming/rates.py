@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from changeflow import storage
-from changeflow.operators.series import is_row_change
+from changeflow.operators.series import COPY_KEY, is_row_change, with_content_key
 from changeflow.operators.stats import (
     HOURLY_EVENTS_KEYS,
     HOURLY_LATENCY_KEYS,
@@ -57,17 +57,18 @@ def position_stream(positions: DataFrame) -> DataFrame:
 
 
 def deduplicated_stream(events: DataFrame, lateness: str = LATENESS, salts: int = 1) -> DataFrame:
-    """Each event once per target; copies may be ``lateness`` apart.
+    """Each event once per target; copies may be ``lateness`` apart. Events without ``seq`` are copies of each other only if
+    all their columns are equal.
 
     Where one event may make up much of the stream, ``salts`` first removes copies in
     that many groups of input tasks, so its copies do not all go to one task.
     """
-    key = ["seq", "target_name"]
-    timed = _event_time(events, lateness)
+    key = list(COPY_KEY)
+    timed = _event_time(with_content_key(events), lateness)
     if salts > 1:
         salted = timed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         timed = salted.dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
-    return timed.dropDuplicatesWithinWatermark(key)
+    return timed.dropDuplicatesWithinWatermark(key).drop("_content")
 
 
 def late_rows(progress: Iterable[StreamingQueryProgress]) -> int:

@@ -195,10 +195,34 @@ def test_a_page_starts_no_job(spark, many, monkeypatch):
 
 def test_pages_by_key_join_to_the_whole_list(many):
     df, order = many
-    got = [(r.seq, r.timestamp) for r in listing.page(df, 1, 700).collect()]
-    while len(got) < len(order):
-        got += [(r.seq, r.timestamp) for r in listing.page_after(df, got[-1][1], got[-1][0], 700).collect()]
-    assert [g[0] for g in got] == order
+    rows = listing.all_pages(df, 700).collect()
+    assert [r.seq for r in rows] == order and [r.page for r in rows] == [1 + k // 700 for k in range(len(order))]
+    assert listing.all_pages(df.limit(0), 10).count() == 0 and listing.page_end(df.limit(0)) is None
+
+
+@pytest.mark.parametrize("size", [1, 4, 7])
+def test_pages_lose_no_row_that_shares_its_key(spark, size):
+    """Two targets with the same times and numbers, missing numbers and times, and rows that are equal."""
+    day = at("2024-01-01")
+    rows = [(n // 2, day + timedelta(seconds=n // 12), f"T:{n % 2}", "m") for n in range(24)]
+    rows += [(None, day, "T:a", f"m{n}") for n in range(6)] + [(None, day, None, None)] * 5 + [(None, None, "T:a", "x")] * 9 + [(7, None, None, "y")]
+    df = spark.createDataFrame(rows, "seq bigint, timestamp timestamp, target_name string, message string").repartition(4)
+    got = [tuple(r)[:4] for r in listing.all_pages(df, size).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    assert got == [tuple(r) for r in listing.page(df, 1, 100).collect()]
+
+
+def test_later_pages_reach_the_scan(spark, many, tmp_path):
+    many[0].write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    plan = listing.page_after(df, listing.page_end(listing.page(df, 1, 20)), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(timestamp" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_copies_without_a_number_are_told_by_content(spark):
+    rows = [(1, "T:a", "x")] * 3 + [(1, "T:b", "x")] + [(None, "T:a", f"m{n}") for n in range(5)] * 2 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "seq bigint, target_name string, message string").repartition(3)
+    assert sorted(map(tuple, series.deduplicated_events(df).collect()), key=repr) == sorted(set(rows), key=repr)
 
 
 def test_last_n_is_oldest_first(many):
