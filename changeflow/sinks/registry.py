@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,6 @@ from changeflow.sinks.current_table import CurrentTable
 from changeflow.targets import TargetConfig
 
 
-
 @dataclass(frozen=True)
 class TableOutcome:
     """What became of a table's changes: the error that refused them, or the rows that went to quarantine."""
@@ -88,40 +89,56 @@ def current_tables(
     }
 
 
-def table_sink(target: TargetConfig, schemas: dict[str, T.StructType], root: str) -> Sink:
-    """Append the images of each table to its replicated table; rows that do not fit go to quarantine."""
-    missing = [t for t in target.tables if t not in schemas]
-    if missing:
-        raise ValueError(f"target {target.name}: no schema for tables {missing}")
-    options = target.options or {}
-    by_position, move = options.get("version") == "position", options.get("key_change") == "move"
+class TableSink:
+    """Appends the images of each table of a target to its replicated table; rows that do not fit go to quarantine."""
+
+    def __init__(self, target: TargetConfig, schemas: dict[str, T.StructType], root: str):
+        missing = [t for t in target.tables if t not in schemas]
+        if missing:
+            raise ValueError(f"target {target.name}: no schema for tables {missing}")
+        options = target.options or {}
+        self.target, self.schemas, self.root = target, schemas, root
+        self.by_position, self.move = options.get("version") == "position", options.get("key_change") == "move"
+        self.key = options.get("key", "id")
 
-    def write_table(name: str, table: CurrentTable, changes: DataFrame, batch_id: int) -> TableOutcome:
+    def _write_table(self, name: str, table: CurrentTable, changes: DataFrame, batch_id: int) -> TableOutcome:
         counted = Observation()
         rows = changes.where(changes["table_name"] == name)
-        if not by_position:
+        if not self.by_position:
             rows = rows.withColumn("seq", F.coalesce("seq", F.raise_error(F.lit(NO_SEQ))))
-        good, bad = parse_images(rows, schemas[name], counted, keep_before=move, key=options.get("key", "id"))
-        if move:
+        good, bad = parse_images(rows, self.schemas[name], counted, keep_before=self.move, key=self.key)
+        if self.move:
             good = good.unionByName(key_moves(good, table.keys[0]))
-        table.append(versioned(good, by_position), batch_id)
+        table.append(versioned(good, self.by_position), batch_id)
         n_bad = int(counted.get["bad"] or 0)
         if n_bad:
             table.quarantine(bad, batch_id)
         return TableOutcome(quarantined=n_bad)
 
-    def write(changes: DataFrame, batch_id: int) -> dict[str, TableOutcome]:
+    def _outcome(self, name: str, table: CurrentTable, changes: DataFrame, batch_id: int) -> TableOutcome:
+        try:
+            return self._write_table(name, table, changes, batch_id)
+        except Exception as failure:  # other tables are written all the same
+            return TableOutcome(error=str(failure))
+
+    def write(self, changes: DataFrame, batch_id: int, present: Collection[str]) -> dict[str, TableOutcome]:
+        """Write the tables that have changes, all at once; ``present`` are the names found in the batch."""
+        spark = changes.sparkSession
+        tables = {n: t for n, t in current_tables(spark, self.target, self.schemas, self.root).items() if n in present}
+        if not tables:
+            return {}
+        one = inheritable_thread_target(spark)(self._outcome)
+        with ThreadPoolExecutor(len(tables)) as pool:
+            started = {name: pool.submit(one, name, table, changes, batch_id) for name, table in tables.items()}
+            return {name: outcome.result() for name, outcome in started.items()}
+
+    def __call__(self, changes: DataFrame, batch_id: int) -> dict[str, TableOutcome]:
         present = {row[0] for row in changes.select("table_name").distinct().collect()}  # tables of the target at most
-        outcomes = {}
-        for name, table in current_tables(changes.sparkSession, target, schemas, root).items():
-            if name in present:
-                try:
-                    outcomes[name] = write_table(name, table, changes, batch_id)
-                except Exception as failure:  # other tables are written all the same
-                    outcomes[name] = TableOutcome(error=str(failure))
-        return outcomes
-
-    return write
+        return self.write(changes, batch_id, present)
+
+
+def table_sink(target: TargetConfig, schemas: dict[str, T.StructType], root: str) -> Sink:
+    return TableSink(target, schemas, root)
 
 
 register_sink("clickhouse", table_sink)

@@ -281,3 +281,95 @@ def test_copies_within_the_watermark_are_dropped(spark, folder, salts):
     start_push(once, f"{folder}/out", f"{folder}/cp", mode="append", available_now=True).awaitTermination()
     got = spark.read.parquet(f"{folder}/out").select("seq", "target_name").collect()
     assert sorted(map(tuple, got)) == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def _refusing(spark, folder, target, refused):
+    """A sink for a target that refuses some batches for as long as they are in ``refused``."""
+    good = table_sink(target, SCHEMAS, f"{folder}/tables")
+
+    def write(changes, batch_id):
+        if batch_id in refused:
+            raise ConnectionError(f"down {refused[batch_id]}")
+        return good(changes, batch_id)
+
+    return write
+
+
+def _outcomes(spark, job, target):
+    rows = read_monitor(spark, job.monitor_root, "sync_events").where(f"target_name = '{target.qualified_name}'").collect()
+    return sorted((r.seq, r.table_name, r.success, r.error_msg) for r in rows)
+
+
+def _messages(spark, job):
+    return sorted(r.message for r in read_monitor(spark, job.monitor_root, "sync_errors").collect() if r.raw_data == "")
+
+
+def test_a_late_success_puts_the_records_right(spark, folder):
+    for n in range(3):
+        _write(spark, folder, n)
+    refused = {0: "at first", 2: "at first"}
+    sinks = {t.qualified_name: table_sink(t, SCHEMAS, f"{folder}/tables") for t in TARGETS}
+    job = _job(folder, sinks={**sinks, TARGETS[0].qualified_name: _refusing(spark, folder, TARGETS[0], refused)})
+    _run(spark, folder, job)
+    want = [(2, "t", 0, "down at first"), (3, "u", 0, "down at first"), (5, "t", 1, ""), (6, "t", 1, ""), (9, "t", 0, "down at first")]
+    want += [(10, "u", 0, "down at first"), (11, "t", 0, "down at first")]
+    assert _outcomes(spark, job, TARGETS[0]) == want
+    first = _messages(spark, job)
+    assert first.count("down at first") == 4 + 2  # two tables in each batch, and batch 0 again with each later batch
+    refused[0] = "again"
+    del refused[2]
+    job.retry(spark, TARGETS[0])
+    assert job.pending(spark, TARGETS[0]) == [0]
+    assert _outcomes(spark, job, TARGETS[0]) == [w if w[0] < 9 else (*w[:2], 1, "") for w in want]
+    messages = _messages(spark, job)
+    assert messages.count("down again") == 2 and messages.count("down at first") == 4  # the last try replaces the one before
+    assert messages.count("1 rows do not fit the table and are in its quarantine") == 1
+    refused.clear()
+    job.retry(spark, TARGETS[0])
+    job.retry(spark, TARGETS[0])
+    assert job.pending(spark, TARGETS[0]) == [] and {o[2] for o in _outcomes(spark, job, TARGETS[0])} == {1}
+    assert len(_outcomes(spark, job, TARGETS[0])) == len(want) and len(_outcomes(spark, job, TARGETS[1])) == 5
+
+
+def test_a_stop_before_the_records_are_right_leads_to_another_try(spark, folder, monkeypatch):
+    _write(spark, folder, 0)
+    refused = {0: "once"}
+    sinks = {t.qualified_name: table_sink(t, SCHEMAS, f"{folder}/tables") for t in TARGETS}
+    job = _job(folder, sinks={**sinks, TARGETS[0].qualified_name: _refusing(spark, folder, TARGETS[0], refused)})
+    _run(spark, folder, job)
+    refused.clear()
+    monkeypatch.setattr("changeflow.rewritable.RewritableTable.discard", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        job.retry(spark, TARGETS[0])
+    monkeypatch.undo()
+    job.retry(spark, TARGETS[0])
+    assert [o[2] for o in _outcomes(spark, job, TARGETS[0])] == [1, 1]
+
+
+def test_a_repeated_batch_skips_what_a_target_has_taken(spark, folder):
+    """The stream stops after its targets were written; the next start repeats the batch."""
+    _write(spark, folder, 0)
+    calls, broken = [], [True]
+    sinks = {t.qualified_name: table_sink(t, SCHEMAS, f"{folder}/tables") for t in TARGETS}
+
+    def counted(changes, batch_id):
+        calls.append(batch_id)
+        return sinks[TARGETS[0].qualified_name](changes, batch_id)
+
+    class Stopping(ApplyJob):
+        def _write_events(self, *args):
+            if broken:
+                raise OSError("stopped")
+            super()._write_events(*args)
+
+    parts = dict(recorded_at=timestamp(NOW), sinks={**sinks, TARGETS[0].qualified_name: counted})
+    job = Stopping(TARGETS, SCHEMAS, f"{folder}/tables", f"{folder}/monitor", **parts)
+    with pytest.raises(Exception, match="stopped"):
+        _run(spark, folder, job)
+    broken.clear()
+    _run(spark, folder, job)
+    assert calls == [0]
+    assert [o[:3] for o in _outcomes(spark, job, TARGETS[0])] == [(2, "t", 1), (3, "u", 1)]
+    changes = read_changes(spark, f"{folder}/log", streaming=True, max_files_per_trigger=1)
+    start_apply(changes, job, f"{folder}/other", available_now=True).awaitTermination()
+    assert calls == [0, 0]  # another stream
