@@ -1,11 +1,12 @@
-"""Streams over monitoring records: rates, live status, duplicates."""
+"""Streams over monitoring records: rates, rollups, newest positions, duplicates."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryProgress
 
@@ -18,10 +19,12 @@ from changeflow.operators.stats import (
     delay_sums,
     event_sums,
 )
+from changeflow.rewritable import RewritableTable
 from changeflow.schemas import BATCH
 
 # Late records up to this much behind the newest one still count.
 LATENESS = "10 minutes"
+DAY = "day"
 
 
 def _event_time(df: DataFrame, lateness: str | None) -> DataFrame:
@@ -76,6 +79,58 @@ def late_rows(progress: Iterable[StreamingQueryProgress]) -> int:
     return sum(state.numRowsDroppedByWatermark for report in progress for state in report.stateOperators)
 
 
+def _updates_table(spark: SparkSession, path: str, schema: T.StructType) -> RewritableTable:
+    fields = [T.StructField(f.name, f.dataType) for f in schema.fields]
+    return RewritableTable(spark, path, DAY, T.StructType([*fields, T.StructField(DAY, T.DateType()), T.StructField(BATCH, T.StringType())]))
+
+
+def write_updates(path: str, time_column: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer for update mode that adds the changed rows below ``path``, by day of ``time_column``.
+
+    A repeated batch replaces its rows. What a batch costs depends on what it changes, not on what there is."""
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        label = f"{batch_id:012d}"
+        _updates_table(changed.sparkSession, path, changed.schema).discard(label)
+        rows = changed.withColumn(DAY, F.to_date(time_column)).withColumn(BATCH, F.lit(label))
+        rows.write.mode("append").partitionBy(DAY, BATCH).parquet(path)
+
+    return write
+
+
+def _newest_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    last = Window.partitionBy(DAY, *keys).orderBy(F.col(BATCH).desc())
+    return rows.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_last")
+
+
+def read_updates(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each of ``keys`` below ``path``, with its ``day``, by which a condition prunes."""
+    return _newest_of(_updates_table(spark, path, schema).read(), keys).drop(BATCH)
+
+
+def merge_days(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], before: str) -> None:
+    """Leave one row of each of ``keys`` in the days before ``before`` (ISO date). Rows that come meanwhile, or later, count."""
+    table = _updates_table(spark, path, schema)
+
+    def merged(rows: DataFrame) -> DataFrame:
+        label = rows.agg(F.max(BATCH)).first()[0]
+        return _newest_of(rows, keys).withColumn(BATCH, F.lit(label))
+
+    days = [day for day in table.values() if day < before]
+    if days:
+        table.rewrite(dict.fromkeys(days, merged))
+
+
+def start_updates(
+    result: DataFrame, path: str, checkpoint: str, time_column: str, *, interval: str = "1 second", available_now: bool = False
+) -> StreamingQuery:
+    """Keep a table of rates or rollups up to date with the rows that each micro-batch changes. The result needs a watermark,
+    which bounds its state; ``read_updates`` reads the table, ``merge_days`` keeps it small."""
+    writer = result.writeStream.foreachBatch(write_updates(path, time_column)).outputMode("update")
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def write_latest(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that keeps the newest complete result below ``path``.
 
@@ -109,9 +164,9 @@ def start_push(
     interval: str = "1 second",
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Keep a table up to date with a streaming result, every second by default.
+    """Keep a table up to date with a streaming result of few rows, such as newest positions, every second by default.
 
-    In append mode the result is added to; otherwise each result replaces the last.
+    In append mode the result is added to; otherwise each result replaces the last. ``start_updates`` is for results that grow.
     """
     if mode == "append":
         writer = result.writeStream.format("parquet").option("path", path).outputMode("append")

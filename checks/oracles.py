@@ -146,6 +146,22 @@ _LATENCY_HOURLY = """
            min(delay_seconds) AS min_delay, avg(delay_seconds) AS avg_delay
     FROM sync_positions GROUP BY 1, 2"""
 
+def _pages(view: str, columns: str) -> str:
+    """Rows of a view with ties, by page: six pages in the order of time, number and all other columns."""
+    others = [c for c in columns.split(", ") if c not in ("seq", "timestamp")]
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in ("timestamp", "seq", *others))
+    changed = """CASE WHEN seq % 11 != 0 THEN date_trunc('hour', timestamp) END AS timestamp,
+        CASE WHEN seq % 7 != 0 THEN cast(floor(seq / 3) AS bigint) END AS seq, unnest([target_name, 'T:other']) AS target_name"""
+    return f"""
+        SELECT {columns}, cast(1 + floor((row_number() OVER (ORDER BY {order}) - 1) / (floor(count(*) OVER () / 6) + 1)) AS integer) AS page
+        FROM (SELECT * EXCLUDE (seq, timestamp, target_name), {changed} FROM {view})"""
+
+
+_SHIFTED = "(SELECT seq, timestamp - to_days(cast(seq % 4 * 31 AS integer)) AS timestamp FROM sync_events)"
+_BATCH_OF = "cast(floor(seq / (floor((SELECT max(seq) FROM log_ops) / 4) + 1)) AS bigint)"
+_SLICE_OF = "cast(floor(seq / (floor((SELECT max(seq) FROM sync_events) / 4) + 1)) AS bigint)"
+_ERROR = "seq, timestamp, level, target_name, table_name, message, stack_trace, raw_data"
+
 ORACLES: dict[str, str] = {
     "change_log_scan": _sql(
         "log_ops", body="SELECT seq, binlog_file, binlog_pos, kind, table_name, action, ddl_query FROM log_ops"
@@ -479,4 +495,43 @@ ORACLES: dict[str, str] = {
             count(*) FILTER (event_type IN ('insert', 'update', 'delete')) AS tps FROM sync_events GROUP BY 1""",
     ),
     "streamed_deduplicated_events": _sql("sync_events", body=f"SELECT {_EVENT} FROM sync_events"),
+    "events_pages_by_key": _sql("sync_events", body=_pages("sync_events", _EVENT)),
+    "errors_pages_by_key": _sql("sync_errors", body=_pages("sync_errors", _ERROR)),
+    "deduplicated_without_seq": _sql(
+        "sync_events",
+        body=f"SELECT DISTINCT {_EVENT} FROM (SELECT * REPLACE (CASE WHEN seq % 3 != 1 THEN seq END AS seq) FROM sync_events)",
+    ),
+    "events_cleaned_over_months": _sql(
+        "sync_events",
+        body=f"""SELECT seq, timestamp, cast(strftime(timestamp, '%Y%m') AS integer) AS yyyymm FROM (
+            SELECT * FROM {_SHIFTED} WHERE timestamp >= timestamp '{views.CLEAN_BEFORE}'
+            UNION ALL SELECT * FROM {_SHIFTED} WHERE timestamp >= timestamp '{views.CLEAN_BEFORE}' AND seq % 10 = 0
+            UNION ALL SELECT * FROM {_SHIFTED} WHERE seq % 10 = 5)""",
+    ),
+    "retried_outcomes": _sql(
+        "log_ops",
+        "targets",
+        body=f"""SELECT 'event' AS record, seq, {_AS_OF} AS timestamp, target_name, o.table_name,
+                CASE WHEN target = 'replica' AND {_BATCH_OF} = 2 THEN 0 ELSE 1 END AS success,
+                CASE WHEN target = 'replica' AND {_BATCH_OF} = 2 THEN 'replica refused the batch' ELSE '' END AS message
+            FROM log_ops o JOIN targets t ON t.table_name = o.table_name WHERE o.kind = 'row'
+            UNION ALL SELECT 'error', NULL, {_AS_OF}, 'ClickHouse:replica', 'orders', 0, 'replica refused the batch'
+            FROM generate_series(1, 4)""",
+    ),
+    "late_events": _sql(
+        "sync_events",
+        body=f""", late AS (SELECT count(*) AS late FROM sync_events WHERE {_SLICE_OF} = 1 AND timestamp <= (
+                SELECT max(timestamp) - INTERVAL 1 DAY FROM sync_events WHERE {_SLICE_OF} IN (0, 2)))
+            SELECT (SELECT count(*) FROM sync_events) - late AS kept, late FROM late""",
+    ),
+    "buffered_events": _sql(
+        "sync_events",
+        body=f"SELECT {_EVENT} FROM sync_events ORDER BY timestamp DESC, seq DESC LIMIT 500",
+    ),
+    "buffered_events_resized": _sql(
+        "sync_events",
+        body="""SELECT seq, timestamp, (SELECT least(70, count(*)) FROM sync_events WHERE timestamp >= timestamp '2024-01-30 20:00:00') AS n_records,
+                70 AS capacity
+            FROM sync_events WHERE timestamp >= timestamp '2024-01-30 20:00:00' ORDER BY timestamp DESC, seq DESC LIMIT 50""",
+    ),
 }

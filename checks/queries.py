@@ -21,13 +21,17 @@ from changeflow.sinks.monitor_tables import append_monitor, cleanup, merge_month
 from changeflow.sinks.registry import current_tables, table_sink
 from changeflow.sources.change_log import Position, from_position, read_changes
 from changeflow.sources.monitor_tables import read_monitor
+from changeflow.streaming import buffer
 from changeflow.streaming.apply import ApplyJob, start_apply
 from changeflow.streaming.rates import (
     deduplicated_stream,
     events_hourly_stream,
+    late_rows,
     latency_hourly_stream,
-    read_latest,
+    merge_days,
+    read_updates,
     start_push,
+    start_updates,
     throughput_stream,
 )
 from changeflow.targets import registered_targets, target_tables
@@ -400,6 +404,22 @@ def events_after_cleanup(spark, sf_dir):
     return kept
 
 
+@query
+def events_cleaned_over_months(spark, sf_dir):
+    """Events of four months in two labels; the oldest months go, the boundary month is cut, one month is merged, and a part
+    is appended once more after that."""
+    root, events = scratch_dir(spark, "monitor"), Views(spark, sf_dir).events
+    events = events.withColumn("timestamp", F.col("timestamp") - F.make_dt_interval((F.col("seq") % 4 * 31).cast("int")))
+    for n in range(2):
+        append_monitor(events.where(F.col("seq") % 2 == n), root, "sync_events", f"part-{n}")
+    cleanup(spark, root, views.CLEAN_BEFORE)
+    append_monitor(events.where("seq % 10 = 0"), root, "sync_events")
+    merge_month(spark, root, "sync_events", "202312")
+    cleanup(spark, root, views.CLEAN_BEFORE)
+    append_monitor(events.where("seq % 10 = 5"), root, "sync_events")
+    return read_monitor(spark, root, "sync_events").select("seq", "timestamp", "yyyymm")
+
+
 @query
 def events_within_ttl(spark, sf_dir):
     events = read_monitor(spark, _saved(spark, sf_dir, "sync_events"), "sync_events")
@@ -446,6 +466,30 @@ def errors_page(spark, sf_dir):
     return listing.page(filters.errors_filtered(Views(spark, sf_dir).errors, level="ERROR"), 2, 20)
 
 
+def _with_ties(rows: DataFrame) -> DataFrame:
+    """Records as several targets leave them: the same number and time at two targets, some without a number or a time."""
+    twice = rows.withColumn("target_name", F.explode(F.array("target_name", F.lit("T:other"))))
+    number = F.when(F.col("seq") % 7 != 0, F.floor(F.col("seq") / 3)).cast("bigint")
+    minute = F.when(F.col("seq") % 11 != 0, F.date_trunc("hour", "timestamp"))
+    return twice.withColumn("timestamp", minute).withColumn("seq", number)
+
+
+def _paged(rows: DataFrame) -> DataFrame:
+    """All pages of a list, six of them."""
+    size = rows.count() // 6 + 1
+    return listing.all_pages(rows, size)
+
+
+@query
+def events_pages_by_key(spark, sf_dir):
+    return _paged(_with_ties(Views(spark, sf_dir).events))
+
+
+@query
+def errors_pages_by_key(spark, sf_dir):
+    return _paged(_with_ties(Views(spark, sf_dir).errors))
+
+
 @query
 def last_events(spark, sf_dir):
     return listing.last_n(Views(spark, sf_dir).events, listing.MAX_EVENTS)
@@ -582,6 +626,13 @@ def deduplicated_events(spark, sf_dir):
     return series.deduplicated_events(_with_copies(Views(spark, sf_dir).events))
 
 
+@query
+def deduplicated_without_seq(spark, sf_dir):
+    """Copies removed where a third of the events has no number."""
+    copies = _with_copies(Views(spark, sf_dir).events)
+    return series.deduplicated_events(copies.withColumn("seq", F.when(F.col("seq") % 3 != 1, F.col("seq"))))
+
+
 @query
 def event_labels_of_events(spark, sf_dir):
     return event_labels(Views(spark, sf_dir).events)
@@ -745,36 +796,107 @@ def fan_out_with_failure(spark, sf_dir):
     return _states(spark, job)
 
 
+@query
+def retried_outcomes(spark, sf_dir):
+    """Records of events and errors when the replica refuses two batches of four and takes one of them in the end: batch 1
+    when it is tried again, batch 2 never."""
+    log, root = write_log(spark, sf_dir, "stream-log"), scratch_dir(spark, "retried")
+    good, refused = table_sink(TARGETS[1], SCHEMAS, f"{root}/tables"), {1, 2}
+
+    def refusing(changes: DataFrame, batch_id: int) -> None:
+        if batch_id in refused:
+            raise ConnectionError("replica refused the batch")
+        good(changes, batch_id)
+
+    sinks = {TARGETS[0].qualified_name: table_sink(TARGETS[0], SCHEMAS, f"{root}/tables"), TARGETS[1].qualified_name: refusing}
+    job = ApplyJob(TARGETS, SCHEMAS, f"{root}/tables", f"{root}/monitor", recorded_at=timestamp(moment(AS_OF)), sinks=sinks)
+    changes = read_changes(spark, log, streaming=True, max_files_per_trigger=1)
+    _run(start_apply(changes, job, f"{root}/checkpoint", available_now=True))
+    refused.remove(1)
+    job.retry(spark, TARGETS[1])
+    events = read_monitor(spark, job.monitor_root, "sync_events").select(
+        F.lit("event").alias("record"), "seq", "timestamp", "target_name", "table_name", "success", F.col("error_msg").alias("message")
+    )
+    errors = read_monitor(spark, job.monitor_root, "sync_errors").select(
+        F.lit("error").alias("record"), "seq", "timestamp", "target_name", "table_name", F.lit(0).alias("success"), "message"
+    )
+    return events.unionByName(errors)
+
+
 def _event_files(spark: SparkSession, events: DataFrame, label: str) -> DataFrame:
     path = write_in_order(events, label)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _updated(result: DataFrame, label: str, time_column: str, keys: tuple[str, ...]) -> DataFrame:
+    """A result kept in update mode under a watermark, with its older days merged."""
+    spark, root = result.sparkSession, scratch_dir(result.sparkSession, label)
+    _run(start_updates(result, f"{root}/out", f"{root}/checkpoint", time_column, available_now=True))
+    merge_days(spark, f"{root}/out", result.schema, keys, views.DAY_START[:10])
+    return read_updates(spark, f"{root}/out", result.schema, keys).drop("day")
+
+
 @query
 def streamed_throughput(spark, sf_dir):
     events = _event_files(spark, Views(spark, sf_dir).events, "rate-events")
-    root = scratch_dir(spark, "rates")
-    rates = throughput_stream(events, lateness=None)
-    _run(start_push(rates, f"{root}/out", f"{root}/checkpoint", available_now=True))
-    return read_latest(spark, f"{root}/out")
+    return _updated(throughput_stream(events), "rates", "second", ("second",))
 
 
 @query
 def streamed_events_hourly(spark, sf_dir):
     events = _event_files(spark, Views(spark, sf_dir).events, "hourly-events")
-    root = scratch_dir(spark, "hourly")
-    rollup = events_hourly_stream(events, lateness=None)
-    _run(start_push(rollup, f"{root}/out", f"{root}/checkpoint", available_now=True))
-    return stats.read_events_hourly(read_latest(spark, f"{root}/out"))
+    return stats.read_events_hourly(_updated(events_hourly_stream(events), "hourly", "hour", stats.HOURLY_EVENTS_KEYS))
 
 
 @query
 def streamed_latency_hourly(spark, sf_dir):
     positions = _event_files(spark, Views(spark, sf_dir).positions, "hourly-positions")
-    root = scratch_dir(spark, "hourly")
-    rollup = latency_hourly_stream(positions, lateness=None)
-    _run(start_push(rollup, f"{root}/out", f"{root}/checkpoint", available_now=True))
-    return stats.read_latency_hourly(read_latest(spark, f"{root}/out"))
+    return stats.read_latency_hourly(_updated(latency_hourly_stream(positions), "hourly", "hour", stats.HOURLY_LATENCY_KEYS))
+
+
+@query
+def late_events(spark, sf_dir):
+    """Events that come more than a day late, as the progress reports of the stream count them: the second quarter of the log
+    comes after the third."""
+    first, second, third, fourth = slices(Views(spark, sf_dir).events, 4)
+    log, root = scratch_dir(spark, "late-events"), scratch_dir(spark, "late")
+    for part in (first, third, second, fourth):
+        part.coalesce(1).write.mode("append").parquet(log)
+    events = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(log)
+    started = start_push(deduplicated_stream(events, "1 day"), f"{root}/out", f"{root}/checkpoint", mode="append", available_now=True)
+    _run(started)
+    kept = spark.read.schema(first.schema).parquet(f"{root}/out").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.withColumn("late", F.lit(late_rows(started.recentProgress)).cast("bigint"))
+
+
+def _buffered(spark: SparkSession, sf_dir: str, capacity: int, given: list[tuple]) -> str:
+    """The log's events through a ring buffer, with orders at some places of it."""
+    events = Views(spark, sf_dir).events
+    marked = events.withColumns({buffer.ORDER: F.lit(None).cast("string"), buffer.SIZE: F.lit(None).cast("int")})
+    path, root = scratch_dir(spark, "buffer-events"), scratch_dir(spark, "buffer")
+    asked = buffer.orders(spark, events.schema, given)
+    for n, part in enumerate(slices(events, 4)):
+        low, high = part.agg(F.min("timestamp"), F.max("timestamp")).first()
+        here = asked.where((F.col("timestamp") > F.lit(low)) & (F.col("timestamp") <= F.lit(high)))
+        rows = marked.join(part.select("seq"), "seq", "left_semi").select(*marked.columns)
+        rows.unionByName(here).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _run(buffer.start_buffer(stream, f"{root}/out", f"{root}/checkpoint", capacity, shards=3, available_now=True))
+    return f"{root}/out"
+
+
+@query
+def buffered_events(spark, sf_dir):
+    """The last 500 events of the stream, from bounded state."""
+    return buffer.read_buffer(spark, _buffered(spark, sf_dir, 500, []))
+
+
+@query
+def buffered_events_resized(spark, sf_dir):
+    """Count and size of a buffer that is cleared on the 10th and resized on the 30th, and the last 50 events in it."""
+    path = _buffered(spark, sf_dir, 500, [(moment("2024-01-10"), 0, buffer.CLEAR, None), (moment("2024-01-30 20:00:00"), 0, buffer.RESIZE, 70)])
+    figures = buffer.buffer_figures(spark, path)
+    return status.with_one_row(buffer.read_buffer(spark, path, 50).select("seq", "timestamp"), figures)
 
 
 @query

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,18 @@ from changeflow.sinks.registry import current_tables, table_sink
 from changeflow.sources.change_log import read_changes
 from changeflow.sources.monitor_tables import read_monitor
 from changeflow.streaming.apply import ApplyJob, start_apply
-from changeflow.streaming.rates import deduplicated_stream, late_rows, position_stream, read_latest, start_push, throughput_stream
+from changeflow.streaming.rates import (
+    deduplicated_stream,
+    late_rows,
+    merge_days,
+    position_stream,
+    read_latest,
+    read_updates,
+    start_push,
+    start_updates,
+    throughput_stream,
+    write_updates,
+)
 from changeflow.targets import TargetConfig
 from tests.conftest import at
 
@@ -373,3 +385,50 @@ def test_a_repeated_batch_skips_what_a_target_has_taken(spark, folder):
     changes = read_changes(spark, f"{folder}/log", streaming=True, max_files_per_trigger=1)
     start_apply(changes, job, f"{folder}/other", available_now=True).awaitTermination()
     assert calls == [0, 0]  # another stream
+
+
+RATE_EVENT = "seq bigint, timestamp timestamp, event_type string, target_name string"
+
+
+def _rates(spark, folder, rows, lateness="10 seconds"):
+    spark.createDataFrame(rows, RATE_EVENT).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    events = spark.readStream.schema(RATE_EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rates = throughput_stream(events, lateness)
+    query = start_updates(rates, f"{folder}/out", f"{folder}/checkpoint", "second", available_now=True)
+    query.awaitTermination()
+    return query, rates.schema
+
+
+def _second_event(k, second):
+    return (k, at("2024-01-01 23:58:00") + timedelta(seconds=second), "insert", "T:a")
+
+
+def test_updates_keep_bounded_state_and_every_second(spark, folder):
+    totals, states = {}, []
+    for batch in range(6):
+        rows = [_second_event(batch * 100 + k, batch * 40 + k % 50) for k in range(100)]  # the last ten seconds come again
+        for r in rows:
+            totals[r[1]] = totals.get(r[1], 0) + 1
+        query, schema = _rates(spark, folder, rows)
+        states.append(query.recentProgress[-1].stateOperators[0].numRowsTotal)
+    assert max(states[1:]) <= 60 < len(totals)
+    got = {r.second: r.qps for r in read_updates(spark, f"{folder}/out", schema, ["second"]).collect()}
+    assert got == totals
+    merge_days(spark, f"{folder}/out", schema, ["second"], "2024-01-02")
+    _rates(spark, folder, [_second_event(9_000, 239)])  # a second of the last batch once more
+    totals[at("2024-01-01 23:58:00") + timedelta(seconds=239)] += 1
+    rows = read_updates(spark, f"{folder}/out", schema, ["second"])
+    assert {r.second: r.qps for r in rows.collect()} == totals
+    plan = rows.where("day = date'2024-01-02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_a_repeated_update_replaces_itself(spark, folder):
+    schema = "second timestamp, qps bigint"
+    write = write_updates(f"{folder}/out", "second")
+    write(spark.createDataFrame([(at("2024-01-01"), 1), (at("2024-01-02"), 1)], schema), 0)
+    write(spark.createDataFrame([(at("2024-01-01"), 5)], schema), 1)
+    write(spark.createDataFrame([(at("2024-01-01"), 7)], schema), 1)
+    rows = read_updates(spark, f"{folder}/out", spark.createDataFrame([], schema).schema, ["second"]).collect()
+    assert sorted((r.second, r.qps) for r in rows) == [(at("2024-01-01"), 7), (at("2024-01-02"), 1)]
+    assert spark.read.parquet(f"{folder}/out").count() == 3
