@@ -29,7 +29,7 @@ WEIGHTS = (3, 1, 2)
 LEAST_BLOCKS = 256
 CHUNK_ROWS = 50_000
 LEAST_CHUNKS = 256
-DRAWN_BELOW = 10**9  # numpy's limit for the draw; larger nodes are halved in proportion
+DRAWN_AT_ONCE = 5 * 10**8  # numpy draws from less than 10**9; a larger node is drawn in parts
 
 
 @dataclass(frozen=True)
@@ -81,15 +81,16 @@ def with_blocks(table: DataFrame, mix: Mix) -> DataFrame:
     return table.withColumn("length", length).withColumn("blocks", blocks).withColumn("slots", slots)
 
 
-def _halved(counts: np.ndarray, part: float, take: int, seed: list[int]) -> np.ndarray:
-    total = int(counts.sum())
-    if total >= DRAWN_BELOW:
-        exact = counts * part
-        left = np.floor(exact).astype(np.int64)
-        order = np.argsort(left - exact, kind="stable")
-        left[order[: max(0, take - int(left.sum()))]] += 1
-        return np.minimum(left, counts)
-    return np.random.Generator(np.random.PCG64(seed)).multivariate_hypergeometric(counts, take, method="marginals")
+def _halved(counts: np.ndarray, take: int, seed: list[int]) -> np.ndarray:
+    parts = int(counts.sum()) // DRAWN_AT_ONCE + 1
+    made = np.random.Generator(np.random.PCG64(seed))
+    left, drawn = np.zeros_like(counts), 0
+    for k in range(parts):
+        some = counts * (k + 1) // parts - counts * k // parts
+        until = min(take * (k + 1) // parts, drawn + int(some.sum()))
+        left += made.multivariate_hypergeometric(some, until - drawn, method="marginals")
+        drawn = until
+    return left
 
 
 def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +98,7 @@ def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple
     counts, before, low, high = slots.astype(np.int64), np.zeros(len(slots), np.int64), 0, shards
     while high - low > 1:
         middle = (low + high) // 2
-        part = (middle - low) / (high - low)
-        left = _halved(counts, part, int(counts.sum()) * (middle - low) // (high - low), [seed, low, high])
+        left = _halved(counts, int(counts.sum()) * (middle - low) // (high - low), [seed, low, high])
         if shard < middle:
             counts, high = left, middle
         else:
@@ -186,7 +186,7 @@ def spans(docs_placed: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
     pieces = rows.withColumn("block", F.explode(F.sequence(first, last)))
     low, high = F.greatest("start", F.col("block") * F.col("length")), F.least("end", (F.col("block") + 1) * F.col("length"))
     pieces = pieces.select("number", "block", "start", (low - F.col("start")).alias("first"), (high - low).alias("n"))
-    return pieces.join(slots_of(sources, mix), ["number", "block"])
+    return pieces.join(stored(slots_of(sources, mix), "slots"), ["number", "block"])
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
