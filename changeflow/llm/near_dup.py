@@ -35,9 +35,9 @@ MARKED = 208  # functions whose low bits are kept
 SIZES_APART = 70  # sets smaller than this only meet sets of about their size
 BITS = 4
 PIVOT_ROUNDS = 4
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 400_000  # rows of a block, and shingles of all of them
 LARGE = 10_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 # rows without an id get one from here on, by their text
@@ -141,7 +141,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
                 names=["doc_id", "n_shingles", "key1", "key2", "bits", "bands"],
             )
 
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, batch_bytes="2m")
     return docs.select("doc_id", "text").mapInArrow(sign, SIGNATURE)
 
 
@@ -207,14 +207,15 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_in_blocks(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components within each group, from members (group, node, label). The largest component of a group
-    meets the other members, and these meet each other, in blocks of about ``BLOCK``; a block leaves out links between
-    what its other links join already."""
-    parts = members.groupBy("group", "label").agg(F.count("*").alias("size"))
-    sizes = parts.groupBy("group").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("all"))
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    sizes = sizes.select("group", F.col("main.label").alias("main"), chunks(F.col("main.size")).alias("n_main"), chunks(F.col("all") - F.col("main.size")).alias("n_rest"))
+    meets the other members, and these meet each other, in blocks of about ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles at
+    most; a block leaves out links between what its other links join already."""
+    parts = members.join(reps.select("node", "n"), "node").groupBy("group", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    sizes = parts.groupBy("group").agg(F.max(F.struct("size", "label", "n")).alias("main"), F.sum("size").alias("all"), F.sum("n").alias("all_n"))
+    chunks = lambda rows, n: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    n_main, n_rest = chunks(F.col("main.size"), F.col("main.n")), chunks(F.col("all") - F.col("main.size"), F.col("all_n") - F.col("main.n"))
+    sizes = sizes.select("group", F.col("main.label").alias("main"), n_main.alias("n_main"), n_rest.alias("n_rest"))
     dealt = members.join(sizes, "group").withColumn("in_main", F.col("label") == F.col("main"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -287,7 +288,7 @@ def linked_components(docs: DataFrame, sig: DataFrame, classes: DataFrame, shing
         large = labelled.where(F.col("size") > LARGE)
         last = turn == PIVOT_ROUNDS or not any_row(large)
         if last:
-            more = _links_in_blocks(labelled.drop("size"), sets, percent)
+            more = _links_in_blocks(labelled.drop("size"), reps, sets, percent)
         else:
             ends = links.select(F.col("a").alias("node")).union(links.select("b"))
             degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
