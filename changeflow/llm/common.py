@@ -75,8 +75,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file(name: str, folder: str = "/opt/tokenizers") -> str:
-    """Path of a public vocabulary file, which every machine has in ``folder``."""
+def tokenizer_file(name: str, folder: str | None = None) -> str:
+    """Path of a public vocabulary file, by default of the installed package; every machine has it there."""
+    if folder is None:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
     return f"{folder}/{name}"
 
 
