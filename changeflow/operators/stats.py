@@ -24,6 +24,14 @@ def _long(column: Column, default: int | None = 0) -> Column:
     return (column if default is None else F.coalesce(column, F.lit(default))).cast("bigint")
 
 
+def order_number() -> Column:
+    """Place of a record in time as one number: its time, then its ``seq``, what is missing first. Unlike a struct, it can be
+    compared in a hash aggregate."""
+    micros = F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(-(1 << 62))).cast("decimal(38,0)")
+    step = F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (micros.cast("decimal(19,0)") * step).cast("decimal(38,0)") + F.coalesce("seq", F.lit(-1)).cast("decimal(20,0)")
+
+
 def event_stats_by_type(events: DataFrame, rng: TimeRange) -> DataFrame:
     """One row per type, types compared in upper case."""
     return (
@@ -106,7 +114,7 @@ def latency_stats(positions: DataFrame, rng: TimeRange, target: str = "") -> Dat
     def at(p: float) -> Column:
         return _long(F.min(F.when(F.col("upto") >= rank[p], F.col("delay_seconds"))))
 
-    current = rows.agg(F.max_by("delay_seconds", F.struct("timestamp", "seq")).alias("current")).scalar()
+    current = rows.agg(F.max_by("delay_seconds", order_number()).alias("current")).scalar()
     figures = ranks.agg(
         F.coalesce(F.sum(F.col("c") * F.col("delay_seconds")) / F.sum("c"), F.lit(0.0)).alias("avg_delay"),
         _long(F.max("delay_seconds")).alias("max_delay"),
@@ -181,14 +189,22 @@ def target_stats(events: DataFrame, errors: DataFrame, names: DataFrame, rng: Ti
     )
 
 
+def newest_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The newest row of each of few ``keys``: their places by a hash aggregate over all rows, then only the rows that stand
+    there. Of rows that share a place the one with the greatest ``columns`` counts."""
+    placed = df.withColumn("_place", order_number())
+    last = placed.groupBy(*keys).agg(F.max("_place").alias("_last"), _count().alias("_n"))
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    found = placed.join(last.withColumnsRenamed({k: f"_{k}" for k in keys}), [*same, F.col("_place") == F.col("_last")])
+    best = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in columns])
+    return found.withColumn("_best", F.row_number().over(best)).where("_best = 1").select(*keys, *columns, F.col("_n").alias("n_rows"))
+
+
 def target_error_totals(errors: DataFrame, registered: DataFrame) -> DataFrame:
     """Error count and last message of every registered target with errors."""
-    per_target = errors.groupBy("target_name").agg(
-        _count().alias("total_errors"),
-        F.max_by("message", F.struct("timestamp", "seq")).alias("last_error"),
-    )
-    return registered.join(per_target, F.col("name") == F.col("target_name")).select(
-        "name", "total_errors", "last_error"
+    last = newest_rows(errors, ["target_name"], ["message"])
+    return registered.join(last, F.col("name") == F.col("target_name")).select(
+        "name", F.col("n_rows").alias("total_errors"), F.col("message").alias("last_error")
     )
 
 
@@ -199,12 +215,14 @@ def recent_throughput(events: DataFrame, rng: TimeRange) -> DataFrame:
     return rng.apply(events).agg(rate.alias("qps"), rate.alias("tps"))
 
 
+POSITION_COLUMNS = ("timestamp", "binlog_file", "binlog_pos", "gtid", "delay_seconds")
+
+
 def current_position(positions: DataFrame, target: str | None = None) -> DataFrame:
     """The last saved position of each target."""
     df = positions if target is None else positions.where(F.col("target_name") == target)
-    columns = [c for c in ("timestamp", "binlog_file", "binlog_pos", "gtid", "delay_seconds") if c in df.columns]
-    last = F.max_by(F.struct(*columns), F.struct("timestamp", "seq"))
-    return df.groupBy("target_name").agg(last.alias("last")).select("target_name", "last.*")
+    columns = [c for c in POSITION_COLUMNS if c in df.columns]
+    return newest_rows(df, ["target_name"], columns).drop("n_rows")
 
 
 HOURLY_EVENTS_KEYS = ("hour", "target_name", "table_name", "event_type")

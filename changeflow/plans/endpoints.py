@@ -27,11 +27,13 @@ class MonitorEndpoints:
         started: Moment,
         switches: DataFrame | None = None,
         service: str = status.RUNNING,
+        rates: DataFrame | None = None,
     ):
         """``root`` holds the monitoring tables, ``started`` is the start of the service,
-        ``switches`` the status changes made by hand, ``service`` the state of the service."""
+        ``switches`` the status changes made by hand, ``service`` the state of the service, ``rates`` the events of each
+        second (``second``, ``qps``, ``tps``) as a stream keeps them."""
         self.spark, self.root, self.configs = spark, root, targets
-        self.started, self.switches, self.service = started, switches, service
+        self.started, self.switches, self.service, self.rates = started, switches, service, rates
 
     def _table(self, table: str) -> DataFrame:
         return read_monitor(self.spark, self.root, table)
@@ -49,7 +51,8 @@ class MonitorEndpoints:
         return self._table("sync_positions")
 
     def _live(self, as_of: Moment) -> DataFrame:
-        return status.live_status(self._positions, self.started, as_of, self.service)
+        live = status.live_status(self._positions, self.started, as_of, self.service)
+        return live if self.rates is None else status.with_live_rates(live, self.rates, as_of)
 
     def _target_status(self) -> DataFrame:
         changes = status.status_changes(self._events, self.switches)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeflow.functions.ranges import LAST_5_MINUTES, LAST_7_DAYS, LAST_DAY, Moment, TimeRange, moment
-from changeflow.operators.stats import event_stats, recent_throughput, target_stats
+from changeflow.functions.ranges import LAST_5_MINUTES, LAST_7_DAYS, LAST_DAY, Moment, TimeRange, moment, timestamp
+from changeflow.operators.stats import event_stats, order_number, recent_throughput, target_stats
 
 # Delay limits in seconds, states and messages of the health report.
 DELAY_WARNING = 60
@@ -26,16 +28,12 @@ def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", packed).select(*df.columns, *[F.col(f"_one.{n}").alias(n) for n in names])
 
 
-def _in_time() -> Column:
-    """Order of records: by time, then by ``seq``, which may be missing; nulls come first."""
-    return F.struct("timestamp", "seq")
-
-
 def live_status(positions: DataFrame, started: Moment, as_of: Moment, status: str = RUNNING) -> DataFrame:
     """One row: newest position and delay, and the uptime in whole seconds."""
     uptime = int((moment(as_of) - moment(started)).total_seconds())
-    last = F.max_by(F.struct("binlog_file", "binlog_pos", "delay_seconds"), _in_time()).alias("last")
-    return positions.agg(last).select(
+    newest = positions.orderBy(order_number().desc(), F.col("binlog_file").desc_nulls_last(), F.col("binlog_pos").desc_nulls_last()).limit(1)
+    last = newest.select(F.struct("binlog_file", "binlog_pos", "delay_seconds")).scalar()
+    return positions.sparkSession.range(1).withColumn("last", last).select(
         F.lit(status).alias("status"),
         F.coalesce("last.binlog_file", F.lit("")).alias("binlog_file"),
         F.coalesce("last.binlog_pos", F.lit(0)).cast("bigint").alias("binlog_pos"),
@@ -44,21 +42,31 @@ def live_status(positions: DataFrame, started: Moment, as_of: Moment, status: st
     )
 
 
+def with_live_rates(live: DataFrame, rates: DataFrame, as_of: Moment) -> DataFrame:
+    """``live`` with the rates (``second``, ``qps``, ``tps``) of the last full second before ``as_of``, 0 if it has none."""
+    last = timestamp(moment(as_of) - timedelta(seconds=1))
+    found = rates.where(F.col("second") == last).agg(F.max("qps").alias("qps"), F.max("tps").alias("tps"))
+    figure = lambda c: F.coalesce(c, F.lit(0)).cast("double").alias(c)
+    return with_one_row(live, found.select(figure("qps"), figure("tps")))
+
+
 def target_status(registered: DataFrame, changes: DataFrame) -> DataFrame:
     """Status of every registered target: the last change in ``changes``
     (``seq``, ``timestamp``, ``target_name``, ``status``), else ``connected``.
 
-    Changes are first reduced by hashing to one row per target, status and second.
+    Changes are first reduced by hashing to one row per target and status.
     """
-    per_status = changes.groupBy("target_name", "status", "timestamp").agg(F.max("seq").alias("seq"))
-    last = per_status.groupBy("target_name").agg(F.max_by(F.struct("status", "timestamp"), _in_time()).alias("last"))
+    per_status = changes.groupBy("target_name", "status").agg(F.max(order_number()).alias("place"), F.max("timestamp").alias("timestamp"))
+    newest = Window.partitionBy("target_name").orderBy(F.col("place").desc(), F.col("status").desc())
+    last = per_status.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
+    last = last.select("target_name", F.col("status").alias("last_status"), "timestamp")
     joined = registered.join(last, registered["name"] == last["target_name"], "left")
     return joined.select(
         "name",
         "type",
-        F.coalesce("last.status", F.lit(CONNECTED)).alias("status"),
+        F.coalesce("last_status", F.lit(CONNECTED)).alias("status"),
         "is_enabled",
-        F.col("last.timestamp").alias("last_sync_time"),
+        F.col("timestamp").alias("last_sync_time"),
     )
 
 

@@ -15,9 +15,10 @@ from changeflow.operators.series import COPY_KEY, is_row_change, with_content_ke
 from changeflow.operators.stats import (
     HOURLY_EVENTS_KEYS,
     HOURLY_LATENCY_KEYS,
-    current_position,
+    POSITION_COLUMNS,
     delay_sums,
     event_sums,
+    order_number,
 )
 from changeflow.rewritable import RewritableTable
 from changeflow.schemas import BATCH
@@ -55,8 +56,26 @@ def latency_hourly_stream(positions: DataFrame, lateness: str | None = LATENESS)
 
 
 def position_stream(positions: DataFrame) -> DataFrame:
-    """Newest position of each target, for complete or update mode."""
-    return current_position(positions)
+    """Newest position of each target, for complete or update mode; the state is one row for each target."""
+    columns = [c for c in POSITION_COLUMNS if c in positions.columns]
+    last = F.max_by(F.struct(*columns), order_number()).alias("last")
+    return positions.groupBy("target_name").agg(last).select("target_name", "last.*")
+
+
+def error_totals_stream(errors: DataFrame) -> DataFrame:
+    """Running totals of errors: count and last message of each target, for complete or update mode; the state is one row for
+    each target."""
+    last = F.max_by("message", F.struct(order_number().alias("place"), "message"))
+    return errors.groupBy("target_name").agg(F.count(F.lit(1)).alias("total_errors"), last.alias("last_error"))
+
+
+def event_totals_stream(events: DataFrame) -> DataFrame:
+    """Running totals of events: events, rows and failures of each target, table and type, for complete or update mode."""
+    return events.groupBy("target_name", "table_name", F.upper("event_type").alias("event_type")).agg(
+        F.count(F.lit(1)).alias("total_events"),
+        F.sum("rows_count").alias("total_rows"),
+        F.count_if(F.col("success") == 0).alias("failed_events"),
+    )
 
 
 def deduplicated_stream(events: DataFrame, lateness: str = LATENESS, salts: int = 1) -> DataFrame:

@@ -534,4 +534,26 @@ ORACLES: dict[str, str] = {
                 70 AS capacity
             FROM sync_events WHERE timestamp >= timestamp '2024-01-30 20:00:00' ORDER BY timestamp DESC, seq DESC LIMIT 50""",
     ),
+    "streamed_event_totals": _sql(
+        "sync_events",
+        body="""SELECT target_name, table_name, upper(event_type) AS event_type, count(*) AS total_events,
+            cast(sum(rows_count) AS bigint) AS total_rows, count(*) FILTER (success = 0) AS failed_events FROM sync_events GROUP BY ALL""",
+    ),
+    "streamed_error_totals": _sql(
+        "sync_errors",
+        body="SELECT target_name, count(*) AS total_errors, arg_max(message, seq) AS last_error FROM sync_errors GROUP BY 1",
+    ),
+    "status_with_live_rates": _sql(
+        "sync_events",
+        "sync_positions",
+        "targets",
+        body=f""", newest AS (SELECT max(timestamp) AS at FROM sync_events)
+            SELECT name, type, 'connected' AS status, is_enabled,
+                (SELECT max(timestamp) FROM sync_events WHERE success = 1 AND target_name = name) AS last_sync_time,
+                'running' AS service_status, p.binlog_file, p.binlog_pos, p.delay_seconds,
+                cast(datesub('second', timestamp '{views.STARTED}', newest.at + INTERVAL 1 SECOND) AS bigint) AS uptime,
+                (SELECT cast(count(*) AS double) FROM sync_events WHERE timestamp = newest.at) AS qps,
+                (SELECT cast(count(*) AS double) FROM sync_events WHERE timestamp = newest.at AND event_type IN ('insert', 'update', 'delete')) AS tps
+            FROM ({_REGISTERED}) CROSS JOIN newest CROSS JOIN (SELECT * FROM sync_positions ORDER BY seq DESC LIMIT 1) p""".replace(" AS at ", " AS newest_at ").replace("newest.at", "newest_at"),
+    ),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from changeflow.functions.names import target_aliases
 from changeflow.functions.ranges import TimeRange, moment, timestamp
 from changeflow.operators import decode, filters, listing, records, route, series, state, stats
 from changeflow.plans import status
+from changeflow.plans.endpoints import MonitorEndpoints
 from changeflow.sinks.current_table import CurrentTable
 from changeflow.sinks.monitor_tables import append_monitor, cleanup, merge_month, within_ttl
 from changeflow.sinks.registry import current_tables, table_sink
@@ -25,10 +27,13 @@ from changeflow.streaming import buffer
 from changeflow.streaming.apply import ApplyJob, start_apply
 from changeflow.streaming.rates import (
     deduplicated_stream,
+    error_totals_stream,
+    event_totals_stream,
     events_hourly_stream,
     late_rows,
     latency_hourly_stream,
     merge_days,
+    read_latest,
     read_updates,
     start_push,
     start_updates,
@@ -854,6 +859,38 @@ def streamed_latency_hourly(spark, sf_dir):
     return stats.read_latency_hourly(_updated(latency_hourly_stream(positions), "hourly", "hour", stats.HOURLY_LATENCY_KEYS))
 
 
+@query
+def streamed_event_totals(spark, sf_dir):
+    """Running totals of events, kept by a stream."""
+    events = _event_files(spark, Views(spark, sf_dir).events, "total-events")
+    root = scratch_dir(spark, "totals")
+    _run(start_push(event_totals_stream(events), f"{root}/out", f"{root}/checkpoint", available_now=True))
+    return read_latest(spark, f"{root}/out")
+
+
+@query
+def streamed_error_totals(spark, sf_dir):
+    """Running totals of errors, kept by a stream."""
+    errors = _event_files(spark, Views(spark, sf_dir).errors, "total-errors")
+    root = scratch_dir(spark, "totals")
+    _run(start_push(error_totals_stream(errors), f"{root}/out", f"{root}/checkpoint", available_now=True))
+    return read_latest(spark, f"{root}/out")
+
+
+@query
+def status_with_live_rates(spark, sf_dir):
+    """The status endpoint over saved tables a second after the last event, with the rates that a stream keeps."""
+    tables = ("sync_events", "sync_positions")
+    root, events = _saved(spark, sf_dir, *tables), Views(spark, sf_dir).events
+    out = scratch_dir(spark, "live-rates")
+    rates = throughput_stream(_event_files(spark, events, "rate-events"))
+    _run(start_updates(rates, f"{out}/rates", f"{out}/checkpoint", "second", available_now=True))
+    kept = read_updates(spark, f"{out}/rates", rates.schema, ("second",))
+    end = events.agg(F.max("timestamp")).first()[0] + timedelta(seconds=1)
+    api = MonitorEndpoints(spark, root, TARGETS, STARTED, rates=kept)
+    return api.status(end)
+
+
 @query
 def late_events(spark, sf_dir):
     """Events that come more than a day late, as the progress reports of the stream count them: the second quarter of the log

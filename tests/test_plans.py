@@ -68,3 +68,8 @@ def test_no_product_and_no_python_in_any_plan(spark, name):
     text = plan(QUERIES[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert operator not in text
+
+
+@pytest.mark.parametrize("name", ["live_status", "health", "metrics_24h", "service_status", "target_status", "current_position", "target_error_totals", "latency_stats"])
+def test_newest_records_are_found_without_sorting_all(spark, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, SF))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from changeflow.operators.stats import order_number
 from changeflow.plans import status
 from tests.conftest import at
 
@@ -74,3 +75,17 @@ def test_target_status_takes_the_last_change(spark):
     changes = spark.createDataFrame(rows, "seq bigint, timestamp timestamp, target_name string, status string")
     got = {r.name: (r.status, r.last_sync_time) for r in status.target_status(registered, changes).collect()}
     assert got == {"a": ("connected", at("2024-01-03")), "b": ("connected", None)}
+
+
+def test_live_rates_are_those_of_the_last_full_second(spark):
+    rates = spark.createDataFrame([(at("2024-01-01 00:00:09"), 7, 5), (at("2024-01-01 00:00:10"), 1, 0)], "second timestamp, qps bigint, tps bigint")
+    live = spark.createDataFrame([("running",)], "status string")
+    got = [tuple(status.with_live_rates(live, rates, f"2024-01-01 00:00:{s}").select("qps", "tps").first()) for s in (10, 11, 12)]
+    assert got == [(7.0, 5.0), (1.0, 0.0), (0.0, 0.0)]
+
+
+def test_places_in_time_compare_like_time_and_number(spark):
+    rows = [(None, None), (5, None), (None, at("2024-01-01")), (0, at("2024-01-01")), (2**62, at("2024-01-01")), (0, at("2024-01-01 00:00:01"))]
+    df = spark.createDataFrame(rows, "seq bigint, timestamp timestamp").withColumn("place", order_number())
+    places = [r.place for r in df.collect()]
+    assert places == sorted(places) and len(set(places)) == len(places)
