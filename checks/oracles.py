@@ -520,8 +520,10 @@ ORACLES: dict[str, str] = {
     ),
     "late_events": _sql(
         "sync_events",
-        body=f""", late AS (SELECT count(*) AS late FROM sync_events WHERE {_SLICE_OF} = 1 AND timestamp <= (
-                SELECT max(timestamp) - INTERVAL 1 DAY FROM sync_events WHERE {_SLICE_OF} IN (0, 2)))
+        body=f""", ends AS (SELECT max(timestamp) FILTER ({_SLICE_OF} = 2) - INTERVAL 10 DAY AS second, max(timestamp) - INTERVAL 10 DAY AS first
+                FROM sync_events),
+            late AS (SELECT count(*) AS late FROM sync_events CROSS JOIN ends
+                WHERE ({_SLICE_OF} = 1 AND timestamp <= second) OR ({_SLICE_OF} = 0 AND timestamp <= first))
             SELECT (SELECT count(*) FROM sync_events) - late AS kept, late FROM late""",
     ),
     "buffered_events": _sql(
