@@ -100,3 +100,22 @@ def test_odd_and_no_rows(spark, odd_documents, no_documents):
 def test_cut_text():
     assert mixing.cut_text("a  b\nc d", 4, [(0, 2), (2, 2)]) == "a  b\nc d"
     assert mixing.cut_text("a  b\nc d", 4, [(0, 1), (2, 1), (3, 1)]) == "a\nc d"
+
+
+def test_large_nodes_are_drawn_too():
+    """Two billion slots of a source, more than are drawn at once."""
+    slots = np.array([2_000_000_000, 700, 1_500_000_001], np.int64)
+    counts, before = zip(*(mixing.shard_counts(slots, 4, k, 7) for k in range(4)), strict=True)
+    assert (sum(counts) == slots).all() and (before[0] == 0).all() and (before[3] + counts[3] == slots).all()
+    assert all((c >= 0).all() for c in counts)
+    again = mixing.shard_counts(slots, 4, 2, 7)
+    other = mixing.shard_counts(slots, 4, 2, 8)
+    assert (again[0] == counts[2]).all() and (other[0] != counts[2]).any()
+    spread = [int(mixing._halved(slots, int(slots.sum()) // 2, [k])[0]) - 1_000_000_000 for k in range(40)]
+    assert 5_000 < np.std(spread) < 40_000  # hypergeometric: about 14,600
+
+
+def test_slots_are_written_before_they_are_joined(spark):
+    docs = spark.createDataFrame([(k, "a b c " * 50, f"s{k % 3}") for k in range(60)], "doc_id long, text string, source string")
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan

@@ -41,9 +41,10 @@ def made_rows(seed, groups=12, size=14, words=60, edits=9):
     return rows
 
 
-@pytest.mark.parametrize(("shingle", "block"), [(2, 256), (2, 4), (5, 256)])
-def test_groups_equal_all_pairs(spark, monkeypatch, shingle, block):
+@pytest.mark.parametrize(("shingle", "block", "shingles"), [(2, 256, 400_000), (2, 4, 400_000), (5, 256, 400_000), (2, 256, 150)])
+def test_groups_equal_all_pairs(spark, monkeypatch, shingle, block, shingles):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(near_dup, "LARGE", 40 * block - 156)  # small blocks also take the rounds with further pivots
     rows = made_rows(shingle)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
