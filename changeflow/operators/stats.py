@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +82,11 @@ def event_type_share(events: DataFrame, rng: TimeRange) -> DataFrame:
     return counts.select("event_type", "n", (F.col("n") / whole).alias("share"))
 
 
-def _delay_ranks(delays: DataFrame) -> DataFrame:
-    """Distinct delays with their count ``c``, the rows up to each delay and all rows ``n``."""
+def _delay_ranks(delays: DataFrame, times: Column | None = None) -> DataFrame:
+    """Distinct delays with their count ``c``, the rows up to each delay and all rows ``n``. A row counts once or, with
+    ``times``, so many times."""
     bucket = F.floor(F.col("delay_seconds") / DELAY_BUCKET).cast("bigint")
-    counted = delays.groupBy(bucket.alias("bucket"), "delay_seconds").agg(_count().alias("c"))
+    counted = delays.groupBy(bucket.alias("bucket"), "delay_seconds").agg((_count() if times is None else F.sum(times)).alias("c"))
     buckets = counted.groupBy("bucket").agg(F.sum("c").alias("in_bucket"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     starts = buckets.select(
@@ -108,13 +112,16 @@ def latency_stats(positions: DataFrame, rng: TimeRange, target: str = "") -> Dat
     if target:
         rows = rows.where(F.col("target_name") == target)
     rows = rows.where("delay_seconds is not null")
-    ranks = _delay_ranks(rows.select("delay_seconds"))
+    current = rows.agg(F.max_by("delay_seconds", order_number()).alias("current")).scalar()
+    return _latency_figures(_delay_ranks(rows.select("delay_seconds")), current)
+
+
+def _latency_figures(ranks: DataFrame, current: Column) -> DataFrame:
     rank = {p: F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(p))) for p in (P95, P99)}
 
     def at(p: float) -> Column:
         return _long(F.min(F.when(F.col("upto") >= rank[p], F.col("delay_seconds"))))
 
-    current = rows.agg(F.max_by("delay_seconds", order_number()).alias("current")).scalar()
     figures = ranks.agg(
         F.coalesce(F.sum(F.col("c") * F.col("delay_seconds")) / F.sum("c"), F.lit(0.0)).alias("avg_delay"),
         _long(F.max("delay_seconds")).alias("max_delay"),
@@ -125,6 +132,54 @@ def latency_stats(positions: DataFrame, rng: TimeRange, target: str = "") -> Dat
     return figures.withColumn("current_delay", _long(current))
 
 
+DELAY_HISTOGRAM_KEYS = ("hour", "target_name", "delay_seconds")
+
+
+def delay_histogram(positions: DataFrame) -> DataFrame:
+    """Exact delay histogram of each hour and target: how often a delay occurs (``n``) and the last place where it does.
+
+    Unlike percentiles, histograms can be added up, so those of hours give the percentiles of any range of hours.
+    """
+    hour = F.date_trunc("hour", "timestamp").alias("hour")
+    rows = positions.where("delay_seconds is not null")
+    return rows.groupBy(hour, *DELAY_HISTOGRAM_KEYS[1:]).agg(_count().alias("n"), F.max(order_number()).alias("last_place"))
+
+
+def merge_delay_histogram(partial: DataFrame) -> DataFrame:
+    """Histogram of partial histograms."""
+    return partial.groupBy(*DELAY_HISTOGRAM_KEYS).agg(F.sum("n").alias("n"), F.max("last_place").alias("last_place"))
+
+
+def whole_hours(rng: TimeRange) -> tuple[TimeRange | None, list[TimeRange]]:
+    """The whole hours of a range, and what is left of it at its ends. Times are whole seconds; both ends belong to a range."""
+    cut = lambda t: t.replace(minute=0, second=0, microsecond=0)
+    first, stop = rng.start, rng.end
+    if first is not None and first != cut(first):
+        first = cut(first) + timedelta(hours=1)
+    if stop is not None:
+        stop = cut(stop)
+    if first is not None and stop is not None and first >= stop:
+        return None, [rng]
+    second = timedelta(seconds=1)
+    ends = [] if first == rng.start else [TimeRange(rng.start, first - second)]
+    ends += [] if stop is None else [TimeRange(stop, rng.end)]
+    return TimeRange(first, None if stop is None else stop - second), ends
+
+
+def latency_from_histogram(histogram: DataFrame, positions: DataFrame, rng: TimeRange, target: str = "") -> DataFrame:
+    """Same row as ``latency_stats``: whole hours come from their histograms, only the hours that the range cuts from
+    ``positions``."""
+    hours, ends = whole_hours(rng)
+    parts = [delay_histogram(end.apply(positions)) for end in ends]
+    if hours is not None:
+        parts.append(hours.apply(histogram, "hour").select(*parts[0].columns) if parts else hours.apply(histogram, "hour"))
+    rows = reduce(DataFrame.unionByName, parts)
+    if target:
+        rows = rows.where(F.col("target_name") == target)
+    current = rows.agg(F.max_by("delay_seconds", "last_place").alias("current")).scalar()
+    return _latency_figures(_delay_ranks(rows.select("delay_seconds", "n"), F.col("n")), current)
+
+
 def _errors_by_place(errors: DataFrame, rng: TimeRange) -> DataFrame:
     return rng.apply(errors).groupBy("level", "target_name", "table_name").agg(_count().alias("n"))
 
@@ -165,16 +220,21 @@ def alias_pairs(names: DataFrame) -> DataFrame:
     return names.select("name", F.explode(target_aliases("name")).alias("alias"))
 
 
-def target_stats(events: DataFrame, errors: DataFrame, names: DataFrame, rng: TimeRange) -> DataFrame:
+def target_stats(
+    events: DataFrame, errors: DataFrame, names: DataFrame, rng: TimeRange, newest: DataFrame | None = None
+) -> DataFrame:
     """Events and errors in the range and the time of the last event ever, per target ``name``
     (one row each in ``names``).
 
-    Events and errors are counted per recorded name first; only those few rows meet the aliases.
+    Events and errors are counted per recorded name first; only those few rows meet the aliases. With ``newest``, a summary
+    of all events (``target_name``, ``timestamp``), only the range is read.
     """
-    in_range = rng.contains("timestamp")
-    seen = events.groupBy(F.col("target_name").alias("alias")).agg(
-        F.count_if(in_range).alias("events"), F.max("timestamp").alias("last")
-    )
+    alias = F.col("target_name").alias("alias")
+    if newest is None:
+        seen = events.groupBy(alias).agg(F.count_if(rng.contains("timestamp")).alias("events"), F.max("timestamp").alias("last"))
+    else:
+        counted = rng.apply(events).groupBy(alias).agg(_count().alias("events"))
+        seen = newest.groupBy(alias).agg(F.max("timestamp").alias("last")).join(counted, "alias", "left")
     failed = rng.apply(errors).groupBy(F.col("target_name").alias("alias")).agg(_count().alias("errors"))
     return (
         alias_pairs(names)
@@ -189,11 +249,13 @@ def target_stats(events: DataFrame, errors: DataFrame, names: DataFrame, rng: Ti
     )
 
 
-def newest_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def newest_rows(df: DataFrame, keys: list[str], columns: list[str], times: Column | None = None) -> DataFrame:
     """The newest row of each of few ``keys``: their places by a hash aggregate over all rows, then only the rows that stand
-    there. Of rows that share a place the one with the greatest ``columns`` counts."""
+    there. Of rows that share a place the one with the greatest ``columns`` counts. ``n_rows`` counts each row once or, with
+    ``times``, so many times."""
     placed = df.withColumn("_place", order_number())
-    last = placed.groupBy(*keys).agg(F.max("_place").alias("_last"), _count().alias("_n"))
+    n = _count() if times is None else F.sum(times)
+    last = placed.groupBy(*keys).agg(F.max("_place").alias("_last"), n.alias("_n"))
     same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
     found = placed.join(last.withColumnsRenamed({k: f"_{k}" for k in keys}), [*same, F.col("_place") == F.col("_last")])
     best = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in columns])
@@ -202,7 +264,11 @@ def newest_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
 def target_error_totals(errors: DataFrame, registered: DataFrame) -> DataFrame:
     """Error count and last message of every registered target with errors."""
-    last = newest_rows(errors, ["target_name"], ["message"])
+    return error_totals_of_newest(newest_rows(errors, ["target_name"], ["message"]), registered)
+
+
+def error_totals_of_newest(last: DataFrame, registered: DataFrame) -> DataFrame:
+    """The same from the newest error of each target (``target_name``, ``message``, ``n_rows``)."""
     return registered.join(last, F.col("name") == F.col("target_name")).select(
         "name", F.col("n_rows").alias("total_errors"), F.col("message").alias("last_error")
     )

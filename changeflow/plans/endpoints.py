@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from changeflow.functions.ranges import LAST_7_DAYS, LAST_HOUR, Moment, TimeRange
 from changeflow.operators import filters, listing, stats
 from changeflow.plans import status
+from changeflow.plans.summaries import MonitorSummaries
 from changeflow.schemas import POSITION_TARGET
 from changeflow.sources.monitor_tables import read_monitor
 from changeflow.targets import TargetConfig, registered_targets
@@ -28,10 +29,13 @@ class MonitorEndpoints:
         switches: DataFrame | None = None,
         service: str = status.RUNNING,
         rates: DataFrame | None = None,
+        summaries: MonitorSummaries | None = None,
     ):
         """``root`` holds the monitoring tables, ``started`` is the start of the service,
         ``switches`` the status changes made by hand, ``service`` the state of the service, ``rates`` the events of each
-        second (``second``, ``qps``, ``tps``) as a stream keeps them."""
+        second (``second``, ``qps``, ``tps``) as a stream keeps them; with ``summaries``, no answer about the newest rows reads
+        history that they cover."""
+        self.summaries = summaries
         self.spark, self.root, self.configs = spark, root, targets
         self.started, self.switches, self.service, self.rates = started, switches, service, rates
 
@@ -50,12 +54,16 @@ class MonitorEndpoints:
     def _positions(self) -> DataFrame:
         return self._table("sync_positions")
 
+    def _newest(self, table: str) -> DataFrame:
+        """The newest rows of a table, or all of it."""
+        return self._table(table) if self.summaries is None else self.summaries.newest(table)
+
     def _live(self, as_of: Moment) -> DataFrame:
-        live = status.live_status(self._positions, self.started, as_of, self.service)
+        live = status.live_status(self._newest("sync_positions"), self.started, as_of, self.service)
         return live if self.rates is None else status.with_live_rates(live, self.rates, as_of)
 
     def _target_status(self) -> DataFrame:
-        changes = status.status_changes(self._events, self.switches)
+        changes = status.status_changes(self._newest("sync_events"), self.switches)
         return status.target_status(registered_targets(self.spark, self.configs), changes)
 
     def status(self, as_of: Moment) -> DataFrame:
@@ -111,7 +119,7 @@ class MonitorEndpoints:
         return stats.error_stats(self._errors, rng), stats.error_totals(self._errors, rng)
 
     def position(self, target: str | None = POSITION_TARGET) -> DataFrame:
-        return stats.current_position(self._positions, target)
+        return stats.current_position(self._newest("sync_positions"), target)
 
     def position_history(
         self, as_of: Moment, target: str = POSITION_TARGET, start: Moment = None, end: Moment = None
@@ -119,13 +127,17 @@ class MonitorEndpoints:
         return listing.position_history(self._positions, target, TimeRange.resolve(as_of, LAST_HOUR, start, end))
 
     def latency(self, as_of: Moment, target: str = "", start: Moment = None, end: Moment = None) -> DataFrame:
-        return stats.latency_stats(self._positions, TimeRange.resolve(as_of, LAST_HOUR, start, end), target)
+        rng = TimeRange.resolve(as_of, LAST_HOUR, start, end)
+        if self.summaries is None:
+            return stats.latency_stats(self._positions, rng, target)
+        return stats.latency_from_histogram(self.summaries.delays(rng), self._positions, rng, target)
 
     def latency_history(self, as_of: Moment, target: str = "", start: Moment = None, end: Moment = None) -> DataFrame:
         return listing.latency_history(self._positions, TimeRange.resolve(as_of, LAST_HOUR, start, end), target)
 
     def targets(self, as_of: Moment) -> DataFrame:
         """Registered targets with the figures of 7 days; without any, the names found in events."""
+        newest = None if self.summaries is None else self._newest("sync_events")
         if self.configs:
-            return status.target_listing(self._target_status(), self._events, self._errors, as_of)
-        return status.target_listing_from_events(self._events, self._errors, as_of)
+            return status.target_listing(self._target_status(), self._events, self._errors, as_of, newest)
+        return status.target_listing_from_events(self._events, self._errors, as_of, newest)

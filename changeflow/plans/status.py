@@ -130,21 +130,26 @@ def metrics_24h(live: DataFrame, events: DataFrame, errors: DataFrame, targets:
     return with_one_row(service_status(live, events, targets, as_of), stats)
 
 
-def target_listing(registered: DataFrame, events: DataFrame, errors: DataFrame, as_of: Moment) -> DataFrame:
-    """Registered targets with the figures of the last 7 days."""
+def target_listing(
+    registered: DataFrame, events: DataFrame, errors: DataFrame, as_of: Moment, newest: DataFrame | None = None
+) -> DataFrame:
+    """Registered targets with the figures of the last 7 days. ``newest`` is a summary of all events."""
     rng = TimeRange.resolve(as_of, LAST_7_DAYS)
     status = [] if "status" not in registered.columns else ["status"]
     base = registered.select("name", "type", *status, "is_enabled")
-    listing = base.join(target_stats(events, errors, base, rng), "name", "left")
+    listing = base.join(target_stats(events, errors, base, rng, newest), "name", "left")
     if not status:
         listing = listing.withColumn("status", F.lit(CONNECTED))
     return listing.select("name", "type", "status", "is_enabled", "total_events", "total_errors", "last_sync_time")
 
 
-def target_listing_from_events(events: DataFrame, errors: DataFrame, as_of: Moment) -> DataFrame:
+def target_listing_from_events(
+    events: DataFrame, errors: DataFrame, as_of: Moment, newest: DataFrame | None = None
+) -> DataFrame:
     """The same list for names found in events, when no target is registered."""
-    names = events.where("target_name != ''").select(F.col("target_name").alias("name")).distinct()
-    figures = target_stats(events, errors, names, TimeRange.resolve(as_of, LAST_7_DAYS))
+    named = events if newest is None else newest
+    names = named.where("target_name != ''").select(F.col("target_name").alias("name")).distinct()
+    figures = target_stats(events, errors, names, TimeRange.resolve(as_of, LAST_7_DAYS), newest)
     return figures.select(
         "name",
         F.lit(DEFAULT_KIND).alias("type"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +90,27 @@ class RewritableTable:
         paths += [f"{self.path}/{self.column}={v}/{f}" for v, e in entries.items() for f in self._appended(v, e)]
         return self._read(paths, [self._folder(v, e.generation) for v, e in entries.items() if e.generation])
 
+    def live_files(self) -> dict[str, list[str]]:
+        """Files that make up each partition now, by their names below the table."""
+        _, entries = self.pointer()
+        found = {}
+        for value in self.values():
+            entry, folder = entries.get(value), f"{self.column}={value}"
+            names = [f"{folder}/{f}" for f in self._appended(value, entry)]
+            if entry and entry.generation:
+                kept = self._folder(value, entry.generation)
+                names += [f"{kept.removeprefix(f'{self.path}/')}/{f}" for f in storage.files(self.spark, kept)]
+            if names:
+                found[value] = names
+        return found
+
+    def read_files(self, names: Iterable[str]) -> DataFrame:
+        """Rows of some of the files that ``live_files`` names."""
+        appended, rewritten = [], []
+        for name in names:
+            (rewritten if name.startswith(f"{REWRITTEN}/") else appended).append(f"{self.path}/{name}")
+        return self._read(appended, rewritten)
+
     def rewrite(self, changes: Mapping[str, Change | None], **options: str) -> None:
         """Exchange partitions for what their changes make of them, all at once; ``None`` leaves nothing of a partition."""
         number, entries = self.pointer()

@@ -128,6 +128,22 @@ def _sql(*names: str, body: str) -> str:
     return f"{with_views(*names)}{'' if body.startswith(',') else ' '}{body}"
 
 
+def _latency_stats(where: str) -> str:
+    return _sql(
+        "sync_positions",
+        body=f""",
+            p AS (SELECT * FROM sync_positions WHERE {where}),
+            sorted AS (SELECT delay_seconds, row_number() OVER (ORDER BY delay_seconds) AS r FROM p),
+            ranks AS (SELECT {_latency('0.95')} AS r95, {_latency('0.99')} AS r99 FROM p)
+            SELECT coalesce(avg(delay_seconds), 0) AS avg_delay, coalesce(max(delay_seconds), 0) AS max_delay,
+                   coalesce(min(delay_seconds), 0) AS min_delay,
+                   coalesce((SELECT delay_seconds FROM p ORDER BY timestamp DESC, seq DESC LIMIT 1), 0) AS current_delay,
+                   coalesce((SELECT delay_seconds FROM sorted, ranks WHERE r = r95), 0) AS p95_delay,
+                   coalesce((SELECT delay_seconds FROM sorted, ranks WHERE r = r99), 0) AS p99_delay
+            FROM p""",
+    )
+
+
 _STATE_PER_TARGET = """
     SELECT target_name, table_name, id, payload, k, seq AS _version FROM (
         SELECT t.target_name, o.*, row_number() OVER (PARTITION BY t.target_name, o.table_name, id ORDER BY seq DESC) AS r
@@ -344,19 +360,8 @@ ORACLES: dict[str, str] = {
             count(*) / cast((SELECT count(*) FROM sync_events WHERE {_RANGE}) AS double) AS share
             FROM sync_events WHERE {_RANGE} GROUP BY 1""",
     ),
-    "latency_stats": _sql(
-        "sync_positions",
-        body=f""",
-            p AS (SELECT * FROM sync_positions WHERE {_RANGE}),
-            sorted AS (SELECT delay_seconds, row_number() OVER (ORDER BY delay_seconds) AS r FROM p),
-            ranks AS (SELECT {_latency('0.95')} AS r95, {_latency('0.99')} AS r99 FROM p)
-            SELECT coalesce(avg(delay_seconds), 0) AS avg_delay, coalesce(max(delay_seconds), 0) AS max_delay,
-                   coalesce(min(delay_seconds), 0) AS min_delay,
-                   coalesce((SELECT delay_seconds FROM p ORDER BY timestamp DESC, seq DESC LIMIT 1), 0) AS current_delay,
-                   coalesce((SELECT delay_seconds FROM sorted, ranks WHERE r = r95), 0) AS p95_delay,
-                   coalesce((SELECT delay_seconds FROM sorted, ranks WHERE r = r99), 0) AS p99_delay
-            FROM p""",
-    ),
+    "latency_stats": _latency_stats(_RANGE),
+    "summarised_latency": _latency_stats(f"timestamp >= timestamp '{views.CUT_START}' AND timestamp <= timestamp '{views.CUT_END}'"),
     "error_stats": _sql(
         "sync_errors",
         body=" UNION ALL ".join(
@@ -389,6 +394,11 @@ ORACLES: dict[str, str] = {
         body="""SELECT target_name AS name, count(*) AS total_errors, arg_max(message, seq) AS last_error
             FROM sync_errors WHERE target_name IN (SELECT target_name FROM targets) GROUP BY 1""",
     ),
+    "summarised_positions": _sql(
+        "sync_positions",
+        body="""SELECT concat('main-', seq % 12) AS target_name, timestamp, binlog_file, binlog_pos, gtid, delay_seconds
+            FROM sync_positions QUALIFY row_number() OVER (PARTITION BY seq % 12 ORDER BY timestamp DESC, seq DESC) = 1""",
+    ),
     "recent_throughput": _sql("sync_events", body=f"SELECT qps, qps AS tps FROM ({_RECENT})"),
     "current_position": _sql(
         "sync_positions",
@@ -559,3 +569,9 @@ ORACLES: dict[str, str] = {
             FROM ({_REGISTERED}) CROSS JOIN newest CROSS JOIN (SELECT * FROM sync_positions ORDER BY seq DESC LIMIT 1) p""".replace(" AS at ", " AS newest_at ").replace("newest.at", "newest_at"),
     ),
 }
+
+ORACLES |= {
+    "summarised_target_stats": ORACLES["target_stats"],
+    "summarised_target_status": ORACLES["target_status_from_events"],
+    "summarised_error_totals": ORACLES["target_error_totals"],
+}

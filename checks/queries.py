@@ -18,6 +18,7 @@ from changeflow.functions.ranges import TimeRange, moment, timestamp
 from changeflow.operators import decode, filters, listing, records, route, series, state, stats
 from changeflow.plans import status
 from changeflow.plans.endpoints import MonitorEndpoints
+from changeflow.plans.summaries import MonitorSummaries
 from changeflow.sinks.current_table import CurrentTable
 from changeflow.sinks.monitor_tables import append_monitor, cleanup, merge_month, within_ttl
 from changeflow.sinks.registry import current_tables, table_sink
@@ -46,6 +47,7 @@ from checks.views import AS_OF, LIVE_AS_OF, STARTED, TARGETS
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANGE = TimeRange.of(views.RANGE_START, views.RANGE_END)
+CUT_RANGE = TimeRange.of(views.CUT_START, views.CUT_END)
 DAY = TimeRange.of(views.DAY_START, views.DAY_END)
 LOG_COLUMNS = ("seq", "binlog_file", "binlog_pos", "header_ts", "schema_name", "table_name", "action", "id", "payload", "k")
 IMAGE = T.StructType(
@@ -667,6 +669,58 @@ def target_status_from_events(spark, sf_dir):
     return status.target_status(v.registered, status.status_changes(v.events))
 
 
+def _summarised(spark: SparkSession, sf_dir: str, **tables: DataFrame) -> tuple[str, MonitorSummaries]:
+    """Saved tables whose first two thirds are covered by summaries; the rest came later, and so did an early record."""
+    root = scratch_dir(spark, "summarised")
+    summaries = MonitorSummaries(spark, root, scratch_dir(spark, "summaries"))
+    parts = {table: slices(rows, 3) for table, rows in tables.items()}
+    for k in (1, 0, 2):
+        for table, rows in parts.items():
+            append_monitor(rows[k], root, table)
+        if k != 2:
+            for table in tables:
+                summaries.refresh_table(table)
+    return root, summaries
+
+
+@query
+def summarised_positions(spark, sf_dir):
+    """Newest positions of several targets from summaries and what they don't cover."""
+    name = F.concat(F.lit("main-"), (F.col("seq") % 12).cast("string"))
+    _, summaries = _summarised(spark, sf_dir, sync_positions=Views(spark, sf_dir).positions.withColumn("target_name", name))
+    return stats.current_position(summaries.newest("sync_positions"))
+
+
+@query
+def summarised_target_stats(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    root, summaries = _summarised(spark, sf_dir, sync_events=v.events)
+    events = read_monitor(spark, root, "sync_events")
+    return stats.target_stats(events, v.errors, v.registered, RANGE, summaries.newest("sync_events"))
+
+
+@query
+def summarised_target_status(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    _, summaries = _summarised(spark, sf_dir, sync_events=v.events)
+    return status.target_status(v.registered, status.status_changes(summaries.newest("sync_events")))
+
+
+@query
+def summarised_error_totals(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    _, summaries = _summarised(spark, sf_dir, sync_errors=v.errors)
+    return stats.error_totals_of_newest(summaries.newest("sync_errors"), v.registered)
+
+
+@query
+def summarised_latency(spark, sf_dir):
+    """Percentiles of a range that cuts hours at both ends, from hourly histograms."""
+    root, summaries = _summarised(spark, sf_dir, sync_positions=Views(spark, sf_dir).positions)
+    positions = read_monitor(spark, root, "sync_positions")
+    return stats.latency_from_histogram(summaries.delays(CUT_RANGE), positions, CUT_RANGE)
+
+
 @query
 def service_status(spark, sf_dir):
     v = Views(spark, sf_dir)

@@ -15,6 +15,8 @@ LIVE_AS_OF = "2024-01-20 00:00:00"
 STARTED = "2024-01-01 00:00:00"
 RANGE_START = "2024-01-10 00:00:00"
 RANGE_END = "2024-01-20 00:00:00"
+CUT_START = "2024-01-03 04:25:17"
+CUT_END = "2024-01-27 21:40:09"
 CLEAN_BEFORE = "2023-11-20 12:00:00"
 DAY_START = "2024-01-15 00:00:00"
 DAY_END = "2024-01-15 12:00:00"
