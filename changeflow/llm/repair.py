@@ -21,12 +21,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +39,33 @@ FIRST_RULE = 1 << 16
 SHARD_IDS = 1 << 20
 PART_BYTES = 64 << 20
 FALLS = (32, 2)
-KEPT = 400_000
-BUCKETS_LOG = 20
-# texts in which a space doesn't always begin a piece of its own with what follows, or that may hold a special token
-_odd = re.compile(r"^ | (?:\s|$)|<\|")
+KEPT = 1_000_000
+# longer pieces of texts aren't kept
+LONGEST_KEPT = 64
+# where every rule of the byte-level split ends a piece: between letters or digits and ASCII signs (an apostrophe may begin a
+# piece of its own with what follows), and around a line's end between visible characters
+_letter, _sign = "0-9A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_seen = f"{_letter}{_sign}'"
+_cut = re.compile(f"(?<=[{_letter}])(?=[{_sign}])|(?<=[{_sign}])(?=[{_letter}])|(?<=[{_seen}])(?=\n[{_seen}])|(?<=[{_seen}]\n)(?=[{_seen}])").split
+# the pieces of most words, found faster
+_usual = re.compile(f"( ?[{_letter}]+)([{_sign}]*)(?:(\\n)([{_letter}]+)([{_sign}]*))?").fullmatch
 
 FILE = "part int, shard int, doc_ids array<bigint>, sizes array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Those of ranges, one range after the other."""
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    return at
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each word it hasn't seen.
+    """Ids of texts by the tokenizers library, which is asked once for each piece of a word it hasn't seen.
 
-    Byte-level BPE splits a text before every single space that a visible character follows, so the ids of a text are those
-    of its parts between such spaces. Other texts are encoded whole. A bounded number of parts is kept.
+    Byte-level BPE splits a text before every single space that a visible character follows, and such a part further at the
+    places of ``_cut``, so the ids of a text are those of its pieces. Other texts are encoded whole. A bounded number of pieces
+    is kept; one that follows a space begins with it.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,38 +78,96 @@ class Encoder:
         self.spaced = np.zeros(FIRST_RULE, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token[:1] == "Ġ"  # how the vocabulary writes a space
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, int] = {}  # places in starts and sizes, which tell those in pool
+        self.pool, self.starts, self.sizes = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            groups = [some[k : k + 64] for k in range(0, len(some), 64)]
-            ids = np.concatenate(self._ids([" " + " ".join(g) for g in groups]))
+    def _asked(self, after_space: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each has) of new pieces."""
+        made, sizes = [self.pool[:0]], [self.sizes[:0]]
+        for at in range(0, len(after_space), 20_000):
+            some = after_space[at : at + 20_000]
+            ids = np.concatenate(self._ids(["".join(some[k : k + 64]) for k in range(0, len(some), 64)]))
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) != len(some):
-                raise ValueError("a part holds a space")
-            bounds = np.r_[starts, len(ids)].tolist()
-            data = ids.tobytes()
-            self.known.update(zip(some, (data[2 * a : 2 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)), strict=True))
+                raise ValueError("a piece holds a space")
+            made.append(ids)
+            sizes.append(np.diff(starts, append=len(ids)))
+        for at in range(0, len(other), 20_000):
+            found = self._ids(other[at : at + 20_000])
+            made += found
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(made), np.concatenate(sizes)
+
+    def _words(self, letters: list[str], others: list[str], first: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each has) of words that follow a space, of letters alone and others, and of those that are the
+        ``first`` of a text."""
+        pieces = list(map(" ".__add__, letters))
+        n_pieces = [1] * len(pieces)
+        for word in chain(map(" ".__add__, others), first):
+            usual = _usual(word)
+            some = list(filter(None, usual.groups())) if usual else _cut(word)
+            pieces += some
+            n_pieces.append(len(some))
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        names = [pieces[k] for k in missing.tolist()]
+        fresh = sorted(set(names), key=len)
+        short = bisect_right(fresh, LONGEST_KEPT, key=len)
+        ids, sizes, starts, n = self.pool, self.sizes, self.starts, len(self.sizes)
+        place: dict[str, int] = {}
+        for some, keep in ((fresh[:short], n + short <= KEPT), (fresh[short:], False)):
+            after_space, other = [p for p in some if p[:1] == " "], [p for p in some if p[:1] != " "]
+            more, own = self._asked(after_space, other)
+            starts = np.r_[starts, np.cumsum(own) - own + len(ids)]
+            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, own])
+            place.update(zip(chain(after_space, other), range(n + len(place), len(sizes)), strict=True))
+            if keep:
+                self.known.update(place)
+                self.pool, self.sizes, self.starts = ids, sizes, starts
+        at[missing] = np.fromiter(map(place.__getitem__, names), np.int64, len(names))
+        own = sizes[at]
+        counts = np.array(n_pieces, np.int64)
+        return ids[_places(starts[at], own)], np.add.reduceat(own, np.cumsum(counts) - counts) if len(at) else own
+
+    def encode_all(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each text has), 16 bits an id."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        if not len(texts):
+            return self.pool[:0], self.sizes[:0]
+        parts = pc.split_pattern(texts, " ")
+        begin = parts.offsets.to_numpy()[:-1]
+        found = parts.values.dictionary_encode()
+        names = found.dictionary.to_numpy(zero_copy_only=False)
+        letters = pc.utf8_is_alpha(found.dictionary).to_numpy(zero_copy_only=False)
+        others = names[~letters].tolist()
+        place = np.empty(len(names), np.int64)
+        place[letters], place[~letters] = np.arange(len(names) - len(others)), np.arange(len(names) - len(others), len(names))
+        item = place[found.indices.to_numpy()]
+        # a space that doesn't begin a piece with what follows, or perhaps a special token
+        unclear = np.array([not w or w[0].isspace() or "<|" in w for w in others], bool)
+        odd = np.logical_or.reduceat(np.r_[np.zeros(len(names) - len(others), bool), unclear][item], begin)
+        at_first, first = np.unique(item[begin[~odd]], return_inverse=True)
+        item[begin[~odd]] = len(names) + first
+        names = names[letters].tolist()
+        first = [names[k] if k < len(names) else others[k - len(names)] for k in at_first]
+        ids, sizes = self._words(names, ["a" if u else w for w, u in zip(others, unclear, strict=True)], first)
+        whole = self._ids(texts.filter(pa.array(odd)).to_pylist())
+        item[begin[odd]] = len(place) + len(first) + np.arange(len(whole))
+        ids, sizes = np.concatenate([ids, *whole]), np.r_[sizes, np.fromiter(map(len, whole), np.int64, len(whole))]
+        each = sizes[item]
+        if odd.any():
+            follows = np.repeat(odd, np.diff(begin, append=len(item)))
+            follows[begin] = False
+            each[follows] = 0
+        return ids[_places((np.cumsum(sizes) - sizes)[item], each)], np.add.reduceat(each, begin)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """16-bit ids of each text."""
-        plain = [bool(t) and not _odd.search(t) for t in texts]
-        parts = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        heads = self._ids([p[0] if p else t for p, t in zip(parts, texts, strict=True)])
-        fresh = list(set(chain.from_iterable(p[1:] for p in parts)).difference(self.known))
-        self._learn(fresh)
-        look = self.known.__getitem__
-        made = []
-        for head, p in zip(heads, parts, strict=True):
-            made.append(np.frombuffer(head.tobytes() + b"".join(map(look, p[1:])), np.uint16) if len(p) > 1 else head)
-        if len(self.known) > KEPT:
-            for part in fresh:
-                del self.known[part]
-        return made
+        ids, sizes = self.encode_all(texts)
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 @lru_cache(maxsize=2)
@@ -101,14 +175,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key, the place among the distinct ones; and how often each of these occurs."""
-    order = np.argsort(key)
-    run = key[order]
-    group = np.cumsum(np.r_[np.zeros(min(1, len(run)), np.int64), run[1:] != run[:-1]])
-    which = np.empty(len(key), np.int64)
-    which[order] = group
-    return which, np.bincount(group)
+def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys, which have so many bits, by falling together of equal ones: (places, where each group begins)."""
+    below = len(key).bit_length()
+    if bits + below <= 64:  # sorting numbers is several times faster than sorting their places
+        run = key << np.uint64(below)
+        run |= np.arange(len(key), dtype=np.uint64)
+        run.sort()
+        order = (run & np.uint64((1 << below) - 1)).astype(np.int64)
+        run >>= np.uint64(below)
+    else:
+        order = np.argsort(key, kind="stable")
+        run = key[order]
+    return order, np.flatnonzero(np.r_[np.ones(min(1, len(run)), bool), run[1:] != run[:-1]])
 
 
 class _Sequence:
@@ -116,47 +195,61 @@ class _Sequence:
 
     def __init__(self, ids: np.ndarray) -> None:
         n = len(ids)
-        self.n, self.symbols, self.n_symbols = n, np.r_[ids.astype(np.int64), 0], FIRST_RULE
+        self.n, self.symbols, self.n_symbols = n, np.r_[ids.astype(np.uint32), np.uint32(0)], FIRST_RULE
         self.after, self.before = np.arange(1, n + 2), np.r_[n, np.arange(n)]
         self.stays, self.mark, self.busy = np.ones(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-        self.closed = self.symbols == END  # ends a document
-        self.closed[max(n - 1, 0) :] = True
-        self.free = n + 1
-        self.priority = np.full(n + 1, self.free, np.int64)
+        self.begins = self.symbols != END  # a pair does: neither ends a document nor is gone
+        self.begins[max(n - 1, 0) :] = False
 
     def sorted_places(self, *places: np.ndarray) -> np.ndarray:
         """Those of ``places`` at which a pair begins, ascending."""
+        if sum(map(len, places)) < self.n >> 6:
+            found = np.sort(np.concatenate(places))
+            return found[self.begins[found] & (np.diff(found, prepend=-1) > 0)]
         for some in places:
             self.mark[some] = True
+        self.mark &= self.begins
         found = np.flatnonzero(self.mark)
-        self.mark[found] = False
-        return found[self.stays[found] & ~self.closed[found]]
+        self.mark[:] = False
+        return found
 
     def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(places, odd, which, times): those of ``at`` whose pair may occur twice, whether an equal pair that counts overlaps the
-        place, which pair it is, and how often each pair occurs without overlap."""
-        key = (self.symbols[at].astype(np.uint64) << np.uint64(32) | self.symbols[self.after[at]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        place = np.arange(len(at))
-        same = np.zeros(len(at), bool)
-        same[1:] = (key[1:] == key[:-1]) & (self.after[at[:-1]] == at[1:])
-        odd = (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 1
-        if len(at) > 1 << BUCKETS_LOG >> 2:
-            bucket = (key >> np.uint64(64 - BUCKETS_LOG)).astype(np.int64)
-            often = np.bincount(bucket, minlength=1 << BUCKETS_LOG)[bucket] > 1
-            at, odd, key = at[often], odd[often], key[often]
-        which, times = _counted(key)
-        return at, odd, which, times - np.bincount(which[odd], minlength=len(times))
-
-    def _undisputed(self, live: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places, and ranks of their pairs: those that neither neighbour outranks; then those that this leaves free."""
+        """(order, sizes, times, odd): indexes of the places ``at`` by their pair, how many each pair has, how often each pair
+        occurs without overlap, and whether an equal pair that counts overlaps the place."""
+        first, second = self.symbols[at], self.symbols[self.after[at]]
+        bits = self.n_symbols.bit_length()
+        key = first.astype(np.uint64)
+        key <<= np.uint64(bits)
+        key |= second
+        order, begin = _grouped(key, 2 * bits)
+        sizes = np.diff(begin, append=len(at))
+        odd, times = np.zeros(len(at), bool), sizes
+        twins = np.flatnonzero(first == second)
+        if len(twins):  # only equal symbols make equal pairs that overlap
+            place = np.arange(len(twins))
+            same = np.zeros(len(twins), bool)
+            same[1:] = (first[twins[1:]] == first[twins[:-1]]) & (self.after[at[twins[:-1]]] == at[twins[1:]])
+            odd[twins] = (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 1
+            if odd.any():
+                times = sizes - np.bincount(np.searchsorted(begin, np.flatnonzero(odd[order]), side="right") - 1, minlength=len(sizes))
+        return order, sizes, times, odd
+
+    def _undisputed(self, live: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ascending places and the ranks of their pairs: those that neither neighbour outranks; then those that this leaves
+        free."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        self.priority[live] = ranks
+        near = self.after[live[:-1]] == live[1:]  # overlaps the next one
         while len(live):
-            mine, left, right = self.priority[live], self.before[live], self.after[live]
-            first = (mine < self.priority[left]) & (mine <= self.priority[right])
+            ahead = mine[:-1] <= mine[1:]
+            first = np.ones(len(live), bool)
+            first[:-1] = ahead | ~near
+            first[1:] &= ~(ahead & near)
             found.append((live[first], mine[first]))
-            self.priority[live[first]] = self.priority[left[first]] = self.priority[right[first]] = self.free
-            live = live[self.priority[live] < self.free]
+            rest = ~first
+            rest[:-1] &= ~(first[1:] & near)
+            rest[1:] &= ~(first[:-1] & near)
+            live, mine, near = live[rest], mine[rest], (near & rest[1:])[rest[:-1]]
+            near = near[: max(len(live) - 1, 0)]
         return tuple(np.concatenate([f[k] for f in found]) for k in range(2))
 
     def replace(self, live: np.ndarray, odd: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,45 +262,56 @@ class _Sequence:
         while now.any():
             places, own = self._undisputed(open_[now], open_ranks[now])
             tally += np.bincount(own, minlength=len(tally))
-            lone |= tally == 1
-            tally[lone] = 0
-            places, own = places[~lone[own]], own[~lone[own]]
+            if (tally == 1).any():
+                lone |= tally == 1
+                tally[lone] = 0
+                kept = ~lone[own]
+                places, own = places[kept], own[kept]
             taken.append((places, own))
             self.busy[places] = self.busy[self.before[places]] = self.busy[self.after[places]] = True
-            rest = ~self.busy[open_] & ~lone[open_ranks]
+            rest = ~self.busy[open_]
+            open_, open_ranks = open_[rest], open_ranks[rest]
+            rest = ~lone[open_ranks]
             open_, open_ranks = open_[rest], open_ranks[rest]
             now = np.ones(len(open_), bool)
         places, own = (np.concatenate([t[k] for t in taken]) for k in range(2))
         second, left = self.after[places], self.before[places]
         self.busy[places] = self.busy[left] = self.busy[second] = False
-        _, first, name = np.unique(own, return_index=True, return_inverse=True)
-        rules = np.stack([self.symbols[places[first]], self.symbols[second[first]]], axis=1)
-        self.symbols[places] = self.n_symbols + name
+        first = np.full(len(tally), -1)
+        first[own] = np.arange(len(own))
+        used = first >= 0
+        first, name = first[used], np.cumsum(used) - 1
+        rules = np.stack([self.symbols[places[first]], self.symbols[second[first]]], axis=1).astype(np.int64)
+        self.symbols[places] = self.n_symbols + name[own]
         self.n_symbols += len(first)
-        self.closed[places] = self.closed[second]
-        self.stays[second] = False
+        self.begins[places] = self.begins[second]
+        self.begins[second] = self.stays[second] = False
         behind = self.after[second]
         self.after[places] = behind
         self.before[behind] = places
-        return rules, self.sorted_places(live, places, self.before[places])
+        return rules, self.sorted_places(live, places, left)
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols) of ids below ``FIRST_RULE``."""
     text = _Sequence(ids)
     rules: list[np.ndarray] = [np.empty((0, 2), np.int64)]
-    at = text.sorted_places(np.arange(len(ids)))
+    at = np.flatnonzero(text.begins)
     for least in FALLS:
-        rare: list[np.ndarray] = []  # places of pairs for the next ones of FALLS
+        rare: list[np.ndarray] = [at[:0]]  # places of pairs for the next ones of FALLS
         while len(at):
-            at, odd, which, times = text.pairs(at)
-            rare.append(at[((times >= 2) & (times < least))[which]])
-            often = (times >= least)[which]
-            if not often.any():
+            order, sizes, times, odd = text.pairs(at)
+            often = np.flatnonzero(times >= least)
+            rank = np.full(len(times), -1, np.int32)  # of pairs that occur once
+            rank[times >= 2] = -2
+            rank[often[np.argsort(-times[often], kind="stable")]] = np.arange(len(often))
+            ranks = np.empty(len(at), np.int32)
+            ranks[order] = np.repeat(rank, sizes)
+            rare.append(at[ranks == -2])
+            if not len(often):
                 break
-            rank = np.empty(len(times), np.int64)
-            rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
-            made, at = text.replace(at[often], odd[often], rank[which[often]])
+            live = np.flatnonzero(ranks >= 0)
+            made, at = text.replace(at[live], odd[live], ranks[live])
             rules.append(made)
         at = text.sorted_places(*rare)
     found = np.concatenate(rules)
@@ -240,8 +344,20 @@ def _expanded(symbols: np.ndarray, at: np.ndarray, rules: np.ndarray, sizes: np.
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Ids of a sequence of symbols."""
+    """Ids of a sequence of symbols, from those of all rules if these aren't many more."""
     symbols, sizes = symbols.astype(np.int64), symbol_sizes(rules)
+    if sizes[FIRST_RULE:].sum() <= 4 * max(FIRST_RULE, sizes[symbols].sum()):
+        begin = np.cumsum(sizes) - sizes
+        pool = np.empty(int(sizes.sum()), np.uint32)
+        pool[:FIRST_RULE] = np.arange(FIRST_RULE)
+        todo, known = np.arange(len(rules)), np.arange(len(sizes)) < FIRST_RULE
+        while len(todo):
+            ready = known[rules[todo]].all(axis=1)
+            now, todo = todo[ready], todo[~ready]
+            parts = rules[now].ravel()
+            pool[_places(begin[FIRST_RULE + now], sizes[FIRST_RULE + now])] = pool[_places(begin[parts], sizes[parts])]
+            known[FIRST_RULE + now] = True
+        return pool[_places(begin[symbols], sizes[symbols])]
     ends = np.cumsum(sizes[symbols])
     return _expanded(symbols, ends - sizes[symbols], rules, sizes, 0, int(ends[-1]) if len(ends) else 0)
 
@@ -262,31 +378,37 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     from pyspark import TaskContext
 
     spark = docs.sparkSession
-    python_ready(spark, batch_bytes="4m")
+    python_ready(spark, rows=20_000, batch_bytes="8m")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids: list = []
+        doc_ids: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        end = np.array([END], np.uint16)
 
         def row() -> pa.RecordBatch:
             rules, lengths, symbols = compress(np.concatenate(ids))
-            sizes = [len(x) for x in ids]
-            arrays = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32()))]
-            arrays += [pa.array([sum(sizes)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (rules, lengths, symbols))]
+            own, counts = pa.concat_arrays(doc_ids), pa.array(np.concatenate(sizes), pa.int32())
+            arrays = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, counts))]
+            arrays += [pa.array([sum(map(len, ids))], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (rules, lengths, symbols))]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "shard", "doc_ids", "sizes", "n_ids", "rules", "lengths", "symbols"])
 
         waiting = 0
         for batch in batches:
-            found = work.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, x in zip(batch.column(0).to_pylist(), found, strict=True):
-                doc_ids.append(doc_id)
-                ids.append(np.r_[x, end])
-                waiting += len(x) + 1
+            own, found, counts = batch.column(0), *work.encode_all(batch.column(1))
+            found, counts = np.insert(found, np.cumsum(counts), END), counts + 1
+            while len(counts):
+                ends = np.cumsum(counts)
+                full = int(np.searchsorted(ends, SHARD_IDS - waiting)) + 1  # documents up to which a shard is full
+                n = int(ends[min(full, len(ends)) - 1])
+                doc_ids.append(own[:full])
+                sizes.append(counts[:full])
+                ids.append(found[:n])
+                waiting += n
+                own, counts, found = own[full:], counts[full:], found[n:]
                 if waiting >= SHARD_IDS:
                     yield row()
-                    doc_ids, ids, waiting, shard = [], [], 0, shard + 1
+                    doc_ids, sizes, ids, waiting, shard = [], [], [], 0, shard + 1
         if ids:
             yield row()
 

@@ -137,6 +137,38 @@ def test_parts_encode_like_whole_texts(monkeypatch):
     assert [x.tolist() for _ in range(2) for x in small.encode(texts)] == library_ids(texts) * 2
 
 
+def test_a_word_is_asked_for_once_whatever_signs_follow(monkeypatch):
+    work, asked = repair.Encoder(BYTES), []
+    ids = work._ids
+    monkeypatch.setattr(work, "_ids", lambda texts: asked.extend(texts) or ids(texts))
+    text = " ".join(["so", *(f"internationally{s}" for s in ("", ",", ".", ";", "!***", "?\nThen"))])
+    assert [x.tolist() for x in work.encode([text, text])] == library_ids([text, text])
+    assert "".join(asked).count("internationally") == 1
+
+
+def test_pieces_around_signs_and_line_ends_encode_like_whole_texts():
+    made = random.Random(7)
+    some = [*"aBéßĳ×÷'.,*-_`12²½ǅ日\t\x85\xa0\x1f\u2028", "'s", "'ll", "e\u0301", "\n", "\n\n", "\nThen", "<|", "<|endoftext|>", "word", *"      ", "  "]
+    texts = ["".join(made.choices(some, k=made.randint(0, 25))) for _ in range(4000)]
+    work = repair.Encoder(BYTES)
+    for at in range(0, len(texts), 1500):
+        assert [x.tolist() for x in work.encode(texts[at : at + 1500])] == library_ids(texts[at : at + 1500])
+    assert work.encode([]) == [] and [x.tolist() for x in work.encode([None, "", "x" * 99])] == library_ids([None, "", "x" * 99])
+
+
+def test_wide_keys_are_grouped_alike():
+    key = np.random.default_rng(8).integers(0, 50, 3000).astype(np.uint64)
+    for a, b in zip(repair._grouped(key, 6), repair._grouped(key, 64), strict=True):
+        assert (a == b).all()
+    assert [len(x) for x in repair._grouped(key[:0], 64)] == [0, 0]
+
+
+def test_long_rules_expand_one_at_a_time():
+    rules = np.array([(5, 6), *((repair.FIRST_RULE + k, 7) for k in range(999))])
+    assert repair.symbol_sizes(rules)[repair.FIRST_RULE :].sum() > 4 * repair.FIRST_RULE
+    assert repair.expand(np.array([3, repair.FIRST_RULE + 999]), rules).tolist() == [3, 5, 6] + [7] * 999
+
+
 def test_grammars_expand_to_the_ids():
     made = np.random.default_rng(4)
     for ids in (np.empty(0, int), np.array([5]), np.full(1000, 7), np.tile([3, 4, 5, 2], 400), made.integers(0, 12, 5000), made.zipf(1.5, 5000) % 50_000):
