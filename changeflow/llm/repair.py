@@ -42,13 +42,13 @@ FALLS = (32, 2)
 KEPT = 1_000_000
 # longer pieces of texts aren't kept
 LONGEST_KEPT = 64
-# where every rule of the byte-level split ends a piece: between letters or digits and ASCII signs (an apostrophe may begin a
-# piece of its own with what follows), and around a line's end between visible characters
+# where every rule of the byte-level split ends a piece: between letters or digits and ASCII signs; an apostrophe may begin a
+# piece of its own with what follows
 _letter, _sign = "0-9A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
-_seen = f"{_letter}{_sign}'"
-_cut = re.compile(f"(?<=[{_letter}])(?=[{_sign}])|(?<=[{_sign}])(?=[{_letter}])|(?<=[{_seen}])(?=\n[{_seen}])|(?<=[{_seen}]\n)(?=[{_seen}])").split
-# the pieces of most words, found faster
-_usual = re.compile(f"( ?[{_letter}]+)([{_sign}]*)(?:(\\n)([{_letter}]+)([{_sign}]*))?").fullmatch
+_cut = re.compile(f"(?<=[{_letter}])(?=[{_sign}])|(?<=[{_sign}])(?=[{_letter}])").split
+SIGNS = "".join(re.findall(f"[{_sign}]", "".join(map(chr, range(128)))))
+# most words: one piece, perhaps with signs behind it
+WORD = f"^\n?[{_letter}]+"
 
 FILE = "part int, shard int, doc_ids array<bigint>, sizes array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
 
@@ -63,9 +63,9 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each piece of a word it hasn't seen.
 
-    Byte-level BPE splits a text before every single space that a visible character follows, and such a part further at the
-    places of ``_cut``, so the ids of a text are those of its pieces. Other texts are encoded whole. A bounded number of pieces
-    is kept; one that follows a space begins with it.
+    Byte-level BPE splits a text before every single space or line's end that a visible character follows, and such a part
+    further at the places of ``_cut``, so the ids of a text are those of its pieces. Texts with other runs of blanks are encoded
+    whole. A bounded number of pieces is kept; one that follows a space or a line's end begins with it.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,22 +75,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > FIRST_RULE:
             raise ValueError("ids must be below 65536")
-        self.spaced = np.zeros(FIRST_RULE, bool)
+        self.begins = np.zeros(FIRST_RULE, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.spaced[i] = token[:1] == "Ġ"  # how the vocabulary writes a space
+            self.begins[i] = token[:1] in ("Ġ", "Ċ")  # how the vocabulary writes a space and a line's end
         self.known: dict[str, int] = {}  # places in starts and sizes, which tell those in pool
         self.pool, self.starts, self.sizes = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _asked(self, after_space: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of them each has) of new pieces."""
+    def _asked(self, marked: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each has) of new pieces; what begins the ``marked`` ones tells them apart."""
         made, sizes = [self.pool[:0]], [self.sizes[:0]]
-        for at in range(0, len(after_space), 20_000):
-            some = after_space[at : at + 20_000]
+        for at in range(0, len(marked), 20_000):
+            some = marked[at : at + 20_000]
             ids = np.concatenate(self._ids(["".join(some[k : k + 64]) for k in range(0, len(some), 64)]))
-            starts = np.flatnonzero(self.spaced[ids])
+            starts = np.flatnonzero(self.begins[ids])
             if len(starts) != len(some):
                 raise ValueError("a piece holds a space")
             made.append(ids)
@@ -101,16 +101,8 @@ class Encoder:
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
         return np.concatenate(made), np.concatenate(sizes)
 
-    def _words(self, letters: list[str], others: list[str], first: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of them each has) of words that follow a space, of letters alone and others, and of those that are the
-        ``first`` of a text."""
-        pieces = list(map(" ".__add__, letters))
-        n_pieces = [1] * len(pieces)
-        for word in chain(map(" ".__add__, others), first):
-            usual = _usual(word)
-            some = list(filter(None, usual.groups())) if usual else _cut(word)
-            pieces += some
-            n_pieces.append(len(some))
+    def _found(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each of ``pieces`` start, how many it has)."""
         at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0)
         names = [pieces[k] for k in missing.tolist()]
@@ -119,44 +111,64 @@ class Encoder:
         ids, sizes, starts, n = self.pool, self.sizes, self.starts, len(self.sizes)
         place: dict[str, int] = {}
         for some, keep in ((fresh[:short], n + short <= KEPT), (fresh[short:], False)):
-            after_space, other = [p for p in some if p[:1] == " "], [p for p in some if p[:1] != " "]
-            more, own = self._asked(after_space, other)
+            marked, other = [p for p in some if p[0] in " \n" and p != "\n"], [p for p in some if p[0] not in " \n" or p == "\n"]
+            more, own = self._asked(marked, other)
             starts = np.r_[starts, np.cumsum(own) - own + len(ids)]
             ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, own])
-            place.update(zip(chain(after_space, other), range(n + len(place), len(sizes)), strict=True))
+            place.update(zip(chain(marked, other), range(n + len(place), len(sizes)), strict=True))
             if keep:
                 self.known.update(place)
                 self.pool, self.sizes, self.starts = ids, sizes, starts
         at[missing] = np.fromiter(map(place.__getitem__, names), np.int64, len(names))
-        own = sizes[at]
-        counts = np.array(n_pieces, np.int64)
-        return ids[_places(starts[at], own)], np.add.reduceat(own, np.cumsum(counts) - counts) if len(at) else own
+        return ids, starts[at], sizes[at]
 
     def encode_all(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of them each text has), 16 bits an id."""
         texts = pc.fill_null(pa.array(texts, pa.large_string()), "")
         if not len(texts):
             return self.pool[:0], self.sizes[:0]
-        parts = pc.split_pattern(texts, " ")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         begin = parts.offsets.to_numpy()[:-1]
-        found = parts.values.dictionary_encode()
-        names = found.dictionary.to_numpy(zero_copy_only=False)
-        letters = pc.utf8_is_alpha(found.dictionary).to_numpy(zero_copy_only=False)
-        others = names[~letters].tolist()
-        place = np.empty(len(names), np.int64)
-        place[letters], place[~letters] = np.arange(len(names) - len(others)), np.arange(len(names) - len(others), len(names))
-        item = place[found.indices.to_numpy()]
-        # a space that doesn't begin a piece with what follows, or perhaps a special token
-        unclear = np.array([not w or w[0].isspace() or "<|" in w for w in others], bool)
-        odd = np.logical_or.reduceat(np.r_[np.zeros(len(names) - len(others), bool), unclear][item], begin)
+        encoded = parts.values.dictionary_encode()
+        words = encoded.dictionary
+        usual = pc.match_substring_regex(words, f"{WORD}[{_sign}]*$")
+        words, n_usual = pa.concat_arrays([words.filter(usual), words.filter(pc.invert(usual))]), pc.sum(usual).as_py()
+        usual = usual.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), np.int64)
+        place[usual], place[~usual] = np.arange(n_usual), np.arange(n_usual, len(words))
+        item = place[encoded.indices.to_numpy()]
+
+        others = words[n_usual:].to_pylist()
+        unclear, ends, alone = (np.zeros(len(words), bool) for _ in range(3))
+        # blanks that don't begin a piece with what follows, or perhaps a special token
+        unclear[n_usual:] = [not w or w[w[0] == "\n" :][:1].isspace() or "<|" in w for w in others]
+        ends[n_usual:], alone[n_usual:] = [w[-1:].isspace() for w in others], [w == "\n" for w in others]
+        bad = unclear[item]
+        bad[1:] |= ends[item[:-1]] & alone[item[1:]]
+        odd = np.logical_or.reduceat(bad, begin)
         at_first, first = np.unique(item[begin[~odd]], return_inverse=True)
-        item[begin[~odd]] = len(names) + first
-        names = names[letters].tolist()
-        first = [names[k] if k < len(names) else others[k - len(names)] for k in at_first]
-        ids, sizes = self._words(names, ["a" if u else w for w, u in zip(others, unclear, strict=True)], first)
+        item[begin[~odd]] = len(words) + first
+
+        stems = pc.utf8_rtrim(words[:n_usual], SIGNS)
+        signed = pc.not_equal(pc.binary_length(stems), pc.binary_length(words[:n_usual]))
+        stems, signs = (x.dictionary_encode() for x in (stems, pc.replace_substring_regex(words[:n_usual].filter(signed), WORD, "")))
+        pieces = [w if w[0] == "\n" else " " + w for w in stems.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        behind = np.full(n_usual, -1)
+        behind[signed.to_numpy(zero_copy_only=False)] = len(pieces) + signs.indices.to_numpy()
+        pieces += signs.dictionary.to_pylist()
+        order = np.stack([stems.indices.to_numpy(), behind], axis=1).ravel()
+        cut = [_cut(" a" if u else w if w[0] == "\n" else " " + w) for w, u in zip(others, unclear[n_usual:].tolist(), strict=True)]
+        cut += map(_cut, words.take(pa.array(at_first)).to_pylist())
+        order = np.r_[order[order >= 0], np.arange(len(pieces), len(pieces) + sum(map(len, cut)))]
+        pieces += chain.from_iterable(cut)
+        n_pieces = np.r_[1 + (behind >= 0), np.fromiter(map(len, cut), np.int64, len(cut))]
+        pool, starts, sizes = self._found(pieces)
+        starts, sizes = starts[order], sizes[order]
         whole = self._ids(texts.filter(pa.array(odd)).to_pylist())
-        item[begin[odd]] = len(place) + len(first) + np.arange(len(whole))
-        ids, sizes = np.concatenate([ids, *whole]), np.r_[sizes, np.fromiter(map(len, whole), np.int64, len(whole))]
+        ids = np.concatenate([pool[_places(starts, sizes)], *whole])
+        sizes = np.r_[np.add.reduceat(sizes, np.cumsum(n_pieces) - n_pieces), np.fromiter(map(len, whole), np.int64, len(whole))]
+
+        item[begin[odd]] = len(n_pieces) + np.arange(len(whole))
         each = sizes[item]
         if odd.any():
             follows = np.repeat(odd, np.diff(begin, append=len(item)))
@@ -175,8 +187,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys, which have so many bits, by falling together of equal ones: (places, where each group begins)."""
+def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, which have so many bits, in groups of equal ones: (their places, where each group begins, the groups' keys)."""
     below = len(key).bit_length()
     if bits + below <= 64:  # sorting numbers is several times faster than sorting their places
         run = key << np.uint64(below)
@@ -187,7 +199,8 @@ def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     else:
         order = np.argsort(key, kind="stable")
         run = key[order]
-    return order, np.flatnonzero(np.r_[np.ones(min(1, len(run)), bool), run[1:] != run[:-1]])
+    begin = np.flatnonzero(np.r_[np.ones(min(1, len(run)), bool), run[1:] != run[:-1]])
+    return order, begin, run[begin]
 
 
 class _Sequence:
@@ -221,7 +234,7 @@ class _Sequence:
         key = first.astype(np.uint64)
         key <<= np.uint64(bits)
         key |= second
-        order, begin = _grouped(key, 2 * bits)
+        order, begin, names = _grouped(key, 2 * bits)
         sizes = np.diff(begin, append=len(at))
         odd, times = np.zeros(len(at), bool), sizes
         twins = np.flatnonzero(first == second)
@@ -231,7 +244,7 @@ class _Sequence:
             same[1:] = (first[twins[1:]] == first[twins[:-1]]) & (self.after[at[twins[:-1]]] == at[twins[1:]])
             odd[twins] = (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 1
             if odd.any():
-                times = sizes - np.bincount(np.searchsorted(begin, np.flatnonzero(odd[order]), side="right") - 1, minlength=len(sizes))
+                times = sizes - np.bincount(np.searchsorted(names, key[odd]), minlength=len(sizes))
         return order, sizes, times, odd
 
     def _undisputed(self, live: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +257,8 @@ class _Sequence:
             first = np.ones(len(live), bool)
             first[:-1] = ahead | ~near
             first[1:] &= ~(ahead & near)
-            found.append((live[first], mine[first]))
+            own = np.flatnonzero(first)
+            found.append((live[own], mine[own]))
             rest = ~first
             rest[:-1] &= ~(first[1:] & near)
             rest[1:] &= ~(first[:-1] & near)

@@ -148,7 +148,7 @@ def test_a_word_is_asked_for_once_whatever_signs_follow(monkeypatch):
 
 def test_pieces_around_signs_and_line_ends_encode_like_whole_texts():
     made = random.Random(7)
-    some = [*"aBéßĳ×÷'.,*-_`12²½ǅ日\t\x85\xa0\x1f\u2028", "'s", "'ll", "e\u0301", "\n", "\n\n", "\nThen", "<|", "<|endoftext|>", "word", *"      ", "  "]
+    some = [*"aBéßĳ×÷'.,*-_`12²½ǅ日\t\x85\xa0\x1f\u2028", "'s", "'ll", "e\u0301", "\n", "\n\n", "\n\n\n", "\r\n", "\n\t", "\nThen", "<|", "<|endoftext|>", "word", *"      ", "  "]
     texts = ["".join(made.choices(some, k=made.randint(0, 25))) for _ in range(4000)]
     work = repair.Encoder(BYTES)
     for at in range(0, len(texts), 1500):
@@ -160,7 +160,7 @@ def test_wide_keys_are_grouped_alike():
     key = np.random.default_rng(8).integers(0, 50, 3000).astype(np.uint64)
     for a, b in zip(repair._grouped(key, 6), repair._grouped(key, 64), strict=True):
         assert (a == b).all()
-    assert [len(x) for x in repair._grouped(key[:0], 64)] == [0, 0]
+    assert [len(x) for x in repair._grouped(key[:0], 64)] == [0, 0, 0]
 
 
 def test_long_rules_expand_one_at_a_time():
