@@ -212,6 +212,47 @@ def test_pages_lose_no_row_that_shares_its_key(spark, size):
     assert got == [tuple(r) for r in listing.page(df, 1, 100).collect()]
 
 
+@pytest.fixture
+def odd_list(spark):
+    """Rows that share times and numbers, equal rows, nulls, and columns of several types."""
+    made = random.Random(3)
+    rows = []
+    for n in range(1_200):
+        when = at("2024-01-01") + timedelta(hours=made.randrange(3), microseconds=made.randrange(2)) if n % 9 else None
+        seq = made.randrange(4) if n % 5 else None
+        rows.append((seq, when, made.choice([float("nan"), -1.5, 2.0, None]), bytes([n % 3]), (n % 2, when), [n % 4, None], when))
+    rows += [(7, at("2024-01-01"), 1.0, b"x", None, [], None)] * 150 + [(None,) * 7] * 200
+    schema = "seq bigint, timestamp timestamp, value double, raw binary, part struct<a: int, b: timestamp>, list array<int>, local timestamp_ntz"
+    return spark.createDataFrame(rows, schema).repartition(5)
+
+
+def _few_kept(monkeypatch, n):
+    monkeypatch.setattr(listing, "KEPT", n, raising=False)
+    monkeypatch.setattr(listing, "DRAWN", n, raising=False)
+
+
+@pytest.mark.parametrize(("number", "size"), [(1, 300), (2, 500), (7, 100), (1, 1_550), (3, 700), (1, 9_000), (2, 9_000)])
+def test_large_pages_hold_the_same_rows(spark, monkeypatch, odd_list, number, size):
+    order = [repr(r) for r in listing.newest(odd_list, 0, 2_000).collect()]
+    _few_kept(monkeypatch, 60)
+    rows = listing.page(odd_list, number, size)
+    assert "TakeOrdered" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [repr(r) for r in rows.collect()] == order[(number - 1) * size : number * size]
+
+
+@pytest.mark.parametrize("size", [400, 5_000])
+def test_large_pages_stay_off_the_driver(monkeypatch, odd_list, size):
+    order = [repr(tuple(r)) for r in listing.newest(odd_list, 0, 2_000).collect()]
+    _few_kept(monkeypatch, 60)
+    brought, collect = [], type(odd_list).collect
+    monkeypatch.setattr(type(odd_list), "collect", lambda df: brought.append(collect(df)) or brought[-1])
+    pages = listing.all_pages(odd_list, size)
+    assert max(map(len, brought)) <= 60
+    rows = collect(pages)
+    assert [repr(tuple(r)[:-1]) for r in rows] == order
+    assert [r.page for r in rows] == [1 + k // size for k in range(len(order))]
+
+
 def test_later_pages_reach_the_scan(spark, many, tmp_path):
     many[0].write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
