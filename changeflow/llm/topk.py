@@ -3,14 +3,15 @@
 Vectors are cut into ``LISTS`` runs of dimensions; a candidate's score is the sum of its ``LISTS`` partial scores. Queries
 and candidates lie in blocks of bounded size, and each block of queries meets each block of candidates in one task.
 
-1. Every block reports, for each query, the k best of those candidates that lead one of the partial score lists, with
-   their whole scores. The k-th best over all blocks is a score that at least k candidates reach: the safe cutoff.
-2. A candidate that reaches the cutoff has a partial score of at least cutoff / LISTS in some list. Each block collects
-   those, and keeps the ones whose bound, known partial scores and the threshold for the others, reaches the cutoff.
+1. Blocks report, for each query, the k best of those candidates that lead one of the partial score lists, with their whole
+   scores. The k-th best over these blocks is a score that at least k candidates reach: the safe cutoff. All blocks report
+   while there are ``PROBES`` or fewer; of more, the first ones do.
+2. A candidate that reaches the cutoff has a partial score of at least cutoff / LISTS in some list. Each block marks those;
+   their bound, known partial scores and the threshold for the others, reaches the cutoff then.
 3. The whole scores of these are resolved exactly, and each block reports its k best at or above the cutoff.
 
 The last step merges the blocks' reports. Equal scores are ordered by id throughout, so k rows a block are enough
-however many candidates tie.
+however many candidates tie. Every query is scored against every candidate: the work is the product of their numbers.
 """
 
 from __future__ import annotations
@@ -18,111 +19,192 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.llm.common import python_ready, stored
 
 LISTS = 4
-QUERY_BLOCK = 512
-BLOCK = 2_048
+QUERY_BLOCK = 4_096
+BLOCK = 8_192
+# the dimensions of which a block has so many vectors; of longer ones it has fewer
+WIDE = 256
+PROBES = 64
+# parts of the candidates that each get the queries once
+GROUPS = 128
+# scores that are looked at together: they stay in a core's cache
+TILE = 2**18
 LARGEST = 2.0**61
 
 PACKED = "block int, length int, ids binary, vectors binary"
 
 
-def scaled(vector: Column, factor: int) -> Column:
-    """floor(factor * x) of each component as whole numbers in doubles; null if a component is null or not finite, or the
-    vector is null."""
-    values = F.transform(vector, lambda x: x.cast("double"))
-    bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.when(~bad, F.transform(values, lambda x: F.floor(x * factor).cast("double")))
+def finite(vector: Column) -> Column:
+    """Whether no component is null, infinite or not a number."""
+    return ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v) as blocks of about ``size`` vectors of one length."""
-    sizes = stored(rows.withColumn("length", F.size("v")), "vectors")
-    most = sizes.groupBy("length").agg(F.count("*").alias("n"))
-    n = most.agg(F.max("n")).first()[0] or 0
-    blocks = max(1, -(-n // size))
-    dealt = sizes.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        values = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), key[1])
-        made = {"block": [key[0]], "length": [key[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [values.tobytes()]}
-        return pd.DataFrame(made)
-
-    return stored(dealt.groupBy("block", "length").applyInPandas(pack, PACKED), "blocks")
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores; ``ids`` ascend, and a smaller one comes first."""
-    return np.argsort(-scores, kind="stable")[:k]
-
-
-def _leading(scores: np.ndarray, n: int) -> np.ndarray:
-    """Places of n of the highest scores."""
-    if len(scores) <= n:
-        return np.arange(len(scores))
-    return np.argsort(-scores, kind="stable")[:n] if scores.dtype == object else np.argpartition(-scores, n - 1)[:n]
+def scaled(values: np.ndarray, factor: int) -> np.ndarray:
+    """floor(factor * x) as whole numbers in doubles, as far as 64 bits reach."""
+    return np.clip(np.floor(values * factor), -(2.0**63), 2.0**63)
 
 
-def products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
-    """Inner products of whole numbers, exact: as doubles while sums stay below ``bound``'s limits, else as 64-bit or
-    unbounded integers."""
-    if bound < 2.0**53:
-        return a @ b.T
-    if bound < LARGEST:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    whole = lambda m: np.array([int(x) for x in m.ravel()], object).reshape(m.shape)
-    return whole(a) @ whole(b).T
-
+def packed(rows: DataFrame, size: int, factor: int) -> tuple[DataFrame, int]:
+    """Rows (id, v) as blocks of about ``size`` scaled vectors of one length, and the number of blocks. Vectors with a
+    component that is null or not finite are left out."""
+    sizes = rows.withColumn("length", F.size("v"))
+    wide = F.count("*") * F.greatest(F.lit(1.0), F.col("length") / WIDE)
+    most = sizes.groupBy("length").agg(wide.alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, int(-(-most // size)))
+    dealt = sizes.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
 
-def _cut(scores: np.ndarray) -> np.ndarray:
-    """Scores as far as 64 bits reach."""
-    if scores.dtype != object:
-        return scores
-    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in scores.ravel()], object).reshape(scores.shape)
+    def pack(key, rows):
+        block, length = (x.as_py() for x in key)
+        ids = rows["id"].to_numpy()
+        parts = [x.flatten().to_numpy(zero_copy_only=False) for x in rows["v"].chunks]
+        values = np.concatenate(parts).astype(np.float64).reshape(len(ids), length)
+        kept = np.flatnonzero(np.isfinite(values).all(axis=1))
+        kept = kept[np.argsort(ids[kept], kind="stable")]
+        with np.errstate(over="ignore"):
+            values = scaled(values[kept], factor)
+            short = values.astype(np.float32)
+        values = short if (short == values).all() else values
+        made = [[block], [length], [ids[kept].tobytes()], [values.tobytes()]]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)], ["block", "length", "ids", "vectors"])
+
+    return stored(dealt.groupBy("block", "length").applyInArrow(pack, PACKED), "blocks"), blocks
+
+
+def exact_type(a: np.ndarray, b: np.ndarray):
+    """The fastest type in which inner products of these whole numbers, and of parts of them, are exact: no sum on the way
+    exceeds the product of the lengths."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        lengths = [float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)) * (1 + 1e-9) for m in (a, b)]
+        bound = max(*lengths, lengths[0] * lengths[1])
+    for limit, kind in ((2.0**24, np.float32), (2.0**53, np.float64), (LARGEST, np.int64)):
+        if bound < limit:
+            return kind
+    return object
+
+
+def _as(values: np.ndarray, kind) -> np.ndarray:
+    if kind is object:
+        return np.array([int(x) for x in values.ravel()], object).reshape(values.shape)
+    return np.ascontiguousarray(values, dtype=kind)
+
+
+def _lead(scores: np.ndarray, n: int) -> np.ndarray:
+    """For each row a score that n of its entries reach, and few others: the n-th highest of the best of small groups."""
+    many, size = scores.shape
+    if size <= n:
+        return scores.min(axis=1, keepdims=True)
+    deep = max(1, size // max(8 * n, 128))
+    groups = size // deep
+    best = scores[:, : deep * groups].reshape(many, deep, groups).max(axis=1)
+    ordered = np.sort(best, axis=1) if best.dtype == object else np.partition(best, groups - n, axis=1)
+    return ordered[:, groups - n : groups - n + 1]
+
+
+def _least(cutoffs: np.ndarray, known: np.ndarray, kind) -> np.ndarray:
+    """Cutoffs as a column of a type; where none is known, what all scores reach."""
+    none = np.iinfo(np.int64).min if kind is np.int64 else float("-inf")
+    least = cutoffs.astype(kind)
+    least[~known] = none
+    return least[:, None]
+
+
+def _places(marked: np.ndarray) -> np.ndarray:
+    """Places of what is marked, of which there is little: eight marks are looked at together."""
+    flat = marked.ravel()
+    even = len(flat) // 8 * 8
+    near = (np.flatnonzero(flat[:even].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[flat[near]], even + np.flatnonzero(flat[even:])])
+
+
+def _whole(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit numbers, as far as these reach."""
+    if scores.dtype == object:
+        scores = np.array([max(-(2**63), min(2**63 - 1, x)) for x in scores], object)
+    return scores.astype(np.int64)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k highest scores, of equal ones those with the least ids."""
+    order = np.lexsort((ids, ~scores, query))
+    by = query[order]
+    first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else by
+    rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    return order[rank < k]
+
+
+def pair(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, cutoffs: dict | None) -> list[np.ndarray]:
+    """(query id, id, score) of a block of queries and one of candidates: phase 1, or phases 2 and 3 if ``cutoffs`` are given,
+    ids in order with their cutoffs. A query without a cutoff gets its k best."""
+    kind, many, n = exact_type(queries, vectors), len(q_ids), len(ids)
+    runs = [r for r in np.array_split(np.arange(queries.shape[1]), LISTS) if len(r)]
+    left = [_as(queries[:, r], kind) for r in runs] or [np.zeros((many, 1), kind)]
+    right = [_as(vectors[:, r].T, kind) for r in runs] or [np.zeros((1, n), kind)]
+    if cutoffs is not None:
+        at = np.searchsorted(cutoffs[0], q_ids)
+        known = np.zeros(many, bool)
+        known[at < len(cutoffs[0])] = cutoffs[0][at[at < len(cutoffs[0])]] == q_ids[at < len(cutoffs[0])]
+        cuts = np.zeros(many, np.int64)
+        cuts[known] = cutoffs[1][at[known]]
+        threshold, cutoff = _least(-(-cuts // len(left)), known, kind), _least(cuts, known, kind)
+    step = max(1, TILE // max(1, n))
+    tiles = [np.empty((min(step, many), n), kind) for _ in left]
+    found = []
+    for start in range(0, many if n else 0, step):
+        part = slice(start, min(many, start + step))
+        partial = [t[: part.stop - start] for t in tiles]
+        for a, b, out in zip(left, right, partial, strict=True):
+            np.matmul(a[part], b, out=out)
+        least = [_lead(p, k + 1) for p in partial] if cutoffs is None else [threshold[part]] * len(partial)
+        marked = np.zeros(partial[0].shape, bool)
+        for p, value in zip(partial, least, strict=True):
+            marked |= (p >= value).astype(bool, copy=False)
+        if cutoffs is None:
+            places = _places(marked)
+            scores = sum(p.ravel()[places] for p in partial)
+        else:
+            whole = partial[0]
+            for p in partial[1:]:
+                np.add(whole, p, out=whole)
+            marked &= (whole >= cutoff[part]).astype(bool, copy=False)
+            places = _places(marked)
+            scores = whole.ravel()[places]
+        query, candidate = np.divmod(places, n)
+        other = ids[candidate] != q_ids[start + query]
+        query, candidate, scores = start + query[other], candidate[other], _whole(scores[other])
+        best = _best(query, ids[candidate], scores, k)
+        found.append((q_ids[query[best]], ids[candidate[best]], scores[best]))
+    return [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
 
 
 def _phase(k: int, with_cutoff: bool):
     """The work on a pair of blocks: phase 1, or phases 2 and 3 if the queries' cutoffs are known."""
 
+    def numbers(column: pa.Array, row: int, kind) -> np.ndarray:
+        return np.frombuffer(column[row].as_buffer(), kind)
+
+    def block(batch: pa.RecordBatch, row: int, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+        ids, data = numbers(batch.column(ids), row, np.int64), batch.column(vectors)[row].as_buffer()
+        length = batch.column("length")[row].as_py()
+        kind = np.float32 if data.size == 4 * len(ids) * length else np.float64
+        return ids, np.frombuffer(data, kind).reshape(len(ids), length)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["length"])
-                queries = np.frombuffer(row["q_vectors"], np.float64).reshape(len(q_ids), row["length"])
-                cutoffs = dict(zip(row["cut_ids"] or [], row["cuts"] or [], strict=True)) if with_cutoff else {}
-                runs = [r for r in np.array_split(np.arange(row["length"]), LISTS) if len(r)]
-                bound = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * row["length"]
-                partial = [products(queries[:, r], vectors[:, r], bound) for r in runs]
-                whole = _cut(sum(partial[1:], partial[0])) if partial else np.zeros((len(q_ids), len(ids)))
-                out_q, out_id, out_score = [], [], []
-                for at, query in enumerate(q_ids):
-                    lists = [p[at] for p in partial]
-                    cutoff = cutoffs.get(int(query))
-                    if not lists or with_cutoff and cutoff is None:  # no dimensions, or fewer than k candidates in all
-                        found = np.arange(len(ids))
-                    elif not with_cutoff:
-                        found = np.unique(np.concatenate([_leading(x, k + 1) for x in lists]))
-                    else:
-                        threshold = cutoff / len(lists) - 1e-9 * abs(cutoff)
-                        high = [x >= threshold for x in lists]
-                        reach = sum(np.where(h, x, threshold) for h, x in zip(high, lists, strict=True))
-                        found = np.flatnonzero(np.logical_or.reduce(high) & (reach >= cutoff - 1e-6 * abs(cutoff)))
-                        found = found[whole[at][found] >= cutoff]
-                    found = found[ids[found] != query]
-                    best = found[_best(whole[at][found], ids[found], k)]
-                    out_q += [int(query)] * len(best)
-                    out_id += ids[best].tolist()
-                    out_score += [int(x) for x in whole[at][best]]
-                arrays = [pa.array(x, pa.int64()) for x in (out_q, out_id, out_score)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+            for row in range(batch.num_rows):
+                cutoffs = None
+                if with_cutoff:
+                    lists = [batch.column(c)[row].values for c in ("cut_ids", "cuts")]
+                    cutoffs = [np.empty(0, np.int64) if x is None else x.to_numpy(zero_copy_only=False) for x in lists]
+                found = pair(*block(batch, row, "q_ids", "q_vectors"), *block(batch, row, "ids", "vectors"), k, cutoffs)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     return work
 
@@ -141,24 +223,32 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, factor: int = 1024)
     query gives its rows once. Scores beyond 64 bits are cut to 64 bits.
     """
     python_ready(vectors.sparkSession, rows=256)
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), scaled(F.col("embedding"), factor).alias("v")).where("id is not null and v is not null")
-    candidates = packed(rows, BLOCK)
-    queries = packed(rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"]), QUERY_BLOCK)
+    kind = vectors.schema["embedding"].dataType
+    narrow = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    vector = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), vector.alias("v")).where("id is not null and v is not null")
+    candidates, n_blocks = packed(rows, BLOCK, factor)
+    queries, _ = packed(rows.where((F.pmod("id", F.lit(every)) == 0) & finite(F.col("v"))).dropDuplicates(["id"]), QUERY_BLOCK, factor)
     queries = queries.select(F.col("block").alias("q_block"), "length", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    n_blocks = (candidates.agg(F.max("block")).first()[0] or 0) + 1
-    placed = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    queries = queries.repartition("q_block", "length")  # many tasks copy them
+    groups = min(n_blocks, max(GROUPS, n_blocks // 16))
+    candidates = candidates.withColumn("group", F.col("block") % groups)
+
+    def met(blocks: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
+        placed = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return blocks.join(placed, ["group", "length"])
+
     schema = "query_id bigint, vec_id bigint, score bigint"
-    columns = ["length", "ids", "vectors", "q_ids", "q_vectors", "cut_ids", "cuts"]
-    longs = F.lit(None).cast("array<bigint>")
-    pairs = placed.join(candidates, ["block", "length"])
-    reports = pairs.withColumns({"cut_ids": longs, "cuts": longs}).select(*columns).mapInArrow(_phase(k, False), schema)
+    columns = ["length", "ids", "vectors", "q_ids", "q_vectors"]
+    probes = met(candidates.where(F.col("block") < PROBES), queries, min(groups, PROBES))
+    reports = probes.select(*columns).mapInArrow(_phase(k, False), schema)
     first = _merged(reports, k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
-    first = first.where((F.col("n") == k) & (F.abs("cutoff") < F.lit(2**62)))
+    first = first.where((F.col("n") == k) & F.col("cutoff").between(1 - 2**62, 2**62 - 1))
     q_of = queries.select("q_block", "length", F.explode(_ids(F.col("q_ids"))).alias("query_id"))
-    cuts = q_of.join(first, "query_id").groupBy("q_block", "length").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("cut"))
+    cuts = q_of.join(first, "query_id").groupBy("q_block", "length").agg(F.sort_array(F.collect_list(F.struct("query_id", "cutoff"))).alias("cut"))
     cuts = stored(cuts.select("q_block", "length", F.col("cut.query_id").alias("cut_ids"), F.col("cut.cutoff").alias("cuts")), "cutoffs")
-    again = placed.join(cuts, ["q_block", "length"], "left").join(candidates, ["block", "length"])
-    found = again.select(*columns).mapInArrow(_phase(k, True), schema)
+    again = met(candidates, queries.join(cuts, ["q_block", "length"], "left"), groups)
+    found = again.select(*columns, "cut_ids", "cuts").mapInArrow(_phase(k, True), schema)
     return _merged(found, k).select("query_id", "rank", "vec_id", "score")
 
 

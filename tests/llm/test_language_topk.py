@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import timeit
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from changeflow.llm import language, topk
@@ -102,3 +104,41 @@ def test_top_k_of_few_rows(spark):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(docs, 10, 100).collect()} == brute(rows, 10, 100)
     assert topk.top_k(docs.limit(0)).count() == 0
     assert topk.top_k(docs.where("vec_id != 0")).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4, 1e8])
+def test_top_k_of_more_blocks_than_give_the_cutoff(spark, monkeypatch, scale):
+    for name, value in (("BLOCK", 25), ("QUERY_BLOCK", 9), ("PROBES", 2), ("GROUPS", 3), ("TILE", 64), ("WIDE", 8)):
+        monkeypatch.setattr(topk, name, value)
+    made = np.random.default_rng(int(scale))
+    rows = [(i, (made.normal(size=12) * scale).tolist()) for i in range(300)]
+    rows += [(i, rows[20][1]) for i in range(300, 420)] + [(i, [0.0] * 12) for i in range(420, 450)] + [(30, rows[30][1]), (33, rows[33][1]), (500, [1.0, None] * 6)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(docs, 10, 10).collect()}
+    assert got == brute(rows, 10, 10)
+
+
+@pytest.mark.parametrize("largest", [1, 400, 2**20, 2**40, 2**62])
+def test_products_are_exact_in_the_type_they_are_made_in(largest):
+    made = np.random.default_rng(1)
+    whole = made.integers(-largest, largest, size=(30, 12), endpoint=True).astype(np.float64)
+    ids = np.arange(30)
+    q, found, score = topk.pair(ids[:6], whole[:6], ids, whole, 30, (np.empty(0, np.int64), np.empty(0, np.int64)))
+    rows = [[int(x) for x in v] for v in whole]
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = {(a, b, cut(sum(x * y for x, y in zip(rows[a], rows[b], strict=True)))) for a in range(6) for b in range(30) if a != b}
+    assert set(zip(q.tolist(), found.tolist(), score.tolist(), strict=True)) == want and len(q) == len(want)
+
+
+def test_a_pair_of_blocks_costs_little_more_than_sorting_its_products():
+    """Query by query, the phases took eight times as long as that."""
+    made = np.random.default_rng(2)
+    vectors = np.floor(made.normal(size=(4_096, 64)) / 8 * 1_024)
+    queries, ids, q_ids = vectors[:1_024], np.arange(4_096), np.arange(1_024)
+    cut = np.sort(queries @ vectors.T, axis=1)[:, -10].astype(np.int64)
+    columns = {"length": [64], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "q_ids": [q_ids.tobytes()], "q_vectors": [queries.tobytes()]}
+    batch = pa.RecordBatch.from_pydict(columns | {"cut_ids": [q_ids], "cuts": [cut]})
+    plain = lambda: np.sort(queries @ vectors.T, axis=1)
+    phases = lambda: [list(topk._phase(10, known)(iter([batch]))) for known in (False, True)]
+    least = [min(timeit.repeat(f, number=1, repeat=5)) for f in (plain, phases)]
+    assert least[1] < 5 * least[0]
