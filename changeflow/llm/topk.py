@@ -156,6 +156,7 @@ def pair(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.nd
         threshold, cutoff = _least(-(-cuts // len(left)), known, kind), _least(cuts, known, kind)
     step = max(1, TILE // max(1, n))
     tiles = [np.empty((min(step, many), n), kind) for _ in left]
+    marks = [np.empty((min(step, many), n), bool) for _ in range(2)]
     found = []
     for start in range(0, many if n else 0, step):
         part = slice(start, min(many, start + step))
@@ -163,9 +164,10 @@ def pair(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.nd
         for a, b, out in zip(left, right, partial, strict=True):
             np.matmul(a[part], b, out=out)
         least = [_lead(p, k + 1) for p in partial] if cutoffs is None else [threshold[part]] * len(partial)
-        marked = np.zeros(partial[0].shape, bool)
-        for p, value in zip(partial, least, strict=True):
-            marked |= (p >= value).astype(bool, copy=False)
+        marked, more = (m[: part.stop - start] for m in marks)
+        np.greater_equal(partial[0], least[0], out=marked)
+        for p, value in zip(partial[1:], least[1:], strict=True):
+            np.logical_or(marked, np.greater_equal(p, value, out=more), out=marked)
         if cutoffs is None:
             places = _places(marked)
             scores = sum(p.ravel()[places] for p in partial)
@@ -173,7 +175,7 @@ def pair(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.nd
             whole = partial[0]
             for p in partial[1:]:
                 np.add(whole, p, out=whole)
-            marked &= (whole >= cutoff[part]).astype(bool, copy=False)
+            np.logical_and(marked, np.greater_equal(whole, cutoff[part], out=more), out=marked)
             places = _places(marked)
             scores = whole.ravel()[places]
         query, candidate = np.divmod(places, n)
@@ -236,7 +238,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, factor: int = 1024)
 
     def met(blocks: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
         placed = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return blocks.join(placed, ["group", "length"])
+        return blocks.join(placed.hint("merge"), ["group", "length"])  # the copies are more than Spark takes them for
 
     schema = "query_id bigint, vec_id bigint, score bigint"
     columns = ["length", "ids", "vectors", "q_ids", "q_vectors"]
