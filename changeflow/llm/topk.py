@@ -3,14 +3,13 @@
 Vectors are cut into ``LISTS`` runs of dimensions; a candidate's score is the sum of its ``LISTS`` partial scores. Queries
 and candidates lie in blocks of bounded size, and each block of queries meets each block of candidates in one task.
 
-1. Blocks report, for each query, the k best of those candidates that lead one of the partial score lists, with their whole
-   scores. The k-th best over these blocks is a score that at least k candidates reach: the safe cutoff. All blocks report
-   while there are ``PROBES`` or fewer; of more, the first ones do.
+1. Every block reports, for each query, the k best of those candidates that lead one of the partial score lists, with their
+   whole scores. The k-th best over all blocks is a score that at least k candidates reach: the safe cutoff.
 2. A candidate that reaches the cutoff has a partial score of at least cutoff / LISTS in some list. Each block marks those;
    their bound, known partial scores and the threshold for the others, reaches the cutoff then.
 3. The whole scores of these are resolved exactly, and each block reports its k best at or above the cutoff.
 
-The last step merges the blocks' reports. Equal scores are ordered by id throughout, so k rows a block are enough
+A task merges the reports of its blocks, the last step those of the tasks. Equal scores are ordered by id throughout, so k rows a block are enough
 however many candidates tie. Every query is scored against every candidate: the work is the product of their numbers.
 """
 
@@ -31,13 +30,18 @@ QUERY_BLOCK = 4_096
 BLOCK = 8_192
 # the dimensions of which a block has so many vectors; of longer ones it has fewer
 WIDE = 256
-PROBES = 64
 # parts of the candidates that each get the queries once
-GROUPS = 128
+GROUPS = 64
+# blocks of queries whose reports a task holds
+HELD = 64
 # scores that are looked at together: they stay in a core's cache
 TILE = 2**18
 LARGEST = 2.0**61
 
+# vectors are stored in the smallest of these types that holds a block exactly; a component's size tells which
+STORED = (np.int16, np.float32, np.float64)
+FITS = {np.int16: 2.0**15 - 1, np.float32: 2.0**127}
+
 PACKED = "block int, length int, ids binary, vectors binary"
 
 
@@ -69,8 +73,8 @@ def packed(rows: DataFrame, size: int, factor: int) -> tuple[DataFrame, int]:
         kept = kept[np.argsort(ids[kept], kind="stable")]
         with np.errstate(over="ignore"):
             values = scaled(values[kept], factor)
-            short = values.astype(np.float32)
-        values = short if (short == values).all() else values
+            small = [kind for kind in STORED[:-1] if (np.abs(values) <= FITS[kind]).all() and (values.astype(kind) == values).all()]
+        values = values.astype(small[0]) if small else values
         made = [[block], [length], [ids[kept].tobytes()], [values.tobytes()]]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)], ["block", "length", "ids", "vectors"])
@@ -108,11 +112,11 @@ def _lead(scores: np.ndarray, n: int) -> np.ndarray:
     return ordered[:, groups - n : groups - n + 1]
 
 
-def _least(cutoffs: np.ndarray, known: np.ndarray, kind) -> np.ndarray:
-    """Cutoffs as a column of a type; where none is known, what all scores reach."""
+def _least(cutoffs: np.ndarray, sure: np.ndarray, kind) -> np.ndarray:
+    """Cutoffs as a column of a type; where none is sure, what all scores reach."""
     none = np.iinfo(np.int64).min if kind is np.int64 else float("-inf")
     least = cutoffs.astype(kind)
-    least[~known] = none
+    least[~sure] = none
     return least[:, None]
 
 
@@ -140,20 +144,29 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return order[rank < k]
 
 
-def pair(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, cutoffs: dict | None) -> list[np.ndarray]:
+def pair(
+    q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, cutoffs: list | None, known: list | None = None
+) -> list[np.ndarray]:
     """(query id, id, score) of a block of queries and one of candidates: phase 1, or phases 2 and 3 if ``cutoffs`` are given,
-    ids in order with their cutoffs. A query without a cutoff gets its k best."""
+    ids in order with their cutoffs. A query without a cutoff gets its k best. ``known`` is what other blocks of candidates
+    gave; it is merged with what is found."""
+    floors = np.full(len(q_ids), -(2**63))
+    if known is not None and len(known[0]):
+        at = np.searchsorted(known[0], q_ids) + k - 1
+        full = at < len(known[0])
+        full[full] = known[0][at[full]] == q_ids[full]
+        floors[full] = known[2][at[full]]
     kind, many, n = exact_type(queries, vectors), len(q_ids), len(ids)
     runs = [r for r in np.array_split(np.arange(queries.shape[1]), LISTS) if len(r)]
     left = [_as(queries[:, r], kind) for r in runs] or [np.zeros((many, 1), kind)]
     right = [_as(vectors[:, r].T, kind) for r in runs] or [np.zeros((1, n), kind)]
     if cutoffs is not None:
         at = np.searchsorted(cutoffs[0], q_ids)
-        known = np.zeros(many, bool)
-        known[at < len(cutoffs[0])] = cutoffs[0][at[at < len(cutoffs[0])]] == q_ids[at < len(cutoffs[0])]
+        sure = at < len(cutoffs[0])
+        sure[sure] = cutoffs[0][at[sure]] == q_ids[sure]
         cuts = np.zeros(many, np.int64)
-        cuts[known] = cutoffs[1][at[known]]
-        threshold, cutoff = _least(-(-cuts // len(left)), known, kind), _least(cuts, known, kind)
+        cuts[sure] = cutoffs[1][at[sure]]
+        threshold, cutoff = _least(-(-cuts // len(left)), sure, kind), _least(cuts, sure, kind)
     step = max(1, TILE // max(1, n))
     tiles = [np.empty((min(step, many), n), kind) for _ in left]
     marks = [np.empty((min(step, many), n), bool) for _ in range(2)]
@@ -179,11 +192,14 @@ def pair(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.nd
             places = _places(marked)
             scores = whole.ravel()[places]
         query, candidate = np.divmod(places, n)
-        other = ids[candidate] != q_ids[start + query]
-        query, candidate, scores = start + query[other], candidate[other], _whole(scores[other])
+        query, scores = start + query, _whole(scores)
+        other = (ids[candidate] != q_ids[query]) & (scores >= floors[query])
+        query, candidate, scores = query[other], candidate[other], scores[other]
         best = _best(query, ids[candidate], scores, k)
         found.append((q_ids[query[best]], ids[candidate[best]], scores[best]))
-    return [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
+    found = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(known or [np.empty(0, np.int64)] * 3, *found, strict=True)]
+    best = _best(*found, k)
+    return [x[best] for x in found]
 
 
 def _phase(k: int, with_cutoff: bool):
@@ -195,18 +211,28 @@ def _phase(k: int, with_cutoff: bool):
     def block(batch: pa.RecordBatch, row: int, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
         ids, data = numbers(batch.column(ids), row, np.int64), batch.column(vectors)[row].as_buffer()
         length = batch.column("length")[row].as_py()
-        kind = np.float32 if data.size == 4 * len(ids) * length else np.float64
+        kind = next((x for x in STORED if data.size == np.dtype(x).itemsize * len(ids) * length), np.float64)
         return ids, np.frombuffer(data, kind).reshape(len(ids), length)
 
+    def reports(kept: dict) -> Iterator[pa.RecordBatch]:
+        for found in kept.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+        kept.clear()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 cutoffs = None
                 if with_cutoff:
                     lists = [batch.column(c)[row].values for c in ("cut_ids", "cuts")]
                     cutoffs = [np.empty(0, np.int64) if x is None else x.to_numpy(zero_copy_only=False) for x in lists]
-                found = pair(*block(batch, row, "q_ids", "q_vectors"), *block(batch, row, "ids", "vectors"), k, cutoffs)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+                key = tuple(batch.column(c)[row].as_py() for c in ("length", "q_block"))
+                blocks = [*block(batch, row, "q_ids", "q_vectors"), *block(batch, row, "ids", "vectors")]
+                kept[key] = pair(*blocks, k, cutoffs, kept.get(key))
+                if len(kept) > HELD:
+                    yield from reports(kept)
+        yield from reports(kept)
 
     return work
 
@@ -236,20 +262,19 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, factor: int = 1024)
     groups = min(n_blocks, max(GROUPS, n_blocks // 16))
     candidates = candidates.withColumn("group", F.col("block") % groups)
 
-    def met(blocks: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
+    def met(blocks: DataFrame, queries: DataFrame) -> DataFrame:
         placed = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         return blocks.join(placed.hint("merge"), ["group", "length"])  # the copies are more than Spark takes them for
 
     schema = "query_id bigint, vec_id bigint, score bigint"
-    columns = ["length", "ids", "vectors", "q_ids", "q_vectors"]
-    probes = met(candidates.where(F.col("block") < PROBES), queries, min(groups, PROBES))
-    reports = probes.select(*columns).mapInArrow(_phase(k, False), schema)
+    columns = ["length", "q_block", "ids", "vectors", "q_ids", "q_vectors"]
+    reports = met(candidates, queries).select(*columns).mapInArrow(_phase(k, False), schema)
     first = _merged(reports, k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
     first = first.where((F.col("n") == k) & F.col("cutoff").between(1 - 2**62, 2**62 - 1))
     q_of = queries.select("q_block", "length", F.explode(_ids(F.col("q_ids"))).alias("query_id"))
     cuts = q_of.join(first, "query_id").groupBy("q_block", "length").agg(F.sort_array(F.collect_list(F.struct("query_id", "cutoff"))).alias("cut"))
     cuts = stored(cuts.select("q_block", "length", F.col("cut.query_id").alias("cut_ids"), F.col("cut.cutoff").alias("cuts")), "cutoffs")
-    again = met(candidates, queries.join(cuts, ["q_block", "length"], "left"), groups)
+    again = met(candidates, queries.join(cuts, ["q_block", "length"], "left"))
     found = again.select(*columns, "cut_ids", "cuts").mapInArrow(_phase(k, True), schema)
     return _merged(found, k).select("query_id", "rank", "vec_id", "score")
 

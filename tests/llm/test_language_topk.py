@@ -107,8 +107,8 @@ def test_top_k_of_few_rows(spark):
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e4, 1e8])
-def test_top_k_of_more_blocks_than_give_the_cutoff(spark, monkeypatch, scale):
-    for name, value in (("BLOCK", 25), ("QUERY_BLOCK", 9), ("PROBES", 2), ("GROUPS", 3), ("TILE", 64), ("WIDE", 8)):
+def test_top_k_of_more_blocks_than_a_task_holds(spark, monkeypatch, scale):
+    for name, value in (("BLOCK", 25), ("QUERY_BLOCK", 9), ("HELD", 2), ("GROUPS", 3), ("TILE", 64), ("WIDE", 8)):
         monkeypatch.setattr(topk, name, value)
     made = np.random.default_rng(int(scale))
     rows = [(i, (made.normal(size=12) * scale).tolist()) for i in range(300)]
@@ -136,9 +136,38 @@ def test_a_pair_of_blocks_costs_little_more_than_sorting_its_products():
     vectors = np.floor(made.normal(size=(4_096, 64)) / 8 * 1_024)
     queries, ids, q_ids = vectors[:1_024], np.arange(4_096), np.arange(1_024)
     cut = np.sort(queries @ vectors.T, axis=1)[:, -10].astype(np.int64)
-    columns = {"length": [64], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "q_ids": [q_ids.tobytes()], "q_vectors": [queries.tobytes()]}
+    columns = {"length": [64], "q_block": [0], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "q_ids": [q_ids.tobytes()], "q_vectors": [queries.tobytes()]}
     batch = pa.RecordBatch.from_pydict(columns | {"cut_ids": [q_ids], "cuts": [cut]})
     plain = lambda: np.sort(queries @ vectors.T, axis=1)
     phases = lambda: [list(topk._phase(10, known)(iter([batch]))) for known in (False, True)]
     least = [min(timeit.repeat(f, number=1, repeat=5)) for f in (plain, phases)]
     assert least[1] < 5 * least[0]
+
+
+@pytest.mark.parametrize("held", [0, 1, 50])
+def test_reports_of_a_task_are_merged(monkeypatch, held):
+    """Blocks of queries and candidates in any order, more of them than a task holds, with equal scores and repeated ids."""
+    monkeypatch.setattr(topk, "HELD", held)
+    monkeypatch.setattr(topk, "TILE", 64)
+    made = np.random.default_rng(4)
+    vectors = made.integers(-3, 4, size=(90, 6)).astype(np.int16)
+    ids = np.sort(made.integers(0, 70, size=90))
+    dealt = [np.arange(at, 90, 3) for at in range(3)]
+    q_rows = [np.flatnonzero(np.diff(ids, prepend=-1) > 0)[at::2] for at in range(2)]
+    rows = [{"length": 6, "q_block": b, "ids": ids[c].tobytes(), "vectors": vectors[c].tobytes(), "q_ids": ids[q].tobytes(), "q_vectors": vectors[q].tobytes()} for c in dealt for b, q in enumerate(q_rows)]
+    kinds = pa.schema([("length", pa.int32()), ("q_block", pa.int32()), *[(c, pa.binary()) for c in ("ids", "vectors", "q_ids", "q_vectors")], ("cut_ids", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int64()))])
+    best = {}
+    for q in np.concatenate(q_rows):
+        order = sorted((-int(vectors[q].astype(int) @ v.astype(int)), int(i)) for i, v in zip(ids, vectors, strict=True) if i != ids[q])
+        best[int(ids[q])] = [(i, -s) for s, i in order[:4]]
+    for with_cutoff in (False, True):
+        for row in rows:
+            row |= {"cut_ids": sorted(best)[::2], "cuts": [best[q][3][1] for q in sorted(best)[::2]]} if with_cutoff else {}
+        batches = [pa.RecordBatch.from_pylist(rows[at : at + 2], schema=kinds) for at in range(0, len(rows), 2)]
+        got = {}
+        for found in topk._phase(4, with_cutoff)(iter(batches)):
+            for row in found.to_pylist():
+                got.setdefault(row["query_id"], []).append((-row["score"], row["vec_id"]))
+        merged = {q: [(i, -s) for s, i in sorted(x)[:4]] for q, x in got.items()}
+        assert merged == best if with_cutoff else all(merged[q][3][1] <= best[q][3][1] for q in best)
+        assert all(len(x) == 4 for x in got.values()) or held < 2
