@@ -1,16 +1,19 @@
 """Exact top-k search by inner product in three phases with a uniform threshold.
 
 Vectors are cut into ``LISTS`` runs of dimensions; a candidate's score is the sum of its ``LISTS`` partial scores. Queries
-and candidates lie in blocks of bounded size, and each block of queries meets each block of candidates in one task.
-
-1. Every block reports, for each query, the k best of those candidates that lead one of the partial score lists, with their
-   whole scores. The k-th best over all blocks is a score that at least k candidates reach: the safe cutoff.
-2. A candidate that reaches the cutoff has a partial score of at least cutoff / LISTS in some list. Each block marks those;
-   their bound, known partial scores and the threshold for the others, reaches the cutoff then.
-3. The whole scores of these are resolved exactly, and each block reports its k best at or above the cutoff.
-
-A task merges the reports of its blocks, the last step those of the tasks. Equal scores are ordered by id throughout, so k rows a block are enough
-however many candidates tie. Every query is scored against every candidate: the work is the product of their numbers.
+and candidates lie in blocks of bounded size, and each block of queries meets each block of candidates in one task. The
+partial scores of such a pair are made once, and the phases follow one another on them:
+
+1. The candidates that lead one of the partial score lists, by what k + 1 in the list's first block reach, are looked up in
+   the whole scores. The k-th best of them, or of those that the
+   task has of the query from other blocks, is a score that at least k candidates reach: the safe cutoff.
+2. A candidate that reaches the cutoff has a partial score of at least cutoff / LISTS in some list. These are marked; their
+   bound, known partial scores and the threshold for the others, reaches the cutoff then.
+3. The whole scores of these are resolved exactly, and the k best at or above the cutoff are kept.
+
+A task reports its k best of each query, and the last step merges the reports. Equal scores are ordered by id throughout, so k
+rows are enough however many candidates tie. Every query is scored against every candidate: the work is the product of their
+numbers.
 """
 
 from __future__ import annotations
@@ -145,65 +148,83 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
 
 
 def pair(
-    q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, cutoffs: list | None, known: list | None = None
+    q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, known: list | None = None, leads: list | None = None
 ) -> list[np.ndarray]:
-    """(query id, id, score) of a block of queries and one of candidates: phase 1, or phases 2 and 3 if ``cutoffs`` are given,
-    ids in order with their cutoffs. A query without a cutoff gets its k best. ``known`` is what other blocks of candidates
-    gave; it is merged with what is found."""
-    floors = np.full(len(q_ids), -(2**63))
-    if known is not None and len(known[0]):
-        at = np.searchsorted(known[0], q_ids) + k - 1
-        full = at < len(known[0])
-        full[full] = known[0][at[full]] == q_ids[full]
-        floors[full] = known[2][at[full]]
+    """(query id, id, score) of the k best of a block of queries in a block of candidates and in ``known``, which other blocks
+    of candidates gave. Both blocks' ids ascend. ``leads`` holds what leads the lists; a first block fills it."""
     kind, many, n = exact_type(queries, vectors), len(q_ids), len(ids)
     runs = [r for r in np.array_split(np.arange(queries.shape[1]), LISTS) if len(r)]
     left = [_as(queries[:, r], kind) for r in runs] or [np.zeros((many, 1), kind)]
     right = [_as(vectors[:, r].T, kind) for r in runs] or [np.zeros((1, n), kind)]
-    if cutoffs is not None:
-        at = np.searchsorted(cutoffs[0], q_ids)
-        sure = at < len(cutoffs[0])
-        sure[sure] = cutoffs[0][at[sure]] == q_ids[sure]
-        cuts = np.zeros(many, np.int64)
-        cuts[sure] = cutoffs[1][at[sure]]
-        threshold, cutoff = _least(-(-cuts // len(left)), sure, kind), _least(cuts, sure, kind)
+    known = known or [np.empty(0, np.int64)] * 3
+    leads = [] if leads is None else leads
+    new = n > 0 and not leads
+    if new:
+        leads += [np.empty((many, 1), kind) for _ in left]
     step = max(1, TILE // max(1, n))
-    tiles = [np.empty((min(step, many), n), kind) for _ in left]
+    tiles = [np.empty((min(step, many), n), kind) for _ in range(len(left) + 1)]
     marks = [np.empty((min(step, many), n), bool) for _ in range(2)]
     found = []
+
+    def marked(partial: list[np.ndarray], leasts: list[np.ndarray], whole: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Places with a partial score and a whole score that are high enough."""
+        high, more = (m[: len(whole)] for m in marks)
+        np.greater_equal(partial[0], leasts[0], out=high)
+        for p, value in zip(partial[1:], leasts[1:], strict=True):
+            np.logical_or(high, np.greater_equal(p, value, out=more), out=high)
+        return _places(np.logical_and(high, np.greater_equal(whole, least, out=more), out=high))
+
+    def others(start: int, places: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
+        """Query, candidate's id and score of what isn't the query itself."""
+        query, candidate = np.divmod(places, n)
+        part = [q_ids[start + query], ids[candidate], _whole(scores)]
+        return [x[part[0] != part[1]] for x in part]
+
     for start in range(0, many if n else 0, step):
         part = slice(start, min(many, start + step))
         partial = [t[: part.stop - start] for t in tiles]
-        for a, b, out in zip(left, right, partial, strict=True):
+        for a, b, out in zip(left, right, partial[:-1], strict=True):
             np.matmul(a[part], b, out=out)
-        least = [_lead(p, k + 1) for p in partial] if cutoffs is None else [threshold[part]] * len(partial)
-        marked, more = (m[: part.stop - start] for m in marks)
-        np.greater_equal(partial[0], least[0], out=marked)
-        for p, value in zip(partial[1:], least[1:], strict=True):
-            np.logical_or(marked, np.greater_equal(p, value, out=more), out=marked)
-        if cutoffs is None:
-            places = _places(marked)
-            scores = sum(p.ravel()[places] for p in partial)
-        else:
-            whole = partial[0]
-            for p in partial[1:]:
-                np.add(whole, p, out=whole)
-            np.logical_and(marked, np.greater_equal(whole, cutoff[part], out=more), out=marked)
-            places = _places(marked)
-            scores = whole.ravel()[places]
-        query, candidate = np.divmod(places, n)
-        query, scores = start + query, _whole(scores)
-        other = (ids[candidate] != q_ids[query]) & (scores >= floors[query])
-        query, candidate, scores = query[other], candidate[other], scores[other]
-        best = _best(query, ids[candidate], scores, k)
-        found.append((q_ids[query[best]], ids[candidate[best]], scores[best]))
-    found = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(known or [np.empty(0, np.int64)] * 3, *found, strict=True)]
+        whole = partial.pop()
+        np.add(partial[0], partial[1] if len(partial) > 1 else 0, out=whole)
+        for p in partial[2:]:
+            np.add(whole, p, out=whole)
+        if new:
+            for p, lead in zip(partial, leads, strict=True):
+                lead[part] = _lead(p, k + 1)
+        cuts = _kth(known, q_ids[part], k)  # leaders below can't raise it
+        places = marked(partial, [x[part].astype(kind, copy=False) for x in leads], whole, _least(cuts, _sure(cuts), kind))
+        leaders = others(start, places, whole.ravel()[places])
+        best = _best(*leaders, k)
+        cuts = np.maximum(cuts, _kth([x[best] for x in leaders], q_ids[part], k))
+        sure = _sure(cuts)
+        places = marked(partial, [_least(-(-cuts // len(left)), sure, kind)] * len(partial), whole, _least(cuts, sure, kind))
+        kept = others(start, places, whole.ravel()[places])
+        best = _best(*kept, k)
+        found.append([x[best] for x in kept])
+    found = [np.concatenate(x) for x in zip(known, *found, strict=True)]
     best = _best(*found, k)
     return [x[best] for x in found]
 
 
-def _phase(k: int, with_cutoff: bool):
-    """The work on a pair of blocks: phase 1, or phases 2 and 3 if the queries' cutoffs are known."""
+def _kth(found: list[np.ndarray], q_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query in reports ordered by query and rank; the least number where there are fewer."""
+    least = np.full(len(q_ids), -(2**63))
+    if len(found[0]):
+        at = np.searchsorted(found[0], q_ids) + k - 1
+        full = at < len(found[0])
+        full[full] = found[0][at[full]] == q_ids[full]
+        least[full] = found[2][at[full]]
+    return least
+
+
+def _sure(cuts: np.ndarray) -> np.ndarray:
+    """Whether a cutoff is one: within 62 bits, where no score was cut."""
+    return (cuts > -(2**62)) & (cuts < 2**62)
+
+
+def _task(k: int):
+    """The work on pairs of blocks: a task's k best of each query."""
 
     def numbers(column: pa.Array, row: int, kind) -> np.ndarray:
         return np.frombuffer(column[row].as_buffer(), kind)
@@ -221,17 +242,15 @@ def _phase(k: int, with_cutoff: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, list[np.ndarray]] = {}
+        leads: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                cutoffs = None
-                if with_cutoff:
-                    lists = [batch.column(c)[row].values for c in ("cut_ids", "cuts")]
-                    cutoffs = [np.empty(0, np.int64) if x is None else x.to_numpy(zero_copy_only=False) for x in lists]
                 key = tuple(batch.column(c)[row].as_py() for c in ("length", "q_block"))
                 blocks = [*block(batch, row, "q_ids", "q_vectors"), *block(batch, row, "ids", "vectors")]
-                kept[key] = pair(*blocks, k, cutoffs, kept.get(key))
+                kept[key] = pair(*blocks, k, kept.get(key), leads.setdefault(key, []))
                 if len(kept) > HELD:
                     yield from reports(kept)
+                    leads.clear()
         yield from reports(kept)
 
     return work
@@ -262,28 +281,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, factor: int = 1024)
     groups = min(n_blocks, max(GROUPS, n_blocks // 16))
     candidates = candidates.withColumn("group", F.col("block") % groups)
 
-    def met(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-        placed = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return blocks.join(placed.hint("merge"), ["group", "length"])  # the copies are more than Spark takes them for
-
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    placed = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = candidates.join(placed.hint("merge"), ["group", "length"])  # the copies are more than Spark takes them for
     columns = ["length", "q_block", "ids", "vectors", "q_ids", "q_vectors"]
-    reports = met(candidates, queries).select(*columns).mapInArrow(_phase(k, False), schema)
-    first = _merged(reports, k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
-    first = first.where((F.col("n") == k) & F.col("cutoff").between(1 - 2**62, 2**62 - 1))
-    q_of = queries.select("q_block", "length", F.explode(_ids(F.col("q_ids"))).alias("query_id"))
-    cuts = q_of.join(first, "query_id").groupBy("q_block", "length").agg(F.sort_array(F.collect_list(F.struct("query_id", "cutoff"))).alias("cut"))
-    cuts = stored(cuts.select("q_block", "length", F.col("cut.query_id").alias("cut_ids"), F.col("cut.cutoff").alias("cuts")), "cutoffs")
-    again = met(candidates, queries.join(cuts, ["q_block", "length"], "left"))
-    found = again.select(*columns, "cut_ids", "cuts").mapInArrow(_phase(k, True), schema)
-    return _merged(found, k).select("query_id", "rank", "vec_id", "score")
-
-
-def _ids(packed_ids: Column) -> Column:
-    """The 64-bit numbers of a packed binary."""
-
-    @F.arrow_udf("array<bigint>")
-    def unpack(column: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(b, np.int64) for b in column.to_pylist()], pa.list_(pa.int64()))
-
-    return unpack(packed_ids)
+    reports = pairs.select(*columns).mapInArrow(_task(k), "query_id bigint, vec_id bigint, score bigint")
+    return _merged(reports, k).select("query_id", "rank", "vec_id", "score")

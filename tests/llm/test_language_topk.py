@@ -123,7 +123,7 @@ def test_products_are_exact_in_the_type_they_are_made_in(largest):
     made = np.random.default_rng(1)
     whole = made.integers(-largest, largest, size=(30, 12), endpoint=True).astype(np.float64)
     ids = np.arange(30)
-    q, found, score = topk.pair(ids[:6], whole[:6], ids, whole, 30, (np.empty(0, np.int64), np.empty(0, np.int64)))
+    q, found, score = topk.pair(ids[:6], whole[:6], ids, whole, 30)
     rows = [[int(x) for x in v] for v in whole]
     cut = lambda x: max(-(2**63), min(2**63 - 1, x))
     want = {(a, b, cut(sum(x * y for x, y in zip(rows[a], rows[b], strict=True)))) for a in range(6) for b in range(30) if a != b}
@@ -135,11 +135,10 @@ def test_a_pair_of_blocks_costs_little_more_than_sorting_its_products():
     made = np.random.default_rng(2)
     vectors = np.floor(made.normal(size=(4_096, 64)) / 8 * 1_024)
     queries, ids, q_ids = vectors[:1_024], np.arange(4_096), np.arange(1_024)
-    cut = np.sort(queries @ vectors.T, axis=1)[:, -10].astype(np.int64)
     columns = {"length": [64], "q_block": [0], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "q_ids": [q_ids.tobytes()], "q_vectors": [queries.tobytes()]}
-    batch = pa.RecordBatch.from_pydict(columns | {"cut_ids": [q_ids], "cuts": [cut]})
+    batch = pa.RecordBatch.from_pydict(columns)
     plain = lambda: np.sort(queries @ vectors.T, axis=1)
-    phases = lambda: [list(topk._phase(10, known)(iter([batch]))) for known in (False, True)]
+    phases = lambda: list(topk._task(10)(iter([batch])))
     least = [min(timeit.repeat(f, number=1, repeat=5)) for f in (plain, phases)]
     assert least[1] < 5 * least[0]
 
@@ -155,19 +154,15 @@ def test_reports_of_a_task_are_merged(monkeypatch, held):
     dealt = [np.arange(at, 90, 3) for at in range(3)]
     q_rows = [np.flatnonzero(np.diff(ids, prepend=-1) > 0)[at::2] for at in range(2)]
     rows = [{"length": 6, "q_block": b, "ids": ids[c].tobytes(), "vectors": vectors[c].tobytes(), "q_ids": ids[q].tobytes(), "q_vectors": vectors[q].tobytes()} for c in dealt for b, q in enumerate(q_rows)]
-    kinds = pa.schema([("length", pa.int32()), ("q_block", pa.int32()), *[(c, pa.binary()) for c in ("ids", "vectors", "q_ids", "q_vectors")], ("cut_ids", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int64()))])
+    kinds = pa.schema([("length", pa.int32()), ("q_block", pa.int32()), *[(c, pa.binary()) for c in ("ids", "vectors", "q_ids", "q_vectors")]])
     best = {}
     for q in np.concatenate(q_rows):
         order = sorted((-int(vectors[q].astype(int) @ v.astype(int)), int(i)) for i, v in zip(ids, vectors, strict=True) if i != ids[q])
         best[int(ids[q])] = [(i, -s) for s, i in order[:4]]
-    for with_cutoff in (False, True):
-        for row in rows:
-            row |= {"cut_ids": sorted(best)[::2], "cuts": [best[q][3][1] for q in sorted(best)[::2]]} if with_cutoff else {}
-        batches = [pa.RecordBatch.from_pylist(rows[at : at + 2], schema=kinds) for at in range(0, len(rows), 2)]
-        got = {}
-        for found in topk._phase(4, with_cutoff)(iter(batches)):
-            for row in found.to_pylist():
-                got.setdefault(row["query_id"], []).append((-row["score"], row["vec_id"]))
-        merged = {q: [(i, -s) for s, i in sorted(x)[:4]] for q, x in got.items()}
-        assert merged == best if with_cutoff else all(merged[q][3][1] <= best[q][3][1] for q in best)
-        assert all(len(x) == 4 for x in got.values()) or held < 2
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + 2], schema=kinds) for at in range(0, len(rows), 2)]
+    got = {}
+    for found in topk._task(4)(iter(batches)):
+        for row in found.to_pylist():
+            got.setdefault(row["query_id"], []).append((-row["score"], row["vec_id"]))
+    assert {q: [(i, -s) for s, i in sorted(x)[:4]] for q, x in got.items()} == best
+    assert all(len(x) == 4 for x in got.values()) or held < 2
