@@ -4,9 +4,9 @@ Vectors are cut into ``LISTS`` runs of dimensions; a candidate's score is the su
 and candidates lie in blocks of bounded size, and each block of queries meets each block of candidates in one task. The
 partial scores of such a pair are made once, and the phases follow one another on them:
 
-1. The candidates that lead one of the partial score lists, by what k + 1 in the list's first block reach, are looked up in
-   the whole scores. The k-th best of them, or of those that the
-   task has of the query from other blocks, is a score that at least k candidates reach: the safe cutoff.
+1. The candidates that lead one of the partial score lists, by what k + 1 in the task's first block reach, are looked up
+   in the whole scores. The k-th best of them, or of those that the task has of the query from other blocks, is a score that at
+   least k candidates reach: the safe cutoff.
 2. A candidate that reaches the cutoff has a partial score of at least cutoff / LISTS in some list. These are marked; their
    bound, known partial scores and the threshold for the others, reaches the cutoff then.
 3. The whole scores of these are resolved exactly, and the k best at or above the cutoff are kept.
